@@ -7,12 +7,14 @@ are compared a batch at a time, and the pair is dropped as soon as the
 posterior probability that its similarity reaches the threshold (uniform prior)
 is below `miss`. Survivors are verified on their full shingle sets.
 
-No bucket is expanded into all pairs. A small one is; a large one proposes its
-smallest members (hubs) against all others, links are joined into components,
-and only members still in different components go on to the next hubs, until
-each bucket holds one component or all its pairs have been looked at. A large
-group of copies ends after the first hubs, and no link between components is
-given up.
+A bucket of up to eight members proposes all its pairs. A larger one proposes
+each member against two hubs that are drawn anew in each of the bands, so a
+document meets up to 64 partners; links are joined into components. Buckets
+whose members are still in different components then propose up to four more
+hubs of different components. The number of candidates is thus linear in the
+number of documents, however large a group of copies is. What this gives up: a
+document of a large bucket that links with few of its members and meets none of
+them as a hub, in any band and in either round.
 
 Texts without words have no shingles and link with nothing; fewer than `words`
 words are one shingle. Null counts as empty. Rows without doc_id are left out;
@@ -34,7 +36,7 @@ from . import kernels as K
 from .components import components
 from .storage import written
 
-HASHES, ROWS, SMALL, HUBS, BATCH = 128, 4, 8, 4, 16
+HASHES, ROWS, SMALL, BATCH = 128, 4, 8, 16
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,30 +174,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
 
     small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    active = members.where(F.col("members") > SMALL).select("bucket", "node", F.col("node").alias("component"))
-    active = written(active, "active")
-    edges = None
-    while True:
-        if not active.isEmpty():
-            # the smallest members of different components are this round's hubs
-            heads = active.groupBy("bucket", "component").agg(F.min("node").alias("hub"))
-            hubs = heads.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_list(F.struct("hub", "component"))), 1, HUBS).alias("hubs")) if edges is not None else heads.groupBy("bucket").agg(F.array(F.min(F.struct("hub", "component"))).alias("hubs"))
-            tested = active.join(hubs, "bucket").select("bucket", "node", "component", "hubs")
-            proposed = tested.select("node", "component", F.explode("hubs").alias("h")).where("h.component != component").select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
-            pairs = proposed if pairs is None else pairs.unionByName(proposed)
-            active = tested.where("not exists(hubs, h -> h.hub = node)").select("bucket", "node")
-        found = links(pairs)
-        edges = written(found if edges is None else edges.unionByName(found), "edges")
+    large = members.where(F.col("members") > SMALL).select("bucket", "node")
+
+    def against(active: DataFrame, hubs: DataFrame) -> DataFrame:
+        tested = active.join(hubs, "bucket").select("node", F.explode("hubs").alias("hub")).where("node != hub")
+        return tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+    turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), F.col("node").alias("node"))
+    two = large.groupBy("bucket").agg(F.min(turn).alias("low"), F.max(turn).alias("high")).select("bucket", F.array("low.node", "high.node").alias("hubs"))
+    edges = written(links(pairs.unionByName(against(large, two))), "edges")
+    labels = components(edges)
+    # buckets whose members are still apart: the smallest component members face a member of several others
+    apart = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    apart = written(apart.join(mixed, "bucket", "left_semi"), "apart")
+    if not apart.isEmpty():
+        heads = apart.groupBy("bucket", "component").agg(F.min(turn).alias("head"))
+        ends = F.struct(F.xxhash64("component", "bucket").alias("turn"), F.col("head.node").alias("node"))
+        hubs = heads.groupBy("bucket").agg(F.min(ends).alias("low"), F.max(ends).alias("high"), F.min("head").alias("first"), F.max("head").alias("last"))
+        hubs = hubs.select("bucket", F.array_distinct(F.array("low.node", "high.node", "first.node", "last.node")).alias("hubs"))
+        edges = written(edges.unionByName(links(against(apart.select("bucket", "node"), hubs))), "edges")
         labels = components(edges)
-        if "component" in active.columns:
-            break
-        of = labels.select("node", "component")
-        active = active.join(of, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = active.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        active = written(active.join(mixed, "bucket", "left_semi"), "active")
-        pairs = None
-        if active.isEmpty():
-            break
     grouped = reps.select("n_shingles", "digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("n_shingles", "digest", F.coalesce("component", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(grouped, ["n_shingles", "digest"], "left")
     component = F.coalesce("component_id", "doc_id")
