@@ -1,4 +1,149 @@
 """Registered queries and the SQL that they are compared with."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.smoothing import smoothed
+from ..operators import corners, deltas, laps, layers, motion, nearest, roads
+from ..sources import logs
+from ..sources.staging import written
+from . import fixtures
+from .sql import SQL as SQL
+
+START = [40.0, -80.0]
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion.compute_derived_metrics(fixtures.tracks(spark, sf_dir))
+
+
+def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(motion.build_telemetry_records(_metrics(spark, sf_dir)), "telemetry")
+
+
+def _starts(telemetry: DataFrame) -> DataFrame:
+    return telemetry.select("session_id").distinct().select(F.col("session_id").alias("file_name"), F.lit(START[0]).alias("lat"), F.lit(START[1]).alias("lon"))
+
+
+def _laps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = _telemetry(spark, sf_dir)
+    return t, written(laps.detect_laps(t, _starts(t)), "laps")
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t, found = _laps(spark, sf_dir)
+    return written(laps.annotate_lap_samples(t, found), "annotated"), found
+
+
+def metrics(spark, sf_dir):
+    r = lambda c, n: F.round(c, n).alias(c)
+    return _metrics(spark, sf_dir).select("session_id", "sample_idx", r("elapsed_s", 6), r("dt_s", 6), r("x_m", 4), r("y_m", 4), r("speed_mph", 6), F.round(F.col("distance_along_m") + 1e-7, 4).alias("distance_along_m"), r("heading_deg", 4), r("long_accel_mps2", 4), r("lat_accel_mps2", 4))
+
+
+def smoothing(spark, sf_dir):
+    t = fixtures.tracks(spark, sf_dir)
+    return t.select("session_id", "sample_idx", *(F.round(smoothed(F.col("lat"), motion.session_window(), motion.whole_session(), m, 7), 8).alias(m) for m in ("ma", "gaussian", "savgol")))
+
+
+def telemetry(spark, sf_dir):
+    return _telemetry(spark, sf_dir).select("session_id", "sample_idx", "elapsed_s", "speed_mps", "speed_mph", "long_accel_mps2", F.round(F.col("distance_m") + 1e-7, 4).alias("distance_m"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
+def lap_table(spark, sf_dir):
+    return _laps(spark, sf_dir)[1].select("session_id", "lap_number", "is_partial", "lap_time_s", F.round(F.col("distance_m") + 1e-7, 2).alias("distance_m"), "start_sample_idx", "end_sample_idx")
+
+
+def plausible_laps(spark, sf_dir):
+    return laps.plausible_laps(*_laps(spark, sf_dir)).select("session_id", "lap_number", "lap_time_s", "start_sample_idx", "end_sample_idx")
+
+
+def raw_lap_ids(spark, sf_dir):
+    t = _telemetry(spark, sf_dir)
+    return laps.raw_lap_ids(t, laps.lap_boundaries(t, laps.start_points(t, _starts(t)))).select("session_id", "sample_idx", "lap")
+
+
+def lap_annotation(spark, sf_dir):
+    return _annotated(spark, sf_dir)[0].select("session_id", "sample_idx", "lap_index", "lap_elapsed_s", F.round(F.col("lap_distance_m") + 1e-7, 3).alias("lap_distance_m"))
+
+
+def sectors(spark, sf_dir):
+    s = laps.sector_times(*_laps(spark, sf_dir))
+    each = s.select("session_id", "start_sample_idx", F.posexplode(F.arrays_zip("sector_times_s", "sector_splits_m")).alias("i", "s"))
+    return each.select("session_id", "start_sample_idx", (F.col("i") + 1).alias("sector"), F.round(F.col("s.sector_times_s") + 1e-6, 4).alias("sector_time_s"), F.round(F.col("s.sector_splits_m") + 1e-5, 2).alias("split_m"))
+
+
+def lap_deltas(spark, sf_dir):
+    return deltas.lap_delta_traces(*_annotated(spark, sf_dir))
+
+
+def delta_at_distance(spark, sf_dir):
+    t, found = _annotated(spark, sf_dir)
+    full = found.where("not is_partial").select("session_id", F.col("lap_number").alias("lap1"))
+    asked = full.withColumn("lap2", F.col("lap1") + 1).withColumn("distance_m", F.explode(F.array(*(F.lit(float(x)) for x in (-5, 0, 100, 250, 9999)))))
+    return deltas.delta_at_distance(t, found, asked)
+
+
+def curvature(spark, sf_dir):
+    t, found = _laps(spark, sf_dir)
+    return corners.lap_curvature(t, found.where("not is_partial")).select("session_id", "lap_number", "start_sample_idx", "sample_idx", F.round("k", 2).alias("k"))
+
+
+def corner_table(spark, sf_dir):
+    t, found = _laps(spark, sf_dir)
+    return corners.detect_corners(t, found.where("not is_partial")).select("session_id", "lap_number", "corner_id", "a", "b", "entry_speed_mph", "exit_speed_mph", "min_speed_mph", "duration_s", F.size("geometry").alias("points"))
+
+
+def heatmap(spark, sf_dir):
+    return layers.heatmap_layers(_telemetry(spark, sf_dir)).select("session_id", "layer", "sample_idx", "intensity", "value")
+
+
+def speed_legend(spark, sf_dir):
+    return layers.speed_legend(_telemetry(spark, sf_dir))
+
+
+def lap_segments(spark, sf_dir):
+    return layers.lap_segments(*_laps(spark, sf_dir))
+
+
+def track_geojson(spark, sf_dir):
+    return layers.track_geojson(_telemetry(spark, sf_dir))
+
+
+def log_series(spark, sf_dir):
+    s = logs.time_series(logs.parse_records(fixtures.log_lines(spark, sf_dir), fixtures.HEADERS))
+    return s.select("session_id", "sample_idx", "timestep", F.col("timestamp_ms").cast("long").alias("timestamp_ms"), F.round("lat", 6).alias("lat"), F.round("speed_mps", 6).alias("speed_mps"), "imu_accel_x", "has_accel")
+
+
+def nearest_samples(spark, sf_dir):
+    k = F.col("p_partkey")
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select((k % fixtures.SESSIONS).cast("string").alias("session_id"), k.alias("point_id"), (40 + (k % 9) * F.lit(5e-5) + F.lit(1e-5)).alias("lat"), (-80 + (k % 7) * F.lit(5e-5) + F.lit(1.3e-5)).alias("lon"))
+    return nearest.nearest_samples(points, fixtures.tracks(spark, sf_dir)).select("session_id", "point_id", F.round("distance_m", 4).alias("distance_m"))
+
+
+def _errors(spark, sf_dir, methods) -> DataFrame:
+    points = written(roads.method_points(fixtures.tracks(spark, sf_dir), methods), "points")
+    centres = written(roads.reference_points(points), "centres")
+    near = written(roads.roads_of_sessions(points, fixtures.roads(spark, sf_dir), centres), "roads")
+    return written(roads.road_errors(roads.both_series(points), near, centres), "errors")
+
+
+def road_errors(spark, sf_dir):
+    return _errors(spark, sf_dir, ("ma",)).where("error_m is not null").select("session_id", "series", "sample_idx", F.round("error_m", 4).alias("error_m"))
+
+
+def accuracy(spark, sf_dir):
+    a = roads.accuracy(_errors(spark, sf_dir, ("ma",)), ("session_id", "series"))
+    return a.select("session_id", "series", "n_points", *(F.round(m, 4).alias(m) for m in ("mean_m", "rms_m", "std_m", "median_m", "p90_m", "p99_m", "max_m", "min_m")))
+
+
+def method_comparison(spark, sf_dir):
+    return roads.best_methods(roads.accuracy(_errors(spark, sf_dir, ("gaussian", "savgol", "ma"))))
+
+
+def error_histogram(spark, sf_dir):
+    return roads.error_histogram(_errors(spark, sf_dir, ("ma",)))
+
+
+QUERIES = {"laps": lap_table, "corners": corner_table} | {f.__name__: f for f in (metrics, smoothing, telemetry, plausible_laps, raw_lap_ids, lap_annotation, sectors, lap_deltas, delta_at_distance, curvature, heatmap, speed_legend, lap_segments, track_geojson, log_series, nearest_samples, road_errors, accuracy, method_comparison, error_histogram)}
