@@ -1,36 +1,5 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from ..sources.staging import shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder of our own only where it is unset."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="apexlap-"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet and read back: cut lineage that outlives executors.
-
-    The shuffle files behind the write are dropped when it ends, as nothing
-    reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]
