@@ -4,7 +4,7 @@ Voters are small rules. Lexicon voters hold words and word beginnings that the
 labelled training rows show mostly in toxic texts, dealt into several lists;
 pattern voters look at shouting and repeated marks; one voter says clean where
 no list has a hit. A generative label model explains the pattern of votes by
-one hidden class: EM estimates how often each voter fires in each class (its
+one hidden class, with the stored label as one more voter: EM estimates how often each voter fires in each class (its
 accuracy), and the correlations that remain between voters within a class,
 which lower the weight of voters that repeat each other. A logistic regression
 over lexicon entries is then trained on the model's posterior labels and scores
@@ -113,15 +113,19 @@ class LabelModel:
     fires: np.ndarray  # class by voter
     weight: np.ndarray  # voter
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logit = np.log(self.prior / (1 - self.prior))
+    def posterior(self, votes: np.ndarray, known: np.ndarray | float = 0.0) -> np.ndarray:
+        """P(toxic) from the votes, and from log odds that are known besides."""
+        logit = np.log(self.prior / (1 - self.prior)) + known
         on = np.log(self.fires[1] / self.fires[0])
         off = np.log((1 - self.fires[1]) / (1 - self.fires[0]))
         return 1 / (1 + np.exp(-np.clip(logit + (np.where(votes, on, off) * self.weight).sum(1), -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> LabelModel:
-    """EM over the votes, from a first guess of each text's class."""
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple[LabelModel, np.ndarray]:
+    """EM over the votes; start: what the stored label alone says of each text's class, a voter that is always there.
+
+    Returns the model and the posterior of each text.
+    """
     p, weight = start.astype(float), np.ones(votes.shape[1])
     v = votes.astype(float)
     for _ in range(rounds):
@@ -137,8 +141,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> L
         np.fill_diagonal(repeated, 0)
         weight = 1 / (1 + np.where(repeated > 0.3, repeated, 0).sum(1))
         model = LabelModel(float(np.clip(mass[1] / mass.sum(), 1e-3, 1 - 1e-3)), fires, weight)
-        p = model.posterior(votes)
-    return model
+        p = model.posterior(votes, np.log(start / (1 - start)))
+    return model, p
 
 
 def fit_linear(entries: list[np.ndarray], size: int, target: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> np.ndarray:
@@ -191,6 +195,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: in
         seen = learn.mapInArrow(_vote(lexicon), "toxic int, entries array<int>, shouts boolean, repeats boolean").collect()
         found = [np.array(r.entries, int) for r in seen]
         votes = votes_of(found, np.array([[r.shouts, r.repeats] for r in seen], bool))
-        model = fit_label_model(votes, np.array([0.05 + 0.9 * (r.toxic == 1) for r in seen]))
-        weights = fit_linear(found, len(lexicon), model.posterior(votes))
+        _, posterior = fit_label_model(votes, np.array([0.05 + 0.9 * (r.toxic == 1) for r in seen]))
+        weights = fit_linear(found, len(lexicon), posterior)
     return texts.mapInArrow(_score(lexicon, weights), "doc_id long, score double, predicted int")
