@@ -8,8 +8,8 @@ posterior probability that its similarity reaches the threshold (uniform prior)
 is below `miss`. Survivors are verified on their full shingle sets.
 
 A bucket of up to eight members proposes all its pairs. A larger one proposes
-each member against two hubs that are drawn anew in each of the bands, so a
-document meets up to 64 partners; links are joined into components. Buckets
+each member against a hub that is drawn anew in each of the bands, so a
+document meets up to 32 partners; links are joined into components. Buckets
 whose members are still in different components then propose up to four more
 hubs of different components. The number of candidates is thus linear in the
 number of documents, however large a group of copies is. What this gives up: a
@@ -174,26 +174,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
 
     small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    large = members.where(F.col("members") > SMALL).select("bucket", "node")
+    large = members.where(F.col("members") > SMALL).select("bucket", "node", F.col("node").alias("component"))
 
     def against(active: DataFrame, hubs: DataFrame) -> DataFrame:
-        tested = active.join(hubs, "bucket").select("node", F.explode("hubs").alias("hub")).where("node != hub")
-        return tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        """Members of each bucket against its hubs, unless they are in one component already."""
+        tested = active.join(hubs, "bucket").select("node", "component", F.explode("hubs").alias("hub")).where("component != hub.component")
+        return tested.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
-    turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), F.col("node").alias("node"))
-    two = large.groupBy("bucket").agg(F.min(turn).alias("low"), F.max(turn).alias("high")).select("bucket", F.array("low.node", "high.node").alias("hubs"))
-    edges = written(links(pairs.unionByName(against(large, two))), "edges")
+    turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), "node", "component")
+    hub = large.groupBy("bucket").agg(F.min(turn).alias("low")).select("bucket", F.array(F.struct("low.node", "low.component")).alias("hubs"))
+    edges = written(links(pairs.unionByName(against(large, hub))), "edges")
     labels = components(edges)
-    # buckets whose members are still apart: the smallest component members face a member of several others
-    apart = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    # buckets whose members are still apart: members face hubs of other components
+    apart = large.drop("component").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     apart = written(apart.join(mixed, "bucket", "left_semi"), "apart")
     if not apart.isEmpty():
         heads = apart.groupBy("bucket", "component").agg(F.min(turn).alias("head"))
-        ends = F.struct(F.xxhash64("component", "bucket").alias("turn"), F.col("head.node").alias("node"))
+        ends = F.struct(F.xxhash64("component", "bucket").alias("turn"), F.col("head.node").alias("node"), F.col("head.component").alias("component"))
         hubs = heads.groupBy("bucket").agg(F.min(ends).alias("low"), F.max(ends).alias("high"), F.min("head").alias("first"), F.max("head").alias("last"))
-        hubs = hubs.select("bucket", F.array_distinct(F.array("low.node", "high.node", "first.node", "last.node")).alias("hubs"))
-        edges = written(edges.unionByName(links(against(apart.select("bucket", "node"), hubs))), "edges")
+        hubs = hubs.select("bucket", F.array_distinct(F.array(*(F.struct(f"{h}.node", f"{h}.component") for h in ("low", "high", "first", "last")))).alias("hubs"))
+        edges = written(edges.unionByName(links(against(apart, hubs))), "edges")
         labels = components(edges)
     grouped = reps.select("n_shingles", "digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("n_shingles", "digest", F.coalesce("component", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(grouped, ["n_shingles", "digest"], "left")
