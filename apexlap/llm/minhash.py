@@ -7,14 +7,16 @@ are compared a batch at a time, and the pair is dropped as soon as the
 posterior probability that its similarity reaches the threshold (uniform prior)
 is below `miss`. Survivors are verified on their full shingle sets.
 
-A bucket of up to eight members proposes all its pairs. A larger one proposes
-each member against a hub that is drawn anew in each of the bands, so a
-document meets up to 32 partners; links are joined into components. Buckets
-whose members are still in different components then propose up to four more
-hubs of different components. The number of candidates is thus linear in the
-number of documents, however large a group of copies is. What this gives up: a
-document of a large bucket that links with few of its members and meets none of
-them as a hub, in any band and in either round.
+Pairs whose set sizes alone rule out the threshold are never compared. A bucket
+of up to eight members proposes all its other pairs. A larger one proposes each
+member against one hub: the member that shares its buckets with most others, as
+the text that a group was copied from does, so that a document meets few
+different hubs. Links are joined into components. Buckets whose members are still
+in different components then propose up to four hubs of different components,
+drawn anew in every round, until a round finds no link. The number of candidates
+of a round is thus linear in the number of documents, however large a group of
+copies is. What this gives up: a document of a large bucket that links with few
+of its members and meets none of them as a hub, in any band and in any round.
 
 Texts without words have no shingles and link with nothing; fewer than `words`
 words are one shingle. Null counts as empty. Rows without doc_id are left out;
@@ -23,6 +25,7 @@ rows that repeat a doc_id are the same document. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -157,9 +160,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     sketch = written(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
     one = sketch.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
     reps = written(one.select("n_shingles", "digest", "one.doc_id", "one.sig"), "representatives")
-    bands = reps.select(F.col("doc_id").alias("node"), F.posexplode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}), i))")).alias("band", "bucket"))
+    bands = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}), i))")).alias("band", "bucket"))
     crowd = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(bands.select("bucket", "node").join(crowd, "bucket"), "members")
+    members = written(bands.select("bucket", "node", "n").join(crowd, "bucket"), "members")
     inside = members.select("node").distinct()
     sets = texts.join(inside.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, hashes binary")
     sets = written(sets.dropDuplicates(["doc_id"]), "sets")
@@ -172,29 +175,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
         left, right = (sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
         return likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
-    small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    large = members.where(F.col("members") > SMALL).select("bucket", "node", F.col("node").alias("component"))
+    def fitting(x: str, y: str) -> str:
+        """Whether sets of these sizes can be similar enough."""
+        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+
+    small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("nodes"))
+    pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x, y))))")).alias("p"))
+    pairs = pairs.where(fitting("p.x.n", "p.y.n")).select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"))
+    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    large = members.where(F.col("members") > SMALL).join(weight, "node")
+    large = written(large.select("bucket", "node", "n", "weight", F.col("node").alias("component")), "crowded")
 
     def against(active: DataFrame, hubs: DataFrame) -> DataFrame:
         """Members of each bucket against its hubs, unless they are in one component already."""
-        tested = active.join(hubs, "bucket").select("node", "component", F.explode("hubs").alias("hub")).where("component != hub.component")
+        tested = active.join(hubs, "bucket").select("node", "n", "component", F.explode("hubs").alias("hub")).where("component != hub.component").where(fitting("n", "hub.n"))
         return tested.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
 
-    turn = F.struct(F.xxhash64("node", "bucket").alias("turn"), "node", "component")
-    hub = large.groupBy("bucket").agg(F.min(turn).alias("low")).select("bucket", F.array(F.struct("low.node", "low.component")).alias("hubs"))
+    turn = F.struct((-F.col("weight")).alias("rank"), F.xxhash64("node").alias("turn"), "node", "n", "component")
+    hub = large.groupBy("bucket").agg(F.min(turn).alias("low")).select("bucket", F.array(F.struct("low.node", "low.n", "low.component")).alias("hubs"))
     edges = written(links(pairs.unionByName(against(large, hub))), "edges")
     labels = components(edges)
-    # buckets whose members are still apart: members face hubs of other components
-    apart = large.drop("component").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    apart = written(apart.join(mixed, "bucket", "left_semi"), "apart")
-    if not apart.isEmpty():
+    for number in itertools.count():
+        # buckets whose members are still apart: members face hubs of other components
+        apart = large.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        apart = written(apart.join(mixed, "bucket", "left_semi"), "apart")
         heads = apart.groupBy("bucket", "component").agg(F.min(turn).alias("head"))
-        ends = F.struct(F.xxhash64("component", "bucket").alias("turn"), F.col("head.node").alias("node"), F.col("head.component").alias("component"))
-        hubs = heads.groupBy("bucket").agg(F.min(ends).alias("low"), F.max(ends).alias("high"), F.min("head").alias("first"), F.max("head").alias("last"))
-        hubs = hubs.select("bucket", F.array_distinct(F.array(*(F.struct(f"{h}.node", f"{h}.component") for h in ("low", "high", "first", "last")))).alias("hubs"))
-        edges = written(edges.unionByName(links(against(apart, hubs))), "edges")
+        drawn = F.struct(F.xxhash64("component", "bucket", F.lit(number)).alias("draw"), "head")
+        hubs = heads.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"), F.min("head").alias("first"), F.max("head").alias("last"))
+        ends = (F.struct(f"{h}.node", f"{h}.n", f"{h}.component") for h in ("low.head", "high.head", "first", "last"))
+        found = written(links(against(apart, hubs.select("bucket", F.array_distinct(F.array(*ends)).alias("hubs")))), "edges")
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
         labels = components(edges)
     grouped = reps.select("n_shingles", "digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("n_shingles", "digest", F.coalesce("component", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(grouped, ["n_shingles", "digest"], "left")
