@@ -82,7 +82,7 @@ def _pack(path: str, window: int, end_id: int, keep_ids: bool):
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             _, offsets = K.text_column(batch, "text")
-            for lo, hi in K.slices(offsets, 1 << 23):
+            for lo, hi in K.slices(offsets, 1 << 19):
                 encoded = tokens.ids(path, [x or "" for x in batch.column(1)[lo:hi].to_pylist()])
                 for doc_id, data in zip(batch.column(0)[lo:hi].to_pylist(), encoded, strict=True):
                     data += end

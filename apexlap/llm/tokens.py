@@ -3,8 +3,10 @@
 No piece of either tokenizer crosses the chunks that a text is cut into here,
 so the ids of a text are those of its chunks in order. A chunk that is not yet
 in the worker's memo is cut into pieces by the tokenizer's own pattern, and the
-library's model encodes each distinct piece once. A text with characters or
-special strings for which that can't be relied on goes to the library whole.
+library's model encodes each distinct piece once. Byte-level ids take a shorter
+way where they can: a text is cut before each space, and only words that are new
+are looked at further. A text with characters or special strings for which that
+can't be relied on goes to the library whole.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable
+from itertools import filterfalse
 
 #: Latin letters, digits, punctuation and plain white space, settled in all Unicode versions.
 _UNSETTLED = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
+#: Where a cut before a space can split a piece of white space.
+_SPACE_RUN = re.compile("[\t\n\r\xa0] (?:[\t\n\r\xa0]|\\Z)")
 _LEADING_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: The pattern of byte-level tokenizers that name no other.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,7 +84,7 @@ class Memo:
     def whole(self, text: str) -> object:
         return self.value(load(self.path).encode(text, add_special_tokens=False).ids)
 
-    def _chunk(self, chunk: str) -> object:
+    def value_of(self, chunk: str) -> object:
         out: list[int] = []
         for piece in self.pattern.findall(chunk.lower() if self.lower else chunk):
             if (ids := self.pieces.get(piece)) is None:
@@ -95,7 +100,7 @@ class Memo:
         new = chunks.difference(self.chunks)
         if len(self.chunks) + len(new) > CHUNKS:
             self.chunks, new = {}, chunks
-        self.chunks.update((c, self._chunk(c)) for c in new)
+        self.chunks.update((c, self.value_of(c)) for c in new)
         return self.chunks
 
     def values(self, texts: list[str], join: Callable) -> list:
@@ -109,9 +114,44 @@ def _counter(path: str) -> Memo:
     return Memo(path, len)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class SpacedIds:
+    """Ids of texts of a byte-level tokenizer; `known` holds the ids of a word with the space before it."""
+
+    def __init__(self, path: str) -> None:
+        self.memo, self.known = Memo(path, _packed), {}
+
+    def learn(self, words: set[str]) -> None:
+        """Puts words in `known`; one of Latin letters alone is a single piece with its space."""
+        tokenize, space = self.memo.model.tokenize, " ".translate(self.memo.letters)
+        if len(self.known) + len(words) > CHUNKS:
+            self.known = {}
+        for w in words:
+            if w.isascii() and w.isalpha():
+                self.known[w] = _packed([t.id for t in tokenize(space + w)])
+            else:
+                self.known[w] = self.memo.value_of(" " + w)
+
+    def values(self, texts: list[str]) -> list[bytes]:
+        parts = [x.split(" ") if "  " not in x and settled(x) and _SPACE_RUN.search(x) is None else None for x in texts]
+        new: set[str] = set()
+        for words in parts:
+            if words:
+                new.update(filterfalse(self.known.__contains__, words[1:]))
+        if len(self.known) + len(new) > CHUNKS:  # learn() starts anew: what is needed is all of these words
+            new = set().union(*(words[1:] for words in parts if words))
+        self.learn(new)
+        get, rest = self.known.__getitem__, iter(self.memo.values([x if p is None else p[0] for x, p in zip(texts, parts, strict=True)], b"".join))
+        return [next(rest) + b"".join(map(get, p[1:] if p else ())) for p in parts]
+
+
 @functools.lru_cache(maxsize=4)
-def _ids(path: str) -> Memo:
-    return Memo(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+def _ids(path: str) -> Memo | SpacedIds:
+    memo = Memo(path, _packed)
+    return memo if memo.words or memo.lower else SpacedIds(path)
 
 
 def counts(path: str, texts: list[str]) -> list[int]:
@@ -121,4 +161,5 @@ def counts(path: str, texts: list[str]) -> list[int]:
 
 def ids(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    return _ids(path).values(texts, b"".join)
+    by = _ids(path)
+    return by.values(texts) if isinstance(by, SpacedIds) else by.values(texts, b"".join)
