@@ -212,3 +212,11 @@ def test_revisits(spark):
     got = {r.record_id: r for r in warc.resolve_revisits(records).collect()}
     assert {i: (r.status, r.source_id) for i, r in got.items()} == {1: ("response", None), 2: ("resolved", 1), 3: ("no_response", None), 4: ("mismatch", 1), 5: ("no_response", None), 6: ("response", None), 7: ("resolved", 1)}
     assert got[2].headers == {"etag": 'W/"a"', "date": "2", "content-type": "text/html"}
+
+
+def test_spaced_ids():
+    rng, parts = random.Random(4), ["a", "b ", " ", "\n", "\t", " \n", "12", "é", "!?", "'s", "Word", " x", "\r\n", "\xa0", "’", "<|", "я"]
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokens.load(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.ids(path, texts) == want
