@@ -8,15 +8,18 @@ posterior probability that its similarity reaches the threshold (uniform prior)
 is below `miss`. Survivors are verified on their full shingle sets.
 
 Pairs whose set sizes alone rule out the threshold are never compared. A bucket
-of up to eight members proposes all its other pairs. A larger one proposes each
-member against one hub: the member that shares its buckets with most others, as
-the text that a group was copied from does, so that a document meets few
-different hubs. Links are joined into components. Buckets whose members are still
-in different components then propose up to four hubs of different components,
-drawn anew in every round, until a round finds no link. The number of candidates
-of a round is thus linear in the number of documents, however large a group of
-copies is. What this gives up: a document of a large bucket that links with few
-of its members and meets none of them as a hub, in any band and in any round.
+of up to eight members proposes all its pairs as rows. A larger one first
+proposes each member against one hub, the member that shares its buckets with
+most others, as the text that a group was copied from does; those links join
+most of a group of copies. All other pairs of a large bucket whose members are
+then in different components are compared in blocks: the bucket is dealt into
+parts of about 2,048 members by a hash, two parts meet in a block, and a block
+compares signatures as arrays and returns only the pairs that Bayesian pruning
+leaves. So every pair of every bucket is either inside one component already or
+compared; nothing is capped. Blocks compare long signatures, the lowest byte of
+each of 512 further hashes, where chance can only raise the number of matches.
+The arithmetic of blocks, not their rows, grows with the square of those members
+of a bucket that link with nobody near.
 
 Texts without words have no shingles and link with nothing; fewer than `words`
 words are one shingle. Null counts as empty. Rows without doc_id are left out;
@@ -25,7 +28,6 @@ rows that repeat a doc_id are the same document. Extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +42,8 @@ from .components import components
 from .storage import written
 
 HASHES, ROWS, SMALL, BATCH = 128, 4, 8, 16
+#: Members of a bucket in one part; bytes of a long signature, compared so many at a time; those that a block compares for all its pairs; ways to deal a bucket's rows in a join.
+PART, LONG, STEP, DENSE, SALT = 2048, 512, 32, 64, 16
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +70,14 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return h, np.searchsorted(r, np.arange(len(size) + 1))
 
 
+def _family(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of hash functions."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 63, size, dtype=np.uint64) * K.U64(2) + K.U64(1), rng.integers(0, 1 << 63, size, dtype=np.uint64)
+
+
 def _sketch(n: int):
-    rng = np.random.default_rng(20240501)
-    a = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * K.U64(2) + K.U64(1)
-    b = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+    a, b = _family(20240501, HASHES)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +141,61 @@ def _prune(percent: int, miss: float):
     return rows
 
 
+def _block(percent: int, miss: float):
+    """Pairs of a block in different components that sizes and signatures don't rule out."""
+    least = least_matches(percent, miss, LONG, STEP)
+
+    def compared(low: int, high: int, part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        columns = np.ascontiguousarray(sig[right].T)
+        for s in range(0, len(left), 256):
+            i = left[s : s + 256]
+            big, small = np.maximum(n[i][:, None], n[right]), np.minimum(n[i][:, None], n[right])
+            live = (component[i][:, None] != component[right]) & (100 * small >= percent * big)
+            if low == high:
+                live &= node[i][:, None] < node[right]
+            if not live.any():
+                continue
+            matches = np.zeros(live.shape, np.uint8)
+            for step in range(DENSE // STEP):
+                for h in range(step * STEP, (step + 1) * STEP):
+                    matches += sig[i, h][:, None] == columns[h]
+                live &= matches >= least[step]
+            x, y = np.nonzero(live)
+            total = matches[x, y].astype(np.int64)
+            x, y = i[x], right[y]
+            for step in range(DENSE // STEP, len(least)):
+                at = slice(step * STEP, (step + 1) * STEP)
+                total += (sig[x, at] == sig[y, at]).sum(1)
+                keep = total >= least[step]
+                x, y, total = x[keep], y[keep], total[keep]
+            yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                low, high = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                part, node, n, component, sig = batch.column(2)[row].values.flatten()
+                sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(-1, LONG)
+                for a, b in compared(low, high, part.to_numpy(), node.to_numpy(), n.to_numpy(), component.to_numpy(), sig):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows
+
+
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long signatures of shingle sets."""
+    a, b = _family(20240502, LONG)
+    for batch in batches:
+        out = []
+        for hashes in batch.column(1):
+            h, low = np.frombuffer(hashes.as_buffer(), np.uint64), np.full(LONG, (1 << 64) - 1, np.uint64)
+            for s in range(0, len(h), 1024):
+                low = np.minimum(low, (h[s : s + 1024, None] * a + b).min(0))
+            out.append((low >> K.U64(32)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "long_sig"])
+
+
 def _verify(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +213,7 @@ def _verify(percent: int):
     return rows
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-9) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document.
 
     percent: least Jaccard similarity of linked documents; words: words of a
@@ -171,7 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     def links(pairs: DataFrame) -> DataFrame:
         left, right = (sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
         likely = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent, miss), "a long, b long")
-        likely = written(likely, "likely")
+        return verified(written(likely, "likely"))
+
+    def verified(likely: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
         return likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
@@ -183,32 +248,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x, y))))")).alias("p"))
     pairs = pairs.where(fitting("p.x.n", "p.y.n")).select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"))
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    large = members.where(F.col("members") > SMALL).join(weight, "node")
-    large = written(large.select("bucket", "node", "n", "weight", F.col("node").alias("component")), "crowded")
-
-    def against(active: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Members of each bucket against its hubs, unless they are in one component already."""
-        tested = active.join(hubs, "bucket").select("node", "n", "component", F.explode("hubs").alias("hub")).where("component != hub.component").where(fitting("n", "hub.n"))
-        return tested.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-
-    turn = F.struct((-F.col("weight")).alias("rank"), F.xxhash64("node").alias("turn"), "node", "n", "component")
-    hub = large.groupBy("bucket").agg(F.min(turn).alias("low")).select("bucket", F.array(F.struct("low.node", "low.n", "low.component")).alias("hubs"))
-    edges = written(links(pairs.unionByName(against(large, hub))), "edges")
+    large = written(members.where(F.col("members") > SMALL).join(weight, "node"), "crowded")
+    first = F.min(F.struct((-F.col("weight")).alias("rank"), F.xxhash64("node").alias("turn"), "node", "n"))
+    hubs = large.groupBy("bucket").agg(first.alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(hubs, ["bucket", "salt"]).where("node != hub.node").where(fitting("n", "hub.n"))
+    edges = written(links(pairs.unionByName(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))), "edges")
     labels = components(edges)
-    for number in itertools.count():
-        # buckets whose members are still apart: members face hubs of other components
-        apart = large.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        apart = written(apart.join(mixed, "bucket", "left_semi"), "apart")
-        heads = apart.groupBy("bucket", "component").agg(F.min(turn).alias("head"))
-        drawn = F.struct(F.xxhash64("component", "bucket", F.lit(number)).alias("draw"), "head")
-        hubs = heads.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"), F.min("head").alias("first"), F.max("head").alias("last"))
-        ends = (F.struct(f"{h}.node", f"{h}.n", f"{h}.component") for h in ("low.head", "high.head", "first", "last"))
-        found = written(links(against(apart, hubs.select("bucket", F.array_distinct(F.array(*ends)).alias("hubs")))), "edges")
-        if found.isEmpty():
-            break
-        edges = edges.unionByName(found)
-        labels = components(edges)
+    # pairs of large buckets that are still in different components meet in blocks
+    nodes = large.select(F.col("node").alias("doc_id")).distinct()
+    long_sig = written(sets.join(nodes, "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(_long, "node long, long_sig binary"), "long")
+    apart = large.join(labels, "node", "left").join(long_sig, "node").withColumn("component", F.coalesce("component", "node"))
+    apart = apart.withColumn("parts", F.ceil(F.col("members") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = apart.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    whole = F.collect_list(F.struct("part", "node", "n", "component", "long_sig"))
+    blocks = dealt.groupBy("bucket", "low", "high").agg(F.min("component").alias("one"), F.max("component").alias("another"), whole.alias("rows")).where("one < another")
+    rest = written(blocks.select("low", "high", "rows").mapInArrow(_block(percent, miss), "a long, b long").distinct(), "rest")
+    found = written(verified(rest), "edges")
+    if not found.isEmpty():
+        labels = components(edges.unionByName(found))
     grouped = reps.select("n_shingles", "digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("n_shingles", "digest", F.coalesce("component", "node").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(grouped, ["n_shingles", "digest"], "left")
     component = F.coalesce("component_id", "doc_id")
