@@ -17,7 +17,8 @@ parts of about 2,048 members by a hash, two parts meet in a block, and a block
 compares signatures as arrays and returns only the pairs that Bayesian pruning
 leaves. So every pair of every bucket is either inside one component already or
 compared; nothing is capped. Blocks compare long signatures, the lowest byte of
-each of 512 further hashes, where chance can only raise the number of matches.
+each of 1,024 further hashes, where chance can only raise the number of matches.
+A pair that shares several buckets is returned by the first of them alone.
 The arithmetic of blocks, not their rows, grows with the square of those members
 of a bucket that link with nobody near.
 
@@ -43,7 +44,7 @@ from .storage import written
 
 HASHES, ROWS, SMALL, BATCH = 128, 4, 8, 16
 #: Members of a bucket in one part; bytes of a long signature, compared so many at a time; those that a block compares for all its pairs; ways to deal a bucket's rows in a join.
-PART, LONG, STEP, DENSE, SALT = 2048, 512, 32, 64, 16
+PART, LONG, STEP, DENSE, SALT = 2048, 1024, 32, 64, 16
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +114,12 @@ def least_matches(percent: int, miss: float, hashes: int = HASHES, batch: int =
 
     With a uniform prior that posterior is P(Binomial(n + 1, percent/100) <= matches).
     """
-    t, out = percent / 100, []
+    t, out = min(percent / 100, 1 - 1e-12), []
     for n in range(batch, hashes + 1, batch):
         total, m = 0.0, -1
         while total < miss:
             m += 1
-            total += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+            total += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log1p(-t))
         out.append(m)
     return np.array(out)
 
@@ -145,11 +146,11 @@ def _block(percent: int, miss: float):
     """Pairs of a block in different components that sizes and signatures don't rule out."""
     least = least_matches(percent, miss, LONG, STEP)
 
-    def compared(low: int, high: int, part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compared(bucket: int, low: int, high: int, part: np.ndarray, node: np.ndarray, n: np.ndarray, component: np.ndarray, buckets: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
         columns = np.ascontiguousarray(sig[right].T)
-        for s in range(0, len(left), 256):
-            i = left[s : s + 256]
+        for s in range(0, len(left), 64):
+            i = left[s : s + 64]
             big, small = np.maximum(n[i][:, None], n[right]), np.minimum(n[i][:, None], n[right])
             live = (component[i][:, None] != component[right]) & (100 * small >= percent * big)
             if low == high:
@@ -169,15 +170,19 @@ def _block(percent: int, miss: float):
                 total += (sig[x, at] == sig[y, at]).sum(1)
                 keep = total >= least[step]
                 x, y, total = x[keep], y[keep], total[keep]
+            shared = buckets[x] == buckets[y]
+            first = buckets[x, shared.argmax(1)] == bucket
+            x, y = x[first], y[first]
             yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                low, high = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                part, node, n, component, sig = batch.column(2)[row].values.flatten()
+                bucket, low, high = (batch.column(i)[row].as_py() for i in range(3))
+                part, node, n, component, buckets, sig = batch.column(3)[row].values.flatten()
+                buckets = buckets.flatten().to_numpy().reshape(-1, HASHES // ROWS)
                 sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(-1, LONG)
-                for a, b in compared(low, high, part.to_numpy(), node.to_numpy(), n.to_numpy(), component.to_numpy(), sig):
+                for a, b in compared(bucket, low, high, part.to_numpy(), node.to_numpy(), n.to_numpy(), component.to_numpy(), buckets, sig):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return rows
@@ -223,7 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     sketch = written(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
     one = sketch.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
     reps = written(one.select("n_shingles", "digest", "one.doc_id", "one.sig"), "representatives")
-    bands = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}), i))")).alias("band", "bucket"))
+    of_bands = F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}), i))")
+    bands = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode(of_bands).alias("band", "bucket"))
     crowd = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = written(bands.select("bucket", "node", "n").join(crowd, "bucket"), "members")
     inside = members.select("node").distinct()
@@ -257,12 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     # pairs of large buckets that are still in different components meet in blocks
     nodes = large.select(F.col("node").alias("doc_id")).distinct()
     long_sig = written(sets.join(nodes, "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(_long, "node long, long_sig binary"), "long")
-    apart = large.join(labels, "node", "left").join(long_sig, "node").withColumn("component", F.coalesce("component", "node"))
+    apart = large.join(labels, "node", "left").join(long_sig, "node").join(reps.select(F.col("doc_id").alias("node"), of_bands.alias("buckets")), "node").withColumn("component", F.coalesce("component", "node"))
     apart = apart.withColumn("parts", F.ceil(F.col("members") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = apart.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    whole = F.collect_list(F.struct("part", "node", "n", "component", "long_sig"))
+    whole = F.collect_list(F.struct("part", "node", "n", "component", "buckets", "long_sig"))
     blocks = dealt.groupBy("bucket", "low", "high").agg(F.min("component").alias("one"), F.max("component").alias("another"), whole.alias("rows")).where("one < another")
-    rest = written(blocks.select("low", "high", "rows").mapInArrow(_block(percent, miss), "a long, b long").distinct(), "rest")
+    rest = written(blocks.select("bucket", "low", "high", "rows").mapInArrow(_block(percent, miss), "a long, b long"), "rest")
     found = written(verified(rest), "edges")
     if not found.isEmpty():
         labels = components(edges.unionByName(found))
