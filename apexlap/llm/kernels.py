@@ -51,7 +51,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string column; null is empty."""
-    col = pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
+    col = pc.fill_null(batch.column(batch.schema.names.index(name)), "")
     if pa.types.is_large_string(col.type):
         col = col.cast(pa.string())
     _, off, data = col.buffers()

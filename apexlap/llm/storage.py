@@ -1,5 +1,26 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and rows that scorers carry along."""
 
-from ..sources.staging import shared_dir, written
+from __future__ import annotations
 
-__all__ = ["shared_dir", "written"]
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.staging import discard, shared_dir, written
+
+__all__ = ["carried", "discard", "row_and", "shared_dir", "uncarried", "written"]
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """text, and the whole row in one struct, so that no column of the input can clash with a result's."""
+    return docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+
+
+def row_and(docs: DataFrame, more: str) -> StructType:
+    """The schema of a carried row and more columns."""
+    return StructType([docs.select(F.struct("*").alias("row")).schema["row"], *StructType.fromDDL(more).fields])
+
+
+def uncarried(scored: DataFrame) -> DataFrame:
+    """The input's rows alone."""
+    return scored.select("row.*")

@@ -1,20 +1,25 @@
 """Toxicity by weak supervision.
 
-Voters are small rules. Lexicon voters hold words and word beginnings that the
-labelled training rows show mostly in toxic texts, dealt into several lists;
-pattern voters look at shouting and repeated marks; one voter says clean where
-no list has a hit. A generative label model explains the pattern of votes by
-one hidden class, with the stored label as one more voter: EM estimates how often each voter fires in each class (its
-accuracy), and the correlations that remain between voters within a class,
-which lower the weight of voters that repeat each other. A logistic regression
+Voters are small rules of different kinds. A lexicon voter holds the words, or
+the word beginnings of one length, that one fold of the training rows shows
+mostly in toxic texts: four kinds of entries by two folds make eight voters,
+each mined from other evidence. Pattern voters look at shouting, repeated
+marks, drawn-out letters and several hits at once, one voter says clean where
+no lexicon has a hit, and the stored label is a voter like the others. A
+generative label model explains the pattern of votes by one hidden class: EM
+estimates how often each voter, the stored label included, fires in each class
+(its accuracy), and the correlations that remain between voters within a class,
+which lower the weight of voters that repeat each other. A voter that doesn't
+fire abstains. A logistic regression
 over lexicon entries is then trained on the model's posterior labels and scores
 every text.
 
 Labels are read from rows that `train` selects, `sample` at most (those with
-the smallest hash of doc_id). Null and empty texts get the score of a text
-without hits. Several labels of a document count as the largest. Repeated rows
-give repeated results. Without labels every score is 0. Extra columns are
-ignored.
+the smallest hash of doc_id); their texts are written once. Null and empty texts
+get the score of a text without hits. Several labels of a document count as the
+largest. Repeated rows give repeated results; rows without doc_id are scored
+but never learnt from. Without toxic labels every score is 0. An empty table
+gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import carried, discard, row_and, uncarried, written
 
 PREFIXES = (4, 5, 6)
-LISTS, VOTERS = 8, 12
+FAMILIES, FOLDS = 1 + len(PREFIXES), 2
+LISTS = FAMILIES * FOLDS
+#: Voters after the lists: several hits, shouting, repeated marks, drawn-out letters, no hit, stored label.
+VOTERS = LISTS + 6
+SLICE = 1 << 19
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and word beginnings of each row, and their rows."""
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words and word beginnings of each row, their rows and their families."""
     starts, ends, ranges = K.words(data, offsets, K.ALNUM_WORDS)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(ranges))
     hashes, rows = [K.span_hashes(data, starts, ends)], [row]
@@ -42,42 +52,48 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         long = ends - starts > n
         hashes.append(K.mix64(K.span_hashes(data, starts[long], starts[long] + n) + K.U64(n)))
         rows.append(row[long])
-    return np.concatenate(hashes), np.concatenate(rows)
+    family = np.repeat(np.arange(FAMILIES), [len(h) for h in hashes])
+    return np.concatenate(hashes), np.concatenate(rows), family
 
 
 def _marks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows by pattern voters: shouting; repeated marks."""
+    """Rows by pattern voters: shouting; repeated marks; drawn-out letters."""
     upper = (raw >= 0x41) & (raw <= 0x5A)
     lower = (raw >= 0x61) & (raw <= 0x7A)
-    twice = np.zeros(len(raw), bool)
-    twice[1:] = (raw[1:] == raw[:-1]) & np.isin(raw[1:], [0x21, 0x3F, 0x2A])
-    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (upper, lower, twice)]
-    u, low, t = (np.diff(x[offsets]) for x in sums)
-    return np.stack([u > low + 10, t >= 3], 1)
+    same = np.zeros(len(raw), bool)
+    same[1:] = raw[1:] == raw[:-1]
+    twice = same & np.isin(raw, [0x21, 0x3F, 0x2A])
+    drawn = same & (upper | lower)
+    drawn[1:] &= same[:-1]
+    u, low, t, d = (np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]) for x in (upper, lower, twice, drawn))
+    return np.stack([u > low + 10, t >= 3, d >= 1], 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with each feature, by label, summed for each slice."""
+    """Texts with each feature, by family, fold and label, summed for each slice."""
     for batch in batches:
-        toxic = batch.column(2).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in K.text_slices(batch, "text", 1 << 21):
-            h, row = _features(K.LOWER[data], offsets)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
+        toxic, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        for lo, hi, data, offsets in K.text_slices(batch, "text", SLICE):
+            h, row, family = _features(K.LOWER[data], offsets)
+            part = fold[lo:hi][row]
+            order = np.lexsort((row, part, h))
+            h, row, family, part = h[order], row[order], family[order], part[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, bad = h[new], toxic[lo:hi][row[new]] == 1
-            known, at = np.unique(h, return_index=True)
+            h, bad, family, part = h[new], toxic[lo:hi][row[new]] == 1, family[new], part[new]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(first)
             total = np.diff(np.append(at, len(h)))
             tox = np.add.reduceat(bad, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(known)), pa.array(tox), pa.array(total - tox)], ["feature", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[at])), pa.array(family[at].astype(np.int32)), pa.array(part[at].astype(np.int32)), pa.array(tox), pa.array(total - tox)], ["feature", "family", "fold", "toxic", "clean"])
 
 
 def _hits(lexicon: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, entry) of each distinct lexicon entry in each row."""
     if not len(lexicon):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, row = _features(data, offsets)
+    h, row, _ = _features(data, offsets)
     at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
     ok = lexicon[at] == h
     pair = np.unique(row[ok].astype(np.int64) * len(lexicon) + at[ok])
@@ -87,61 +103,67 @@ def _hits(lexicon: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[n
 def _vote(lexicon: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, offsets in K.text_slices(batch, "text", 1 << 21):
+            for lo, hi, raw, offsets in K.text_slices(batch, "text", SLICE):
                 row, entry = _hits(lexicon, K.LOWER[raw], offsets)
                 marks = _marks(raw, offsets)
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 entries = [entry[s:e].tolist() for s, e in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(2)[lo:hi], pa.array(entries, pa.list_(pa.int32())), pa.array(marks[:, 0]), pa.array(marks[:, 1])], ["toxic", "entries", "shouts", "repeats"])
+                yield pa.RecordBatch.from_arrays([batch.column(2)[lo:hi], pa.array(entries, pa.list_(pa.int32())), pa.array([x.tolist() for x in marks], pa.list_(pa.bool_()))], ["toxic", "entries", "marks"])
 
     return rows
 
 
-def votes_of(entries: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
-    """Texts by voters: which fire. Lists, two hits or more, shouting, repeated marks, clean."""
+def votes_of(entries: list[np.ndarray], lists: list[np.ndarray], marks: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Texts by voters: which fire. lists: the lexicon voters of each entry."""
     v = np.zeros((len(entries), VOTERS), bool)
     for i, e in enumerate(entries):
-        v[i, np.asarray(e, int) % LISTS] = True
-        v[i, LISTS], v[i, VOTERS - 1] = len(e) > 1, not len(e)
-    v[:, LISTS + 1 : LISTS + 3] = marks
+        for x in e:
+            v[i, lists[x]] = True
+        v[i, LISTS], v[i, LISTS + 4] = len(e) > 1, not len(e)
+    v[:, LISTS + 1 : LISTS + 4] = marks
+    v[:, LISTS + 5] = toxic
     return v
 
 
 @dataclass
 class LabelModel:
     prior: float
-    fires: np.ndarray  # class by voter
-    weight: np.ndarray  # voter
+    weight_of_vote: np.ndarray  # log odds that a voter's firing adds, by voter
+    weight_of_label: np.ndarray  # the same of the stored label, clean and toxic
+    share: np.ndarray  # what correlated voters keep of theirs
 
-    def posterior(self, votes: np.ndarray, known: np.ndarray | float = 0.0) -> np.ndarray:
-        """P(toxic) from the votes, and from log odds that are known besides."""
-        logit = np.log(self.prior / (1 - self.prior)) + known
-        on = np.log(self.fires[1] / self.fires[0])
-        off = np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        return 1 / (1 + np.exp(-np.clip(logit + (np.where(votes, on, off) * self.weight).sum(1), -40, 40)))
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic) from the votes; a voter that doesn't fire abstains, but the stored label always says something."""
+        logit = np.log(self.prior / (1 - self.prior)) + votes[:, :-1] @ (self.weight_of_vote * self.share)
+        return 1 / (1 + np.exp(-np.clip(logit + self.weight_of_label[votes[:, -1].astype(int)], -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple[LabelModel, np.ndarray]:
-    """EM over the votes; start: what the stored label alone says of each text's class, a voter that is always there.
+def fit_label_model(votes: np.ndarray, rounds: int = 20) -> tuple[LabelModel, np.ndarray]:
+    """EM over the votes, which begins with the stored labels.
 
-    Returns the model and the posterior of each text.
+    A voter's accuracy is the share of toxic texts among those where it fires;
+    what it adds is its log odds beyond the prior. Voters that fire together
+    within a class more often than chance share their weight. Returns the model
+    and the posterior of each text.
     """
-    p, weight = start.astype(float), np.ones(votes.shape[1])
-    v = votes.astype(float)
+    v, label = votes[:, :-1].astype(float), votes[:, -1]
+    p, fired = np.where(label, 0.9, 0.1), v.sum(0)
     for _ in range(rounds):
-        mass = np.array([(1 - p).sum(), p.sum()]) + 1
-        fires = np.stack([((1 - p)[:, None] * v).sum(0), (p[:, None] * v).sum(0)]) + np.array([[0.05], [0.05]])
-        fires = np.clip(fires / mass[:, None], 1e-4, 1 - 1e-4)
-        repeated = np.zeros((v.shape[1],) * 2)
-        for c, q in enumerate((1 - p, p)):
-            d = (v - fires[c]) * np.sqrt(q / mass[c])[:, None]
+        prior = float(np.clip((p.sum() + 1) / (len(p) + 2), 1e-3, 1 - 1e-3))
+        odds = lambda toxic, n, prior=prior: np.log((toxic + prior) / (n - toxic + 1 - prior)) - np.log(prior / (1 - prior))
+        added = odds(p @ v, fired)
+        stored = np.array([odds(p[~label].sum(), (~label).sum()), odds(p[label].sum(), label.sum())])
+        together = np.zeros((v.shape[1],) * 2)
+        for q in (1 - p, p):
+            mean = q @ v / max(q.sum(), 1)
+            d = (v - mean) * np.sqrt(q / max(q.sum(), 1))[:, None]
             cov = d.T @ d
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            repeated = np.maximum(repeated, np.abs(cov / scale / scale[:, None]) * (scale > 1e-3) * (scale > 1e-3)[:, None])
-        np.fill_diagonal(repeated, 0)
-        weight = 1 / (1 + np.where(repeated > 0.3, repeated, 0).sum(1))
-        model = LabelModel(float(np.clip(mass[1] / mass.sum(), 1e-3, 1 - 1e-3)), fires, weight)
-        p = model.posterior(votes, np.log(start / (1 - start)))
+            together = np.maximum(together, np.abs(cov / scale / scale[:, None]) * (scale > 1e-3) * (scale > 1e-3)[:, None])
+        np.fill_diagonal(together, 0)
+        share = 1 / (1 + np.where(together > 0.3, together, 0).sum(1))
+        model = LabelModel(prior, added, stored, share)
+        p = model.posterior(votes)
     return model, p
 
 
@@ -163,38 +185,61 @@ def _score(lexicon: np.ndarray, weights: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for lo, hi, raw, offsets in K.text_slices(batch, "text", 1 << 21):
+            for lo, hi, raw, offsets in K.text_slices(batch, "text", SLICE):
                 row, entry = _hits(lexicon, K.LOWER[raw], offsets)
                 z = np.bincount(row, weights[:-1][entry], hi - lo) + weights[-1]
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
             score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
 
     return rows
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, entries: int = 2_000, precision: float = 0.9) -> DataFrame:
-    """doc_id, score, predicted of each document.
-
-    labels: doc_id, toxic; train: which labels may be learnt from, in terms of
-    doc_id; sample: how many of them at most; entries: size of the lexicon at most;
-    precision: least share of toxic texts among those with a lexicon entry.
-    """
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int, entries: int, precision: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicon's entries and their weights, the intercept last."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(train)
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    learn = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    learn = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+    learn = written(learn, "learn")
     n = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     lexicon, weights = np.zeros(0, K.U64), np.array([-40.0])
     if n.get(1):
-        least = max(3, n[1] // 100)
-        counted = learn.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        least = max(3, n[1] // (100 * FOLDS))
+        counted = learn.mapInArrow(_count, "feature long, family int, fold int, toxic long, clean long").groupBy("feature", "family", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         likely = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
-        top = likely.orderBy(F.desc(F.expr("toxic / (clean + 1)")), "feature").limit(entries)
-        lexicon = np.sort(np.array([r.feature for r in top.collect()], np.int64).view(K.U64))
-        seen = learn.mapInArrow(_vote(lexicon), "toxic int, entries array<int>, shouts boolean, repeats boolean").collect()
+        top = likely.orderBy(F.desc(F.expr("toxic / (clean + 1)")), "feature", "fold").limit(entries).collect()
+        found_in: dict[int, list[int]] = {}
+        for r in top:
+            found_in.setdefault(r.feature, []).append(r.family * FOLDS + r.fold)
+        features = np.array(sorted(found_in, key=lambda x: x % (1 << 64)), np.int64)
+        lexicon, lists = features.view(K.U64), [np.array(found_in[x]) for x in features.tolist()]
+        seen = learn.mapInArrow(_vote(lexicon), "toxic int, entries array<int>, marks array<boolean>").collect()
         found = [np.array(r.entries, int) for r in seen]
-        votes = votes_of(found, np.array([[r.shouts, r.repeats] for r in seen], bool))
-        _, posterior = fit_label_model(votes, np.array([0.05 + 0.9 * (r.toxic == 1) for r in seen]))
+        votes = votes_of(found, lists, np.array([r.marks for r in seen], bool), np.array([r.toxic == 1 for r in seen]))
+        _, posterior = fit_label_model(votes)
         weights = fit_linear(found, len(lexicon), posterior)
-    return texts.mapInArrow(_score(lexicon, weights), "doc_id long, score double, predicted int")
+    discard(learn)
+    return lexicon, weights
+
+
+def with_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_000, entries: int = 4_000, precision: float = 0.9) -> DataFrame:
+    """row (the whole row of docs), score, predicted: one row for each row of docs, in one pass without a shuffle.
+
+    labels: doc_id, toxic; train: which labels may be learnt from, in terms of
+    doc_id; sample: how many of them at most; entries: size of the lexicon at most;
+    precision: least share of toxic texts among those with a lexicon entry.
+    """
+    lexicon, weights = fit(docs, labels, train, sample, entries, precision)
+    return carried(docs).mapInArrow(_score(lexicon, weights), row_and(docs, "score double, predicted int"))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, **parameters) -> DataFrame:
+    """doc_id, score, predicted of each document."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_toxicity(ids, labels, train, **parameters).select("row.doc_id", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, train: Column, **parameters) -> DataFrame:
+    """The rows of docs that aren't called toxic, with all their columns."""
+    return uncarried(with_toxicity(docs, labels, train, **parameters).where("predicted = 0"))
