@@ -2,13 +2,15 @@
 
 The cache is a Parquet table (version, digest, n_tokens): version is the digest
 of the tokenizer's file and library, digest that of the normalised text (runs
-of ASCII white space as one space, which this tokenizer reads alike). Texts are
-joined to the cache, only distinct misses are encoded, and their counts are
-appended. Equal texts are combined before the shuffle, so a text that makes up
-a third of the rows costs one row a task.
+of ASCII white space as one space) where the tokenizer itself reads those alike,
+else that of the text. Digests go first: they are joined to the cache, and of
+those that miss, one row each lends its text. Only these texts move and are
+encoded, and their counts are appended. With a warm cache no text moves. A text
+that makes up a third of the rows costs one row a task.
 
 Null counts as empty and has no tokens. Rows without doc_id are counted too;
-repeated rows give repeated results. Extra columns are ignored.
+repeated rows give repeated results. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import tokens
 from .exact import normalised
-from .storage import shared_dir
+from .storage import discard, shared_dir, written
 
 CACHE = "version string, digest binary, n_tokens long"
+#: Rows of misses up to which they are broadcast, at about 100 bytes each.
+FEW = 50_000
 
 
 def version_of(path: str) -> str:
@@ -38,11 +42,20 @@ def version_of(path: str) -> str:
 
 def _encode(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # equal rows of one doc_id, or of none, come once a task
         for batch in batches:
+            new = []
+            for i, digest in enumerate(batch.column(0).to_pylist()):
+                if digest not in seen:
+                    new.append(i)
+                    seen.add(digest)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            batch = batch.take(pa.array(new, pa.int64()))
             text = batch.column(1)
             _, offsets = K.text_column(batch, "text")
-            for lo, hi in K.slices(offsets, 1 << 23):
-                n = tokens.counts(path, text[lo:hi].to_pylist())
+            for lo, hi in K.slices(offsets, 1 << 22):
+                n = tokens.counts(path, [x or "" for x in text[lo:hi].to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return rows
@@ -58,13 +71,21 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     version = version_of(path)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("raw"), normalised().alias("text"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    distinct = texts.select("digest", "text").dropDuplicates(["digest"])
-    misses = distinct.join(stored.select("digest"), "digest", "left_anti")
-    counted = misses.mapInArrow(_encode(path), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = texts.select("doc_id", "digest", F.octet_length(F.coalesce("raw", F.lit(""))).cast("long").alias("n_bytes"))
+
+    def stored() -> DataFrame:
+        return spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    read_as = normalised() if tokens.folds_space(path) else F.coalesce("text", F.lit(""))
+    rows = written(texts.select("doc_id", "text_hash", F.unhex(F.sha2(read_as, 256)).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "digests")
+    lenders = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).join(stored().select("digest"), "digest", "left_anti")
+    misses = written(lenders.select("digest", F.coalesce("of.doc_id", F.lit(-1)).alias("id"), F.col("of.text_hash").alias("hash")), "misses")
+    few = misses.count() <= FEW
+    chosen = F.broadcast(misses) if few else misses.hint("shuffle_hash")
+    keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash"))
+    counted = keyed.join(chosen, ["id", "hash"]).select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
+    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    discard(misses)
+    known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
