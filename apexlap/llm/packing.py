@@ -1,15 +1,17 @@
 """Packing of documents into training sequences by best-fit decreasing.
 
-Each partition of the input is encoded and packed by itself, so nothing moves
-between tasks and a lost task gives the same sequences again. Documents longer
-than a window are first cut into full windows; the rest of them and all shorter
-documents are placed by falling length, each into the tightest open window that
-still has room, which a segment tree over remaining capacities finds in
-log2(window) steps. A partition leaves at most a few windows partly empty, so
-padding falls with the size of partitions.
+Texts are encoded where they are read; documents longer than a window are first
+cut into full windows, which are sequences at once. What is left, pieces shorter
+than a window, is written without texts, dealt anew to tasks of `pool` pieces,
+and each task places its pieces by falling length, each into the tightest open
+window that still has room, which a segment tree over remaining capacities finds
+in log2(window) steps. A pool leaves at most a few windows partly empty, so
+padding doesn't depend on how the input is partitioned. The written pieces are
+what a lost task starts from again.
 
 Null and empty texts are documents of the end id alone. Rows without doc_id and
-repeated rows are packed like others. Extra columns are ignored.
+repeated rows are packed like others; equal lengths are placed as they come. An
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokens
+from .storage import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 class Capacities:
@@ -76,35 +80,57 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset, used
 
 
-def _pack(path: str, window: int, end_id: int, keep_ids: bool):
+def _encode(path: str, window: int, end_id: int, keep_ids: bool):
+    """The pieces of each document; a full one has a sequence of its own, of an odd number."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, start, length, crc, total, kept = [], [], [], [], [], []
-        end = end_id.to_bytes(4, "little")
+        full = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = K.text_column(batch, "text")
             for lo, hi in K.slices(offsets, 1 << 19):
-                encoded = tokens.ids(path, [x or "" for x in batch.column(1)[lo:hi].to_pylist()])
-                for doc_id, data in zip(batch.column(0)[lo:hi].to_pylist(), encoded, strict=True):
-                    data += end
-                    n = len(data) // 4
-                    for s in range(0, n, window):
-                        part = data[4 * s : 4 * (s + window)]
-                        ids.append(doc_id)
-                        start.append(s)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        total.append(n)
-                        kept.append(part if keep_ids else None)
-        where, offset, _ = best_fit_decreasing(np.array(length, np.int64), window)
-        where += TaskContext.get().partitionId() << 32
-        for s in range(0, len(ids), 50_000):
-            e = s + 50_000
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[s:e], pa.int64()) for x in (ids, start, length, crc, total, where, offset)), pa.array(kept[s:e], pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
+                flat, at = tokens.id_arrays(path, [x or "" for x in batch.column(1)[lo:hi].to_pylist()])
+                flat = np.insert(flat, at[1:], end_id).astype("<u4")
+                raw, at = flat.tobytes(), at + np.arange(len(at))
+                total = np.diff(at)
+                pieces = -(-total // window)
+                doc = np.repeat(np.arange(hi - lo), pieces)
+                start = window * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(window, total[doc] - start)
+                first = 4 * (at[doc] + start)
+                parts = [raw[s : s + n] for s, n in zip(first.tolist(), (4 * length).tolist(), strict=True)]
+                whole = length == window
+                sequence = np.where(whole, 2 * (full + np.cumsum(whole)) + 1, -1)
+                full += int(whole.sum())
+                crc = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                ids = pa.array(parts if keep_ids else [None] * len(parts), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].take(pa.array(doc)), pa.array(start), pa.array(length), crc, pa.array(total[doc]), pa.array(sequence), pa.array(np.zeros(len(doc), np.int64)), ids], NAMES)
+
+    return rows
+
+
+def _place(window: int):
+    """The pieces of a pool in sequences of even numbers."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = list(batches)  # bounded by the number of pools
+        if not pool:
+            return
+        table = pa.Table.from_batches(pool)
+        where, offset, _ = best_fit_decreasing(table["length"].to_numpy(), window)
+        where = 2 * (where + (TaskContext.get().partitionId() << 32))
+        table = table.set_column(5, "sequence_id", pa.array(where)).set_column(6, "offset", pa.array(offset))
+        yield from table.to_batches(max_chunksize=50_000)
 
     return rows
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
-    """PIECES: one row for each piece of a document, with its ids unless keep_ids is off."""
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, keep_ids: bool = True, pool: int = 1 << 16) -> DataFrame:
+    """PIECES: one row for each piece of a document, with its ids unless keep_ids is off.
+
+    pool: about how many short pieces a task packs together.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_pack(path, window, end_id, keep_ids), PIECES)
+    pieces = written(texts.mapInArrow(_encode(path, window, end_id, keep_ids), PIECES), "pieces")
+    short = pieces.where(F.col("length") < window)
+    pools = max(1, -(-short.count() // pool))
+    return pieces.where(F.col("length") == window).unionByName(short.repartition(pools).mapInArrow(_place(window), PIECES))

@@ -4,8 +4,8 @@ No piece of either tokenizer crosses the chunks that a text is cut into here,
 so the ids of a text are those of its chunks in order. A chunk that is not yet
 in the worker's memo is cut into pieces by the tokenizer's own pattern, and the
 library's model encodes each distinct piece once. Byte-level ids take a shorter
-way where they can: a text is cut before each space, and only words that are new
-are looked at further. A text with characters or special strings for which that
+way where they can: a text is cut before each space, the words of many texts are
+looked up together in arrays, and only new ones are looked at further. A text with characters or special strings for which that
 can't be relied on goes to the library whole.
 """
 
@@ -17,7 +17,10 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable
-from itertools import filterfalse
+
+import numpy as np
+
+from . import kernels as K
 
 #: Latin letters, digits, punctuation and plain white space, settled in all Unicode versions.
 _UNSETTLED = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
@@ -60,6 +63,14 @@ def _plain(pattern: str) -> str:
     return pattern
 
 
+def folds_space(path: str) -> bool:
+    """Whether the tokenizer's own normalizer makes each run of white space one space."""
+    with open(path, encoding="utf-8") as f:
+        normalizer = json.load(f)["normalizer"] or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    return any(x.get("type") == "Replace" and x["pattern"].get("Regex") == r"\s+" and x.get("content") == " " for x in steps)
+
+
 def settled(text: str) -> bool:
     """Whether chunks can be relied on."""
     return "<|" not in text and _UNSETTLED.search(text) is None
@@ -119,33 +130,88 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class SpacedIds:
-    """Ids of texts of a byte-level tokenizer; `known` holds the ids of a word with the space before it."""
+    """Ids of texts of a byte-level tokenizer: a table of the ids of words with the space before them.
+
+    Words are found by a 64-bit hash of their bytes, all words of a slice at
+    once; only words that are new to the table are looked at one by one.
+    """
+
+    SLOTS = 20
 
     def __init__(self, path: str) -> None:
-        self.memo, self.known = Memo(path, _packed), {}
-
-    def learn(self, words: set[str]) -> None:
-        """Puts words in `known`; one of Latin letters alone is a single piece with its space."""
-        tokenize, space = self.memo.model.tokenize, " ".translate(self.memo.letters)
-        if len(self.known) + len(words) > CHUNKS:
-            self.known = {}
-        for w in words:
-            if w.isascii() and w.isalpha():
-                self.known[w] = _packed([t.id for t in tokenize(space + w)])
-            else:
-                self.known[w] = self.memo.value_of(" " + w)
-
-    def values(self, texts: list[str]) -> list[bytes]:
-        parts = [x.split(" ") if "  " not in x and settled(x) and _SPACE_RUN.search(x) is None else None for x in texts]
-        new: set[str] = set()
-        for words in parts:
-            if words:
-                new.update(filterfalse(self.known.__contains__, words[1:]))
-        if len(self.known) + len(new) > CHUNKS:  # learn() starts anew: what is needed is all of these words
-            new = set().union(*(words[1:] for words in parts if words))
-        self.learn(new)
-        get, rest = self.known.__getitem__, iter(self.memo.values([x if p is None else p[0] for x, p in zip(texts, parts, strict=True)], b"".join))
-        return [next(rest) + b"".join(map(get, p[1:] if p else ())) for p in parts]
+        self.memo = Memo(path, _packed)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._index()
+
+    def _index(self) -> None:
+        """Slots by the hash's first bits, where the words known longest come first, and an order for the rest."""
+        self.slot = np.zeros(1 << self.SLOTS, np.int32)
+        self.slot[(self.keys[::-1] >> np.uint64(64 - self.SLOTS)).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        self.order = np.argsort(self.keys, kind="stable")
+        self.sorted = self.keys[self.order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash in the table, -1 where it has none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        at = self.slot[(hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)].astype(np.int64)
+        miss = np.flatnonzero(self.keys[at] != hashes)
+        k = np.minimum(np.searchsorted(self.sorted, hashes[miss]), len(self.keys) - 1)
+        at[miss] = np.where(self.sorted[k] == hashes[miss], self.order[k], -1)
+        return at
+
+    def _ids_of(self, word: str) -> bytes:
+        """One of Latin letters alone is a single piece with its space."""
+        if word.isascii() and word.isalpha():
+            return _packed([t.id for t in self.memo.model.tokenize(" ".translate(self.memo.letters) + word)])
+        return self.memo.value_of(" " + word)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        if len(self.keys) + len(words) > CHUNKS:
+            self._clear()
+        ids = [self._ids_of(w) for w in words]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.keys, self.sizes = np.concatenate([self.keys, hashes]), np.concatenate([self.sizes, sizes])
+        self._index()
+
+    def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin."""
+        plain = ["  " not in x and settled(x) and _SPACE_RUN.search(x) is None for x in texts]
+        heads = self.memo.values([x.split(" ", 1)[0] if p else x for x, p in zip(texts, plain, strict=True)], b"".join)
+        raw = [x.encode() if p else b"" for x, p in zip(texts, plain, strict=True)]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        spaces = np.flatnonzero(data == 0x20)
+        of = np.searchsorted(spaces, offsets)  # words of text i: [of[i], of[i + 1])
+        text = np.repeat(np.arange(len(texts)), np.diff(of))
+        begin = spaces + 1
+        end = np.append(spaces[1:], len(data)) if len(spaces) else spaces
+        end = np.minimum(end, offsets[text + 1])
+        hashes = K.span_hashes(data, begin, end)
+        at = self._find(hashes)
+        if (at < 0).any():
+            new, first = np.unique(hashes[at < 0], return_index=True)
+            first = np.flatnonzero(at < 0)[first]
+            if len(self.keys) + len(new) > CHUNKS:  # the table starts anew: with all words of these texts
+                new, first = np.unique(hashes, return_index=True)
+            self._learn(new, [data[begin[i] : end[i]].tobytes().decode() for i in first.tolist()])
+            at = self._find(hashes)
+        size, head = self.sizes[at], np.array([len(x) // 4 for x in heads], np.int64)
+        before = np.concatenate([[0], np.cumsum(size)])
+        total = head + before[of[1:]] - before[of[:-1]]
+        base = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
+        out = np.empty(base[-1], np.uint32)
+        turn = np.arange(before[-1])
+        target = (base[:-1] + head - before[of[:-1]])[text] + before[:-1]
+        out[np.repeat(target - before[:-1], size) + turn] = self.flat[np.repeat(self.starts[at] - before[:-1], size) + turn]
+        for x, b in zip(heads, base[:-1].tolist(), strict=True):
+            out[b : b + len(x) // 4] = np.frombuffer(x, "<u4")
+        return out, base
 
 
 @functools.lru_cache(maxsize=4)
@@ -159,7 +225,17 @@ def counts(path: str, texts: list[str]) -> list[int]:
     return _counter(path).values(texts, sum)
 
 
+def id_arrays(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where each text's begin."""
+    by = _ids(path)
+    if isinstance(by, SpacedIds):
+        return by.arrays(texts)
+    each = by.values(texts, b"".join)
+    return np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int64)
+
+
 def ids(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    by = _ids(path)
-    return by.values(texts) if isinstance(by, SpacedIds) else by.values(texts, b"".join)
+    flat, at = id_arrays(path, texts)
+    raw = flat.astype("<u4").tobytes()
+    return [raw[4 * s : 4 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
