@@ -23,8 +23,10 @@ The arithmetic of blocks, not their rows, grows with the square of those members
 of a bucket that link with nobody near.
 
 Texts without words have no shingles and link with nothing; fewer than `words`
-words are one shingle. Null counts as empty. Rows without doc_id are left out;
-rows that repeat a doc_id are the same document. Extra columns are ignored.
+words are one shingle. Null counts as empty. Rows without doc_id are left out.
+Rows that repeat a doc_id are judged by their own texts and linked like any
+others; equal rows share one decision, one row each. Ties of sets go to the
+smallest doc_id. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import written
+from .storage import discard, written
 
 HASHES, ROWS, SMALL, BATCH = 128, 4, 8, 16
 #: Members of a bucket in one part; bytes of a long signature, compared so many at a time; those that a block compares for all its pairs; ways to deal a bucket's rows in a join.
@@ -93,7 +95,7 @@ def _sketch(n: int):
                 raw, digests = h.tobytes(), []
                 for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     digests.append(xxhash.xxh3_128_digest(raw[8 * s : 8 * e]))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(count), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in (0, 1)), pa.array(count), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
     return rows
 
@@ -104,7 +106,7 @@ def _sets(n: int):
             for lo, hi, data, offsets in K.text_slices(batch, "text", 1 << 20):
                 h, at = _shingles(data, offsets, n)
                 raw = h.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["node", "hashes"])
 
     return rows
 
@@ -219,31 +221,36 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document.
+    """doc_id, n_shingles, component_id, kept, text_hash of each document.
 
     percent: least Jaccard similarity of linked documents; words: words of a
     shingle; miss: posterior probability at which a candidate is given up.
+    text_hash: xxhash64 of the text, which tells rows of one doc_id apart.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sketch = written(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
-    one = sketch.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
-    reps = written(one.select("n_shingles", "digest", "one.doc_id", "one.sig"), "representatives")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    sketch = texts.mapInArrow(_sketch(words), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
+    # rows get numbers when they are written, so that a node is one row whatever its doc_id
+    sketch = written(sketch.withColumn("node", F.monotonically_increasing_id()), "sketch")
+    first = F.min(F.struct("doc_id", "node", "text_hash", "sig")).alias("first")
+    one = sketch.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(first)
+    reps = written(one.select("n_shingles", "digest", "first.*"), "representatives")
     of_bands = F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}), i))")
-    bands = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode(of_bands).alias("band", "bucket"))
+    bands = reps.select("node", F.col("n_shingles").alias("n"), F.posexplode(of_bands).alias("band", "bucket"))
     crowd = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = written(bands.select("bucket", "node", "n").join(crowd, "bucket"), "members")
-    inside = members.select("node").distinct()
-    sets = texts.join(inside.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, hashes binary")
-    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
-    sigs = reps.select("doc_id", "sig")
+    inside = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    sets = texts.join(inside.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets(words), "node long, hashes binary")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    sigs = reps.select("node", "sig")
 
     def links(pairs: DataFrame) -> DataFrame:
-        left, right = (sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        left, right = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
         likely = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent, miss), "a long, b long")
         return verified(written(likely, "likely"))
 
     def verified(likely: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
+        left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
         return likely.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
     def fitting(x: str, y: str) -> str:
@@ -251,28 +258,46 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
     small = members.where(F.col("members") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("nodes"))
-    pairs = small.select(F.explode(F.expr("flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x, y))))")).alias("p"))
+    every_pair = "flatten(transform(nodes, (x, i) -> transform(slice(nodes, i + 2, size(nodes)), y -> struct(x, y))))"
+    pairs = small.select(F.explode(F.expr(every_pair)).alias("p"))
     pairs = pairs.where(fitting("p.x.n", "p.y.n")).select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"))
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     large = written(members.where(F.col("members") > SMALL).join(weight, "node"), "crowded")
-    first = F.min(F.struct((-F.col("weight")).alias("rank"), F.xxhash64("node").alias("turn"), "node", "n"))
-    hubs = large.groupBy("bucket").agg(first.alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    met = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(hubs, ["bucket", "salt"]).where("node != hub.node").where(fitting("n", "hub.n"))
-    edges = written(links(pairs.unionByName(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))), "edges")
+    leader = F.min(F.struct((-F.col("weight")).alias("rank"), F.xxhash64("node").alias("turn"), "node", "n"))
+    hubs = large.groupBy("bucket").agg(leader.alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(hubs, ["bucket", "salt"])
+    met = met.where("node != hub.node").where(fitting("n", "hub.n"))
+    met = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    edges = written(links(pairs.unionByName(met)), "edges")
     labels = components(edges)
+    discard(members)
+
     # pairs of large buckets that are still in different components meet in blocks
-    nodes = large.select(F.col("node").alias("doc_id")).distinct()
-    long_sig = written(sets.join(nodes, "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(_long, "node long, long_sig binary"), "long")
-    apart = large.join(labels, "node", "left").join(long_sig, "node").join(reps.select(F.col("doc_id").alias("node"), of_bands.alias("buckets")), "node").withColumn("component", F.coalesce("component", "node"))
-    apart = apart.withColumn("parts", F.ceil(F.col("members") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = apart.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    apart = large.join(labels, "node", "left").select("bucket", "node", "n", "members", F.coalesce("component", "node").alias("component"))
+    apart = apart.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / PART)).cast("int"))
+    apart = written(apart, "apart")
+    reach = apart.groupBy("bucket", "part").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    other = reach.select("bucket", F.col("part").alias("high"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    blocks = reach.withColumnRenamed("part", "low").join(other, "bucket").where("low <= high and least(least, least2) < greatest(most, most2)")
+    blocks = written(blocks.select("bucket", "low", "high"), "blocks")
+    sides = [apart.join(blocks.where(test).withColumn("part", F.col(side)), ["bucket", "part"]) for side, test in (("low", "true"), ("high", "low < high"))]
+    dealt = written(sides[0].unionByName(sides[1]), "dealt")
+    nodes = dealt.select("node").distinct()
+    long_sig = written(sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(_long, "node long, long_sig binary"), "long")
+    rows = dealt.join(long_sig, "node").join(reps.select("node", of_bands.alias("buckets")), "node")
     whole = F.collect_list(F.struct("part", "node", "n", "component", "buckets", "long_sig"))
-    blocks = dealt.groupBy("bucket", "low", "high").agg(F.min("component").alias("one"), F.max("component").alias("another"), whole.alias("rows")).where("one < another")
+    blocks = rows.groupBy("bucket", "low", "high").agg(whole.alias("rows"))
     rest = written(blocks.select("bucket", "low", "high", "rows").mapInArrow(_block(percent, miss), "a long, b long"), "rest")
     found = written(verified(rest), "edges")
     if not found.isEmpty():
         labels = components(edges.unionByName(found))
-    grouped = reps.select("n_shingles", "digest", F.col("doc_id").alias("node")).join(labels, "node", "left").select("n_shingles", "digest", F.coalesce("component", "node").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(grouped, ["n_shingles", "digest"], "left")
+
+    linked = reps.select("n_shingles", "digest", "node", "doc_id").join(labels, "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    grouped = linked.join(least, "component").select("n_shingles", "digest", "component_id")
+    alone = reps.select("n_shingles", "digest", F.col("doc_id").alias("own"))
+    of_sets = written(alone.join(grouped, ["n_shingles", "digest"], "left").select("n_shingles", "digest", F.coalesce("component_id", "own").alias("component_id")), "components")
+    discard(large, sets, apart, dealt, long_sig)
+    out = sketch.select("doc_id", "text_hash", "n_shingles", "digest").join(of_sets, ["n_shingles", "digest"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_hash")

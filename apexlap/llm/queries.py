@@ -64,7 +64,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_duplicates
 
-    return exact_duplicates(_table(spark, sf_dir, "documents"))
+    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_exact(docs, none):
         got = {r.doc_id: r for r in exact.exact_duplicates(docs, fan_in).collect()}
         for i, x in norm.items():
             group = sorted(j for j, y in norm.items() if x == y)
-            assert tuple(got[i]) == (i, group[0], len(group), i == group[0], hashlib.sha256(x.encode()).hexdigest())
+            assert tuple(got[i])[:5] == (i, group[0], len(group), i == group[0], hashlib.sha256(x.encode()).hexdigest())
     assert exact.exact_duplicates(none).count() == 0
 
 
@@ -164,8 +164,8 @@ def test_contamination(spark, docs, none):
     items = [(1, corpus()[20][1]), (2, "ONE"), (3, None), (4, "three a b"), (11, corpus()[30][1]), (None, "x"), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     low = lambda x: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").encode().lower())
-    for size in (1 << 25, 50):
-        got = {r.doc_id: r for r in wumanber.find_contamination(docs, bench, block_bytes=size).collect()}
+    for size in (1 << 23, 50):
+        got = {r.doc_id: r for r in wumanber.find_contamination(docs, bench, group_bytes=size).collect()}
         for i, x in corpus():
             w, hit, names = low(x), set(), set()
             for item, text in items:
