@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages; each is written and read again before the next."""
+"""A corpus pipeline of five stages; each is written and read again before the next.
+
+Every stage takes and returns whole rows of documents, with all their columns;
+the last returns pieces of training sequences. Null and empty texts are clean
+and not toxic, equal to each other for exact dedup, like nothing for near dedup,
+and documents of the end id alone for packing. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -10,47 +16,58 @@ from apexlap.llm.minhash import near_duplicates
 from apexlap.llm.packing import pack_documents
 from apexlap.llm.storage import written
 from apexlap.llm.tokens import tokenizer_path
-from apexlap.llm.toxicity import score_toxicity
-from apexlap.llm.wumanber import find_contamination
+from apexlap.llm.toxicity import without_toxic
+from apexlap.llm.wumanber import without_contaminated
 
 #: No single statement can express the learnt first stage and the tokenizer.
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, with their columns."""
-    return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that decisions (doc_id, text_hash, kept) keep, with their columns.
+
+    Rows without doc_id go. Rows that repeat a doc_id are told apart by their
+    texts; rows that repeat the text too stay or go together.
+    """
+    ids = decisions.where("kept").select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("text_hash__", F.xxhash64(F.col("text").cast("string")))
+    same = (keyed.doc_id.cast("long") == ids.doc_id) & (keyed.text_hash__ == ids.text_hash)
+    return keyed.join(ids.hint("shuffle_hash"), same, "left_semi").select(*(keyed[f"`{c}`"] for c in docs.columns))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic."""
+    """Documents that the classifier doesn't call toxic; rows without doc_id and repeated rows are judged like others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = score_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    return _only(docs, scores.where("predicted = 0"))
+    return without_toxic(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of equal texts."""
-    return _only(docs, exact_duplicates(docs).where("kept"))
+    """The document with the smallest doc_id of each group of equal texts; rows without doc_id go."""
+    return _kept(docs, exact_duplicates(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    return _only(docs, near_duplicates(docs).where("kept"))
+    """The document with the smallest doc_id of each group of near duplicates (five words, 0.8); rows without doc_id go."""
+    return _kept(docs, near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.where("not contaminated"))
+    """Documents without a passage of the benchmark; rows without doc_id and repeated rows are searched like others."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of 2048 tokens: one row for each piece of a document."""
+    """Training sequences of 2048 tokens: one row for each piece of a document, repeated rows included."""
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=False).drop("ids")
 
 
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
