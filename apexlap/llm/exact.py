@@ -40,6 +40,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each group of a merged run, which comes in order; a batch's last group waits for the next batch."""
     held = None
     for batch in batches:
+        batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         if not len(table):
             continue
