@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import tokens
 from .exact import normalised
-from .storage import discard, shared_dir, written
+from .storage import discard, shared_dir, small_batches, written
 
 CACHE = "version string, digest binary, n_tokens long"
 #: Rows of misses up to which they are broadcast, at about 100 bytes each.
@@ -68,6 +68,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     new table in the shared folder if None).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     version = version_of(path)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)

@@ -50,10 +50,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes and the offsets of a string column; null is empty."""
-    col = pc.fill_null(batch.column(batch.schema.names.index(name)), "")
-    if pa.types.is_large_string(col.type):
-        col = col.cast(pa.string())
+    """The bytes and the offsets of a string column, or of that field of `row`; null is empty."""
+    at = batch.schema.names.index(name) if name in batch.schema.names else -1
+    col = batch.column(at) if at >= 0 else batch.column(batch.schema.names.index("row")).field(name)
+    col = pc.fill_null(col if pa.types.is_string(col.type) else col.cast(pa.string()), "")
     _, off, data = col.buffers()
     offsets = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

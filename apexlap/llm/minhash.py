@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import discard, written
+from .storage import discard, small_batches, written
 
 HASHES, ROWS, SMALL, BATCH = 128, 4, 8, 16
 #: Members of a bucket in one part; bytes of a long signature, compared so many at a time; those that a block compares for all its pairs; ways to deal a bucket's rows in a join.
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     shingle; miss: posterior probability at which a candidate is given up.
     text_hash: xxhash64 of the text, which tells rows of one doc_id apart.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketch = texts.mapInArrow(_sketch(words), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokens
-from .storage import written
+from .storage import small_batches, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
@@ -129,6 +129,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
 
     pool: about how many short pieces a task packs together.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(texts.mapInArrow(_encode(path, window, end_id, keep_ids), PIECES), "pieces")
     short = pieces.where(F.col("length") < window)

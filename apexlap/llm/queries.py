@@ -164,6 +164,18 @@ select doc_id, min(doc_id) over (partition by x) as keep_id, count(*) over (part
   doc_id = min(doc_id) over (partition by x) as kept, sha256(x) as text_sha256 from t
 """
 
+OP8_SQL = r"""
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, unnest(range(1, greatest(len(x) // 2 - 98, 1))) as i, unnest(list_transform(range(1, greatest(len(x) // 2 - 98, 1)), lambda i: md5(substr(x, 2 * i - 1, 200)))) as k from h),
+b as (select doc_id, i from (select *, row_number() over (partition by k order by doc_id, i) as nth from w) where nth > 1),
+p as (select doc_id, unnest(range(1, len(x) // 2 + 1)) as i, unnest(list_transform(range(1, len(x) // 2 + 1), lambda i: substr(x, 2 * i - 1, 2))) as byte from h),
+m as (select p.doc_id, p.i, p.byte, max(b.i) over (partition by p.doc_id order by p.i rows between 99 preceding and current row) is not null as cut
+  from p left join b on b.doc_id = p.doc_id and b.i = p.i),
+n as (select *, cut and not coalesce(lag(cut) over (partition by doc_id order by i), false) as begins from m),
+k as (select doc_id, count(*) filter (cut) as n_removed, count(*) filter (begins) as n_spans, sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (not cut), ''))) as kept_sha256 from n group by 1)
+select h.doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(kept_sha256, sha256('')) as kept_sha256 from h left join k on k.doc_id = h.doc_id
+"""
+
 OP9_SQL = r"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
@@ -179,4 +191,4 @@ from w left join c on c.doc_id = w.doc_id left join n on n.doc_id = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_substrings": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op3_revisits": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_substrings": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_suffix_array": OP8_SQL, "op9_decontamination": OP9_SQL}

@@ -6,6 +6,11 @@ equal windows always have equal anchors. That gives about 2/(length-k+2) rows
 a token rather than one, and rows whose anchor occurs once in the corpus are
 dropped before any text moves. What is left is described by
 (anchor, content digest): the occurrences of one content are one path.
+
+A document is a row's text under its doc_id. Equal rows are one document, cut
+alike; other texts under the same doc_id are documents of their own, told apart
+by a slot that the high bits of positions hold (0 for all but these). Rows
+without doc_id have no place in the order and are left out.
 """
 
 from __future__ import annotations
@@ -16,13 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import written
+from .storage import discard, small_batches, written
 
-PATHS = "anchor long, c1 long, c2 long, doc_id long, pos long, run int, content binary"
+PATHS = "anchor long, c1 long, c2 long, doc_id long, pos long, run int, b1 long, b2 long, a1 long, a2 long, content binary"
+#: Positions take the low bits: a text has fewer than 2**31 bytes.
+SLOT = 32
+PLACE = (1 << SLOT) - 1
 
 
 @dataclass(frozen=True)
@@ -32,7 +40,7 @@ class Windows:
     unit: str
     length: int
     k: int
-    slice_bytes: int = 1 << 21
+    slice_bytes: int = 1 << 20
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray):
         """(values, row ranges, normalised bytes, where tokens begin in them)."""
@@ -43,32 +51,42 @@ class Windows:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone; rows without a doc_id have no identity and are left out."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    """doc_id, slot and text of each row with a doc_id."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    several = texts.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least != most").select("doc_id")
+    slots = texts.select("doc_id", "hash").join(several, "doc_id", "left_semi").distinct()
+    slots = slots.withColumn("slot", F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")) - 1)
+    slots = written(slots, "slots")
+    return texts.join(slots, ["doc_id", "hash"], "left").select("doc_id", F.coalesce("slot", F.lit(0)).alias("slot"), "text")
 
 
 def _scan(spec: Windows):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, slot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, _, data, offsets in K.text_slices(batch, "text", spec.slice_bytes):
                 values, ranges, _, _ = spec.tokens(data, offsets)
                 row_end = np.repeat(ranges[1:], np.diff(ranges))
                 first, run, off, anchor = K.super_kmers(values, row_end, spec.length, spec.k)
                 row = np.searchsorted(ranges, first, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(ids[lo + row]), pa.array(first - ranges[row]), pa.array(run.astype(np.int32))], ["anchor", "doc_id", "pos", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(ids[lo + row]), pa.array(first - ranges[row] + (slot[lo + row].astype(np.int64) << SLOT)), pa.array(run.astype(np.int32))], ["anchor", "doc_id", "pos", "run"])
 
     return rows
 
 
-def _paths(spec: Windows):
-    """For each document its repeated runs with their content's digest; the content once for each task."""
+def _paths(spec: Windows, links: bool):
+    """For each document its repeated runs with their content's digest; the content once for each task.
+
+    links: with the digests of the runs that touch it before and after, 0 where none does.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            runs = batch.column(2)
+            ids, slot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            runs = batch.column(3)
             at = runs.offsets.to_numpy()
             flat = runs.flatten()
             pos, run, anchor = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -77,7 +95,9 @@ def _paths(spec: Windows):
                 raw = raw.tobytes()
                 n = at[lo : hi + 1] - at[0]
                 row = np.repeat(np.arange(hi - lo), np.diff(n))
-                p, r, h = pos[n[0] : n[-1]], run[n[0] : n[-1]], anchor[n[0] : n[-1]]
+                p, r, h = pos[n[0] : n[-1]] & PLACE, run[n[0] : n[-1]], anchor[n[0] : n[-1]]
+                order = np.lexsort((p, row))
+                p, r, h = p[order], r[order], h[order]
                 s = ranges[row] + p
                 e = s + r + spec.length - 1
                 if begin is not None:
@@ -92,12 +112,18 @@ def _paths(spec: Windows):
                     seen.add(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(K.signed(c1)), pa.array(K.signed(c2)), pa.array(ids[lo + row]), pa.array(p), pa.array(r), pa.array(content, pa.binary())], PATHS.replace(",", "").split()[::2])
+                c1, c2, near = K.signed(c1), K.signed(c2), np.zeros((4, len(s)), np.int64)
+                if links and len(s) > 1:
+                    touch = (row[1:] == row[:-1]) & (p[:-1] + r[:-1] == p[1:])
+                    near[0, 1:], near[1, 1:] = np.where(touch, c1[:-1], 0), np.where(touch, c2[:-1], 0)
+                    near[2, :-1], near[3, :-1] = np.where(touch, c1[1:], 0), np.where(touch, c2[1:], 0)
+                p = p + (slot[lo + row].astype(np.int64) << SLOT)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, c1, c2, ids[lo + row], p, r, *near)), pa.array(content, pa.binary())], PATHS.replace(",", "").split()[::2])
 
     return rows
 
 
-def paths(docs: DataFrame, spec: Windows, within: bool) -> DataFrame:
+def paths(docs: DataFrame, spec: Windows, within: bool, links: bool = False) -> DataFrame:
     """A written table of runs whose anchor repeats: PATHS. content is null where another row has it.
 
     within: an anchor that repeats in one document alone counts too.
@@ -106,17 +132,21 @@ def paths(docs: DataFrame, spec: Windows, within: bool) -> DataFrame:
     runs = texts.mapInArrow(_scan(spec), "anchor long, doc_id long, pos long, run int")
     many = F.count(F.lit(1)) > 1 if within else F.min("doc_id") < F.max("doc_id")
     repeated = written(runs.groupBy("anchor").agg(many.alias("many")).where("many").select("anchor"), "anchors")
-    kept = runs.join(repeated.hint("shuffle_hash"), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "run", "anchor")).alias("runs"))
-    found = texts.join(kept.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_paths(spec), PATHS)
-    return written(found, "paths")
+    kept = runs.join(repeated.hint("shuffle_hash"), "anchor", "left_semi").withColumn("slot", F.shiftright("pos", SLOT).cast("int"))
+    kept = written(kept.groupBy("doc_id", "slot").agg(F.collect_set(F.struct("pos", "run", "anchor")).alias("runs")), "kept")
+    discard(repeated)
+    found = texts.join(kept.hint("shuffle_hash"), ["doc_id", "slot"]).select("doc_id", "slot", "text", "runs").mapInArrow(_paths(spec, links), PATHS)
+    found = written(found, "paths")
+    discard(kept)
+    return found
 
 
-def unique_paths(found: DataFrame) -> DataFrame:
-    """One row for each (anchor, content): where it first occurs and the content itself."""
+def unique_paths(found: DataFrame, *more) -> DataFrame:
+    """One row for each (anchor, content): where it first occurs, the content itself, and more aggregates."""
     key = ["anchor", "c1", "c2"]
-    first = found.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("run").alias("run"))
+    first = found.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("run").alias("run"), *more)
     content = found.where("content is not null").select(*key, "content").dropDuplicates(key)
-    return first.join(content, key)
+    return first.join(content, key).withColumns({"first_doc": F.col("first.doc_id"), "first_pos": F.col("first.pos")}).drop("first")
 
 
 def _cut(spec: Windows):
@@ -125,7 +155,7 @@ def _cut(spec: Windows):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             at = np.concatenate([[0], np.cumsum(count)])
             flat = lists.flatten()
@@ -156,7 +186,7 @@ def _cut(spec: Windows):
 
 
 def without(docs: DataFrame, ranges: DataFrame, spec: Windows) -> DataFrame:
-    """Each document after removing `ranges` (doc_id, cuts array<struct<b,e>> of token positions)."""
-    cuts = ranges.groupBy("doc_id").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
-    rows = _docs(docs).join(cuts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "cuts")
+    """Each document after removing `ranges` (doc_id, slot, cuts array<struct<b,e>> of token positions)."""
+    cuts = written(ranges.groupBy("doc_id", "slot").agg(F.array_distinct(F.flatten(F.collect_set("cuts"))).alias("cuts")), "cuts")
+    rows = _docs(docs).join(cuts.hint("shuffle_hash"), ["doc_id", "slot"], "left").select("doc_id", "slot", "text", "cuts")
     return rows.mapInArrow(_cut(spec), "doc_id long, size long, n_removed long, n_spans long, kept_sha256 string")

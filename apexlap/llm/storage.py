@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.staging import discard, shared_dir, written
 
-__all__ = ["carried", "discard", "row_and", "shared_dir", "uncarried", "written"]
+__all__ = ["carried", "discard", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of some megabytes for Python workers, unless the session says otherwise: whole texts can be long."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, "4m")
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """text, and the whole row in one struct, so that no column of the input can clash with a result's."""
-    return docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    """The whole row in one struct `row`, so that no column of the input can clash with a result's."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct("*").alias("row"))
 
 
 def row_and(docs: DataFrame, more: str) -> StructType:

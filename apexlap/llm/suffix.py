@@ -4,16 +4,21 @@ Runs of windows whose minimizer repeats (see `repeats`) are dealt to shards by
 that minimizer, so all copies of a 100-byte string meet in one shard. A shard
 of bounded size concatenates its distinct runs and builds their suffix array by
 induced sorting: suffixes are classified, the leftmost-smaller (LMS) substrings
-are sorted by one induction, named, and their order is found recursively; the
-rest is induced from it. Common prefixes are computed in permuted (text) order
-and cut the array into groups of equal windows, whose smallest coordinate
-(doc_id, byte position) stays.
-
-A minimizer with very many different contents could outgrow a shard: its runs
-are split into windows instead, and Spark groups those by digest, which is
-exact at any size. Null and empty texts have no bytes. Rows without doc_id are
-left out; rows that repeat a doc_id are the same document. Extra columns are
-ignored.
+are sorted by one induction and named, the string of names is sorted by
+recursion (names that occur once need no more than their place), and the rest is
+induced from it. Inductions read and write the array in strides that never read
+what they write, so each is a linear sweep at any alphabet. Common prefixes are
+computed in permuted (text) order and cut the array into groups of equal
+windows, whose smallest coordinate (doc_id, byte position) stays.
+
+Runs of one minimizer are distinct windows each, so a minimizer with a single
+content has nothing to sort. One whose contents outgrow a shard is split by
+longer minimizers, at last by whole windows, and goes through the same steps.
+
+Null and empty texts have no bytes. Rows without doc_id are left out; of rows
+that repeat a doc_id, equal ones are one document, cut alike, and others follow
+each other in order of their text's hash. An empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Windows, paths, unique_paths, without
-from .storage import written
+from . import kernels as K
+from .repeats import PLACE, SLOT, Windows, paths, unique_paths, without
+from .storage import discard, written
 
 FIRSTS = "array<struct<d0:int,d1:int,first_doc:bigint,first_pos:bigint>>"
+PART = "p_anchor long, p_c1 long, p_c2 long, delta long, anchor long, c1 long, c2 long, first_doc long, first_pos long, run int, content binary"
+
+
+def _groups(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order of values, the values in it, where each group of equal ones begins, and its size."""
+    order = np.argsort(c, kind="stable")
+    c = c[order]
+    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    return order, c, first, np.diff(np.append(first, len(c)))
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -39,98 +55,51 @@ def _types(t: np.ndarray) -> np.ndarray:
     return np.append(t[nxt] < t[np.minimum(nxt + 1, n - 1)], True)
 
 
-def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The suffix array that the given order of LMS suffixes induces."""
-    n, sa = len(t), np.full(len(t), -1, np.int64)
-    start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    end = start + sizes
-    larger = np.bincount(t[~smaller], minlength=len(sizes))
-    own = np.bincount(t[lms], minlength=len(sizes))
-
-    def ranks(ch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(ch, kind="stable")
-        count = np.bincount(ch, minlength=len(sizes))
-        return order, np.arange(len(ch)) - np.repeat(np.cumsum(count) - count, count), count
-
-    order, rank, _ = ranks(t[lms])
-    put = lms[order]
-    sa[end[t[put]] - own[t[put]] + rank] = put
-    head = start.copy()
-
-    def left(chunk: np.ndarray) -> None:
-        p = chunk[chunk > 0] - 1
-        p = p[~smaller[p]]
-        if len(p):
-            order, rank, count = ranks(t[p])
-            p = p[order]
-            sa[head[t[p]] + rank] = p
-            head[:] += count
-
-    for c in np.flatnonzero(sizes):
-        lo = start[c]
-        while lo < head[c]:
-            hi = head[c]
-            left(sa[lo:hi])
-            lo = hi
-        left(sa[end[c] - own[c] : end[c]])
-    tail = end.copy()
-
-    def right(chunk: np.ndarray) -> None:
-        p = chunk[chunk > 0] - 1
-        p = p[smaller[p]]
+def _sweep(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, slot: np.ndarray, step: int) -> None:
+    """Induces the wanted suffixes from their right neighbours, upwards (step 1) or downwards (-1).
+
+    slot: the next free place of each value. A stride ends before the first
+    place that it fills itself.
+    """
+    n, i, size = len(sa), 0 if step > 0 else len(sa), 256
+    while (i < n) if step > 0 else (i > 0):
+        lo, hi = (i, min(i + size, n)) if step > 0 else (max(i - size, 0), i)
+        chunk = sa[lo:hi][::step]
+        src = np.flatnonzero(chunk > 0)
+        p = chunk[src] - 1
+        ok = wanted[p]
+        src, p, read = src[ok], p[ok], hi - lo
         if len(p):
-            order, rank, count = ranks(t[p])
-            p = p[order]
-            sa[tail[t[p]] - 1 - rank] = p
-            tail[:] -= count
-
-    sa[end[t[n - 1]] - 1], tail[t[n - 1]] = n - 1, tail[t[n - 1]] - 1
-    for c in np.flatnonzero(sizes)[::-1]:
-        hi = end[c]
-        while tail[c] < hi:
-            lo = tail[c]
-            right(sa[lo:hi][::-1])
-            hi = lo
-        right(sa[start[c] : start[c] + larger[c]][::-1])
+            order, c, first, count = _groups(t[p])
+            land = slot[c] + step * (np.arange(len(c)) - np.repeat(first, count))
+            near = int(land.min() - lo if step > 0 else hi - 1 - land.max())
+            if near < read:
+                read = near
+                ok = src[order] < read
+                order, c, land = order[ok], c[ok], land[ok]
+            sa[land] = p[order]
+            last = np.flatnonzero(np.append(c[1:] != c[:-1], True)[: len(c)])
+            slot[c[last]] = land[last] + step
+        size = min(max(256, 2 * read), 1 << 16)
+        i += step * read
+
+
+def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that the given order of LMS suffixes induces."""
+    sizes = np.bincount(t)
+    sa, end, own = np.full(len(t), -1, np.int64), np.cumsum(sizes), np.zeros(len(sizes), np.int64)
+    order, c, first, count = _groups(t[lms])
+    own[c[first]] = count
+    sa[end[c] - own[c] + np.arange(len(c)) - np.repeat(first, count)] = lms[order]
+    _sweep(sa, t, ~smaller, end - sizes, 1)
+    tail = end - 1
+    sa[0], tail[0] = len(t) - 1, tail[0] - 1
+    _sweep(sa, t, smaller, tail, -1)
     return sa
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of names by rank doubling, as far as `depth` names."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while k <= depth:
-        second = np.zeros(n, np.int64)
-        second[:-k or None] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) > 0)])
-        k *= 2
-        if rank[order[-1]] == n - 1 or k >= n:
-            break
-    return order
-
-
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of t in the order of their first `depth` values at least.
-
-    t ends with its only smallest value, 0. Names of LMS substrings are sorted
-    by recursion while their alphabet is small, then by rank doubling.
-    """
-    if len(t) <= 2:
-        return np.argsort(t, kind="stable")
-    t = t.astype(np.uint16 if t.max() < 1 << 16 else np.int64)
-    smaller = _types(t)
-    is_lms = smaller.copy()
-    is_lms[0] = False
-    is_lms[1:] &= ~smaller[:-1]
-    lms, sizes = np.flatnonzero(is_lms), np.bincount(t)
-    if not len(lms):
-        return np.argsort(t, kind="stable")
-    sa = _induce(t, smaller, lms, sizes)
-    sa = sa[is_lms[sa]]
-    # equal LMS substrings get one name
+def _named(t: np.ndarray, sa: np.ndarray, lms: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Names of LMS substrings in text order; equal ones have one name. sa: LMS positions in order of substring."""
     length = np.zeros(len(t), np.int64)
     length[lms] = np.append(np.diff(lms) + 1, 1)
     a, b = sa[:-1], sa[1:]
@@ -144,13 +113,35 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         live = live[ok & (j < length[a[live]])]
     name = np.empty(len(t), np.int64)
     name[sa] = np.concatenate([[0], np.cumsum(~same)])
-    names = name[lms]
-    if names.max() + 1 < len(names):
-        order = suffix_array(names, depth) if names.max() < 512 and len(names) > 4096 else _doubled(names, depth)
-        lms = lms[order]
-    else:
-        lms = sa
-    return _induce(t, smaller, lms, sizes)
+    return name[lms]
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of t, which ends with its only smallest value, 0."""
+    if len(t) <= 2:
+        return np.argsort(t, kind="stable")
+    t = t.astype(np.uint16 if t.max() < 1 << 16 else np.int64)
+    smaller = _types(t)
+    is_lms = smaller.copy()
+    is_lms[0] = False
+    is_lms[1:] &= ~smaller[:-1]
+    lms = np.flatnonzero(is_lms)
+    sa = _induce(t, smaller, lms)
+    if len(lms) < 2:
+        return sa
+    in_order = sa[is_lms[sa]]
+    names = _named(t, in_order, lms, smaller)
+    if names.max() + 1 == len(names):
+        return _induce(t, smaller, in_order)
+    # of names that occur once only those after a repeated one can decide a comparison
+    many = np.bincount(names)[names] > 1
+    keep = many.copy()
+    keep[1:] |= many[:-1]
+    keep[-1] = True
+    _, shorter = np.unique(names[keep], return_inverse=True)
+    rank = np.zeros(len(names), np.int64)
+    rank[np.flatnonzero(keep)[suffix_array(shorter)]] = np.arange(len(shorter))
+    return _induce(t, smaller, lms[np.lexsort((rank, names))])
 
 
 def repeated_windows(raw: np.ndarray, sa: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +178,11 @@ def first_windows(spans: list[bytes], docs: np.ndarray, pos: np.ndarray, length:
     t[begin[1:] - 1] = 1
     span = np.repeat(np.arange(len(spans)), sizes + 1)
     valid = np.append(np.arange(len(raw)) + length < begin[1:][span], False)
-    sa = suffix_array(t, length + 1)
+    sa = suffix_array(t)
     at, same = repeated_windows(raw, sa, valid, length)
-    known, code = np.unique(docs, return_inverse=True)
-    key = (code[span[at]].astype(np.int64) << 40) + pos[span[at]] + (at - begin[span[at]])
+    known, code = np.unique(np.stack([docs, pos >> SLOT], 1), axis=0, return_inverse=True)
+    code, low = code.ravel().astype(np.int64) << SLOT, pos & PLACE
+    key = code[span[at]] + low[span[at]] + (at - begin[span[at]])
     starts = np.flatnonzero(~same)
     group = np.cumsum(~same) - 1
     first = np.zeros(len(raw), np.int64)
@@ -204,7 +196,8 @@ def first_windows(spans: list[bytes], docs: np.ndarray, pos: np.ndarray, length:
     for h, e in zip(heads.tolist(), stop.tolist(), strict=True):
         x, s = place[h], span[place[h]]
         d0 = int(x - begin[s])
-        out[s].append({"d0": d0, "d1": d0 + e - h, "first_doc": int(known[first[x] >> 40]), "first_pos": int(first[x] & ((1 << 40) - 1))})
+        doc, slot = known[first[x] >> SLOT].tolist()
+        out[s].append({"d0": d0, "d1": d0 + e - h, "first_doc": doc, "first_pos": (slot << SLOT) + int(first[x] & PLACE)})
     return out
 
 
@@ -223,29 +216,79 @@ def _shard(length: int):
     return rows
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard_bytes: int = 1 << 22, crowd: int = 2048) -> DataFrame:
+def _split(window: int, k: int):
+    """Runs cut into runs of minimizers of k bytes, each with the run that it is part of."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = batch.column(5)
+            if not len(content):
+                continue
+            anchor, first_pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
+            offsets = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
+            data = np.frombuffer(content.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            ranges = offsets - offsets[0]
+            values = data.astype(K.U64) + K.U64(1)
+            first, run, _, inner = K.super_kmers(values, np.repeat(ranges[1:], np.diff(ranges)), window, k)
+            row = np.searchsorted(ranges, first, "right") - 1
+            delta, raw = first - ranges[row], data.tobytes()
+            spans = [raw[s:e] for s, e in zip(first.tolist(), (first + run + window - 1).tolist(), strict=True)]
+            digests = [xxhash.xxh3_128_intdigest(x) for x in spans]
+            c1, c2 = (K.signed(np.array([f(x) for x in digests], K.U64)) for f in (lambda x: x >> 64, lambda x: x & 0xFFFFFFFFFFFFFFFF))
+            key = K.signed(K.mix64(anchor[row].astype(np.int64).view(K.U64)) ^ inner)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 1, 2)), pa.array(delta), pa.array(key), pa.array(c1), pa.array(c2), batch.column(3).take(take), pa.array(first_pos[row] + delta), pa.array(run.astype(np.int32)), pa.array(spans, pa.binary())], PART.replace(",", "").split()[::2])
+
+    return rows
+
+
+def first_places(unique: DataFrame, window: int, lengths: list[int], shard_bytes: int) -> DataFrame:
+    """For each distinct run the first place of each of its windows: anchor, c1, c2, firsts.
+
+    lengths: of the minimizers that split the runs of a minimizer whose
+    contents outgrow a shard, the window last.
+    """
+    key = ["anchor", "c1", "c2"]
+    sizes = written(unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.length("content")).alias("bytes")).where("contents > 1"), "sizes")
+    sized = unique.join(sizes, "anchor", "left")
+    one = F.array(F.struct(F.lit(0).alias("d0"), F.col("run").alias("d1"), "first_doc", "first_pos")).cast(FIRSTS)
+    whole = sized.where("contents is null").select(*key, one.alias("firsts"))
+    fits, total = F.lit(True), sizes.where(F.col("bytes") <= shard_bytes).agg(F.sum("bytes")).first()[0] or 0
+    parts = []
+    if lengths:
+        fits = F.col("bytes") <= shard_bytes
+        crowded = sized.where(~fits)
+        if not crowded.isEmpty():
+            pieces = written(crowded.select(*key, "first_doc", "first_pos", "content").mapInArrow(_split(window, lengths[0]), PART), "pieces")
+            at = F.min(F.struct("first_doc", "first_pos")).alias("at")
+            inner = pieces.groupBy(key).agg(at, F.first("run").alias("run"), F.first("content").alias("content")).select(*key, "at.*", "run", "content")
+            places = first_places(written(inner, "unique"), window, lengths[1:], shard_bytes)
+            moved = F.expr("transform(firsts, x -> struct(x.d0 + delta as d0, x.d1 + delta as d1, x.first_doc, x.first_pos))").cast(FIRSTS)
+            outer = pieces.drop("content").join(places, key).select("p_anchor", "p_c1", "p_c2", moved.alias("firsts"))
+            parts.append(outer.groupBy("p_anchor", "p_c1", "p_c2").agg(F.flatten(F.collect_list("firsts")).alias("firsts")).toDF(*key, "firsts"))
+    shards = max(1, -(-total // shard_bytes))
+    in_shards = sized.where("contents is not null").where(fits).select(*key, "first_doc", "first_pos", "content").repartition(shards, "anchor")
+    parts.append(in_shards.mapInArrow(_shard(window), f"anchor long, c1 long, c2 long, firsts {FIRSTS}"))
+    for x in parts:
+        whole = whole.unionByName(x)
+    return written(whole, "firsts")
+
+
+def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard_bytes: int = 1 << 20) -> DataFrame:
     """Cut bytes covered by a window that also starts earlier (smaller doc_id, or earlier in the document).
 
-    shard_bytes: bytes of runs in a shard; crowd: contents of one minimizer
-    beyond which its windows are grouped by digest instead.
+    shard_bytes: bytes of distinct runs in a shard.
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
-    spec = Windows("byte", window, min(k, window), 1 << 20)
+    k = min(k, window)
+    spec = Windows("byte", window, k, 1 << 20)
     found = paths(docs, spec, within=True)
     key = ["anchor", "c1", "c2"]
     unique = written(unique_paths(found), "unique")
-    contents = unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"))
-    unique = unique.join(contents, "anchor").select(*key, F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"), "run", "content", "contents")
-    total = unique.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    sorted_in_shards = unique.where(F.col("contents") <= crowd).select(*key, "first_doc", "first_pos", "content").repartition(shards, "anchor").mapInArrow(_shard(window), f"anchor long, c1 long, c2 long, firsts {FIRSTS}")
-    crowded = unique.where(F.col("contents") > crowd).select(*key, "first_doc", "first_pos", F.posexplode(F.expr(f"transform(sequence(0, run - 1), i -> unhex(md5(substring(content, i + 1, {window}))))")).alias("delta", "edge"))
-    crowded = crowded.select(*key, "delta", "edge", F.struct("first_doc", (F.col("first_pos") + F.col("delta")).alias("first_pos")).alias("at"))
-    crowded = written(crowded, "edges")
-    first = crowded.groupBy("edge").agg(F.min("at").alias("first"))
-    by_digest = crowded.join(first, "edge").groupBy(key).agg(F.collect_list(F.struct(F.col("delta").alias("d0"), (F.col("delta") + 1).alias("d1"), F.col("first.first_doc").alias("first_doc"), F.col("first.first_pos").alias("first_pos"))).alias("firsts"))
-    firsts = written(sorted_in_shards.unionByName(by_digest), "firsts")
+    lengths = sorted({min(window, max(k + 1, (k + window) // 2)), window} - {k})
+    firsts = first_places(unique, window, lengths, shard_bytes)
+    discard(unique)
     later = "x.first_doc < doc_id or (x.first_doc = doc_id and x.first_pos < pos + x.d0)"
-    cuts = F.expr(f"transform(filter(firsts, x -> {later}), x -> struct(pos + x.d0 as b, pos + x.d1 + {window - 1} as e))")
-    ranges = found.select(*key, "doc_id", "pos").join(firsts, key).select("doc_id", cuts.alias("cuts")).where("size(cuts) > 0")
+    cuts = F.expr(f"transform(filter(firsts, x -> {later}), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
+    ranges = found.select(*key, "doc_id", "pos").join(firsts, key).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
     return without(docs, ranges, spec).withColumnRenamed("size", "n_bytes")

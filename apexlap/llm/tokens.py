@@ -29,7 +29,7 @@ _SPACE_RUN = re.compile("[\t\n\r\xa0] (?:[\t\n\r\xa0]|\\Z)")
 _LEADING_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: The pattern of byte-level tokenizers that name no other.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNKS, PIECES = 600_000, 300_000
+CHUNKS, PIECES = 300_000, 100_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import carried, discard, row_and, uncarried, written
+from .storage import carried, discard, row_and, small_batches, uncarried, written
 
 PREFIXES = (4, 5, 6)
 FAMILIES, FOLDS = 1 + len(PREFIXES), 2
@@ -190,13 +190,14 @@ def _score(lexicon: np.ndarray, weights: np.ndarray):
                 z = np.bincount(row, weights[:-1][entry], hi - lo) + weights[-1]
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
             score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
 
     return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int, entries: int, precision: float) -> tuple[np.ndarray, np.ndarray]:
     """The lexicon's entries and their weights, the intercept last."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(train)
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
