@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import PLACE, SLOT, Windows, paths, unique_paths, without
+from .repeats import PLACE, SLOT, Windows, numbered, paths, unique_paths, without
 from .storage import discard, written
 
 KEY = ["anchor", "c1", "c2"]
@@ -60,7 +60,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, k: int = 8) -> D
     Returns doc_id, n_words, n_removed, n_spans, kept_sha256.
     """
     spec = Windows("word", window, min(k, window))
-    found = paths(docs, spec, within=False, links=True)
+    texts = numbered(docs)
+    found = paths(texts, spec, within=False, links=True)
     near = {x: F.struct(F.col(f"{x}1").alias("x1"), F.col(f"{x}2").alias("x2")) for x in "ba"}
     ends = [f(near[x]).alias(f"{x}_{n}") for x in "ba" for n, f in (("least", F.min), ("most", F.max))]
     unique = written(unique_paths(found, *ends), "unique")
@@ -87,4 +88,4 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, k: int = 8) -> D
     discard(edges, first, stretches, branches, heads)
     cuts = F.expr(f"transform(filter(firsts, x -> x.first_doc < doc_id), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
     ranges = found.select(*KEY, "doc_id", "pos").join(firsts, KEY).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
-    return without(docs, ranges, spec).withColumnRenamed("size", "n_words")
+    return without(texts, ranges, spec).withColumnRenamed("size", "n_words")

@@ -50,7 +50,7 @@ class Windows:
         return K.span_hashes(data, starts, ends), ranges, *K.joined_words(data, starts, ends)
 
 
-def _docs(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, slot and text of each row with a doc_id."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -123,12 +123,11 @@ def _paths(spec: Windows, links: bool):
     return rows
 
 
-def paths(docs: DataFrame, spec: Windows, within: bool, links: bool = False) -> DataFrame:
-    """A written table of runs whose anchor repeats: PATHS. content is null where another row has it.
+def paths(texts: DataFrame, spec: Windows, within: bool, links: bool = False) -> DataFrame:
+    """A written table of runs of numbered texts whose anchor repeats: PATHS. content is null where another row has it.
 
     within: an anchor that repeats in one document alone counts too.
     """
-    texts = _docs(docs)
     runs = texts.mapInArrow(_scan(spec), "anchor long, doc_id long, pos long, run int")
     many = F.count(F.lit(1)) > 1 if within else F.min("doc_id") < F.max("doc_id")
     repeated = written(runs.groupBy("anchor").agg(many.alias("many")).where("many").select("anchor"), "anchors")
@@ -185,8 +184,8 @@ def _cut(spec: Windows):
     return rows
 
 
-def without(docs: DataFrame, ranges: DataFrame, spec: Windows) -> DataFrame:
-    """Each document after removing `ranges` (doc_id, slot, cuts array<struct<b,e>> of token positions)."""
-    cuts = written(ranges.groupBy("doc_id", "slot").agg(F.array_distinct(F.flatten(F.collect_set("cuts"))).alias("cuts")), "cuts")
-    rows = _docs(docs).join(cuts.hint("shuffle_hash"), ["doc_id", "slot"], "left").select("doc_id", "slot", "text", "cuts")
+def without(texts: DataFrame, ranges: DataFrame, spec: Windows) -> DataFrame:
+    """Each numbered text after removing `ranges` (doc_id, slot, cuts array<struct<b,e>> of token positions)."""
+    cuts = written(ranges.groupBy("doc_id", "slot").agg(F.flatten(F.collect_set("cuts")).alias("cuts")), "cuts")
+    rows = texts.join(cuts.hint("shuffle_hash"), ["doc_id", "slot"], "left").select("doc_id", "slot", "text", "cuts")
     return rows.mapInArrow(_cut(spec), "doc_id long, size long, n_removed long, n_spans long, kept_sha256 string")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .repeats import PLACE, SLOT, Windows, paths, unique_paths, without
+from .repeats import PLACE, SLOT, Windows, numbered, paths, unique_paths, without
 from .storage import discard, written
 
 FIRSTS = "array<struct<d0:int,d1:int,first_doc:bigint,first_pos:bigint>>"
@@ -61,25 +61,26 @@ def _sweep(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, slot: np.ndarray,
     slot: the next free place of each value. A stride ends before the first
     place that it fills itself.
     """
-    n, i, size = len(sa), 0 if step > 0 else len(sa), 256
+    n, i, size, count = len(sa), 0 if step > 0 else len(sa), 256, np.arange(1 << 16)
     while (i < n) if step > 0 else (i > 0):
         lo, hi = (i, min(i + size, n)) if step > 0 else (max(i - size, 0), i)
-        chunk = sa[lo:hi][::step]
-        src = np.flatnonzero(chunk > 0)
-        p = chunk[src] - 1
-        ok = wanted[p]
-        src, p, read = src[ok], p[ok], hi - lo
+        p = sa[lo:hi][::step] - 1
+        src = (wanted[p] & (p >= 0)).nonzero()[0]
+        p, read = p[src], hi - lo
         if len(p):
-            order, c, first, count = _groups(t[p])
-            land = slot[c] + step * (np.arange(len(c)) - np.repeat(first, count))
+            c = t[p]
+            order = c.argsort(kind="stable")
+            c, place = c[order], count[: len(c)]
+            head = place.copy()
+            head[1:][c[1:] == c[:-1]] = 0
+            land = slot[c] + step * (place - np.maximum.accumulate(head))
             near = int(land.min() - lo if step > 0 else hi - 1 - land.max())
             if near < read:
                 read = near
                 ok = src[order] < read
                 order, c, land = order[ok], c[ok], land[ok]
             sa[land] = p[order]
-            last = np.flatnonzero(np.append(c[1:] != c[:-1], True)[: len(c)])
-            slot[c[last]] = land[last] + step
+            slot[c] = land + step  # of equal values the last one counts
         size = min(max(256, 2 * read), 1 << 16)
         i += step * read
 
@@ -169,36 +170,31 @@ def repeated_windows(raw: np.ndarray, sa: np.ndarray, valid: np.ndarray, length:
     return at, same[at]
 
 
-def first_windows(spans: list[bytes], docs: np.ndarray, pos: np.ndarray, length: int) -> list[list[dict]]:
+def first_windows(spans: list[bytes], docs: np.ndarray, pos: np.ndarray, length: int) -> pa.ListArray:
     """For each span the first (document, position) of each of its windows, as runs."""
     sizes = np.array([len(x) for x in spans], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     raw = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8)
-    t = np.append(raw.astype(np.uint16) + 2, np.uint16(0))
+    t = np.append(raw.astype(np.uint16) + np.uint16(2), np.uint16(0))
     t[begin[1:] - 1] = 1
     span = np.repeat(np.arange(len(spans)), sizes + 1)
     valid = np.append(np.arange(len(raw)) + length < begin[1:][span], False)
-    sa = suffix_array(t)
-    at, same = repeated_windows(raw, sa, valid, length)
+    at, same = repeated_windows(raw, suffix_array(t), valid, length)
     known, code = np.unique(np.stack([docs, pos >> SLOT], 1), axis=0, return_inverse=True)
-    code, low = code.ravel().astype(np.int64) << SLOT, pos & PLACE
-    key = code[span[at]] + low[span[at]] + (at - begin[span[at]])
+    base = (code.ravel().astype(np.int64) << SLOT) + (pos & PLACE) - begin[:-1]
+    key = base[span[at]] + at
     starts = np.flatnonzero(~same)
-    group = np.cumsum(~same) - 1
     first = np.zeros(len(raw), np.int64)
-    first[at] = np.minimum.reduceat(key, starts)[group] if len(starts) else 0
+    first[at] = np.repeat(np.minimum.reduceat(key, starts), np.diff(np.append(starts, len(at)))) if len(starts) else 0
     place = np.flatnonzero(valid[:-1])
     new = np.ones(len(place), bool)
     new[1:] = (np.diff(place) != 1) | (np.diff(first[place]) != 1)
     heads = np.flatnonzero(new)
-    stop = np.append(heads[1:], len(place))
-    out: list[list[dict]] = [[] for _ in spans]
-    for h, e in zip(heads.tolist(), stop.tolist(), strict=True):
-        x, s = place[h], span[place[h]]
-        d0 = int(x - begin[s])
-        doc, slot = known[first[x] >> SLOT].tolist()
-        out[s].append({"d0": d0, "d1": d0 + e - h, "first_doc": doc, "first_pos": (slot << SLOT) + int(first[x] & PLACE)})
-    return out
+    x, size = place[heads], np.diff(np.append(heads, len(place)))
+    of, (doc, slot) = span[x], known[first[x] >> SLOT].T
+    d0 = x - begin[of]
+    runs = pa.StructArray.from_arrays([pa.array(d0.astype(np.int32)), pa.array((d0 + size).astype(np.int32)), pa.array(doc), pa.array((slot << SLOT) + (first[x] & PLACE))], ["d0", "d1", "first_doc", "first_pos"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(spans) + 1)).astype(np.int32)), runs)
 
 
 def _shard(length: int):
@@ -209,8 +205,7 @@ def _shard(length: int):
         table = pa.Table.from_batches(parts)
         docs, pos = (table[c].to_numpy() for c in ("first_doc", "first_pos"))
         firsts = first_windows(table["content"].to_pylist(), docs, pos, length)
-        kind = pa.list_(pa.struct([("d0", pa.int32()), ("d1", pa.int32()), ("first_doc", pa.int64()), ("first_pos", pa.int64())]))
-        out = table.select(["anchor", "c1", "c2"]).append_column("firsts", pa.array(firsts, kind))
+        out = table.select(["anchor", "c1", "c2"]).append_column("firsts", firsts)
         yield from out.combine_chunks().to_batches()
 
     return rows
@@ -282,7 +277,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard
     """
     k = min(k, window)
     spec = Windows("byte", window, k, 1 << 20)
-    found = paths(docs, spec, within=True)
+    texts = numbered(docs)
+    found = paths(texts, spec, within=True)
     key = ["anchor", "c1", "c2"]
     unique = written(unique_paths(found), "unique")
     lengths = sorted({min(window, max(k + 1, (k + window) // 2)), window} - {k})
@@ -291,4 +287,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard
     later = "x.first_doc < doc_id or (x.first_doc = doc_id and x.first_pos < pos + x.d0)"
     cuts = F.expr(f"transform(filter(firsts, x -> {later}), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
     ranges = found.select(*key, "doc_id", "pos").join(firsts, key).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
-    return without(docs, ranges, spec).withColumnRenamed("size", "n_bytes")
+    return without(texts, ranges, spec).withColumnRenamed("size", "n_bytes")
