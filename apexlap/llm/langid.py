@@ -1,18 +1,22 @@
 """Language identification with a blended-spectrum string kernel.
 
-k(x, y) counts the n-grams of lower-cased UTF-8 bytes, n = 2, 3, 4 together,
+k(x, y) counts the n-grams of UTF-8 bytes (A-Z as a-z), n = 2, 3, 4 together,
 that are present in both texts, divided by the root of both texts' own counts.
-Landmark texts of each language span a Nyström feature space, in which one
+Landmark texts of each language span a Nystroem feature space, in which one
 kernel ridge regression per language is fitted against the rest. The kernel is
 taken over the dictionary of n-grams that two landmarks share at least. As the
 regression is linear in the kernel values, a batch of texts is scored by one
-product of its presence matrix with the folded coefficients.
+product of its presence matrix with the folded coefficients; the rows of a
+product are bounded by the size of that matrix.
 
 Languages, landmarks and the training sample (a bound per language, the rows
-with the smallest hash of doc_id) come from rows that `train` selects. Texts
-that are null or have no letter are `und` with score 0. Rows without doc_id are
+with the smallest hash of doc_id) come from rows that `train` selects; they are
+found in one pass and their texts are written once. Texts that are null or have
+no letter are `und` with score 0; a text with letters gets a language whatever
+its length, and the first in order of name wins ties. Rows without doc_id are
 scored too but never learnt from; repeated rows give repeated results. A table
-without any training row makes every text `und`. Extra columns are ignored.
+without any training row makes every text `und`; an empty table gives an empty
+result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import discard, small_batches, written
 
 ORDERS, BITS = (2, 3, 4), 18
-_MULT = np.uint32(0x9E3779B1)
+_MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B)]
+#: Cells of a presence matrix at most, but for a single row.
+CELLS = 1 << 23
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,43 +55,53 @@ def _inside(offsets: np.ndarray, n: int, m: int) -> np.ndarray:
     return ok
 
 
-def _slots(code: np.ndarray) -> np.ndarray:
-    return (code * _MULT) >> np.uint32(32 - BITS)
+def _slots(code: np.ndarray, level: int) -> np.ndarray:
+    return (code * _MULT[level]) >> np.uint32(32 - BITS)
 
 
 @dataclass
 class Dictionary:
-    """Known n-grams of each order with one slot each."""
+    """Known n-grams of each order in tables of slots.
+
+    An n-gram whose slot is taken goes to the next table, under another
+    multiplier, and to a sorted list if every table has its slot taken.
+    """
 
     codes: list[np.ndarray]
 
     def __post_init__(self) -> None:
         self.base = np.concatenate([[0], np.cumsum([len(x) for x in self.codes])])
-        self.slots = []
+        self.tables, self.rest = [], []
         for x in self.codes:
-            slot = np.full(1 << BITS, len(x), np.int32)
-            slot[_slots(x)] = np.arange(len(x), dtype=np.int32)
-            self.slots.append(slot)
+            left, tables = np.arange(len(x), dtype=np.int32), []
+            for level in range(len(_MULT)):
+                slot = np.full(1 << BITS, len(x), np.int32)
+                slot[_slots(x[left], level)[::-1]] = left[::-1]
+                tables.append(slot)
+                left = left[slot[_slots(x[left], level)] != left]
+            self.tables.append(tables)
+            self.rest.append(left[np.argsort(x[left])])
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows by n-grams: 1 where the row has the n-gram."""
         out = np.zeros((len(offsets) - 1, self.base[-1]), np.float32)
-        for n, codes, slot, base in zip(ORDERS, self.codes, self.slots, self.base, strict=False):
+        for n, codes, tables, rest, base in zip(ORDERS, self.codes, self.tables, self.rest, self.base, strict=False):
             if not len(codes):
                 continue
             code, row = _codes(data, offsets, n)
-            at = slot[_slots(code)]
-            ok = np.flatnonzero((np.append(codes, 0)[at] == code) & (at < len(codes)))
-            ok = ok[_inside(offsets, n, len(code))[ok]]
-            out[row[ok], base + at[ok]] = 1
+            inside, known = _inside(offsets, n, len(code)), np.append(codes, 0)
+            for level, slot in enumerate(tables):
+                at = slot[_slots(code, level)]
+                ok = np.flatnonzero((known[at] == code) & (at < len(codes)))
+                ok = ok[inside[ok]]
+                out[row[ok], base + at[ok]] = 1
+            if len(rest):
+                at = np.minimum(np.searchsorted(codes[rest], code), len(rest) - 1)
+                ok = np.flatnonzero((codes[rest][at] == code) & inside)
+                out[row[ok], base + rest[at[ok]]] = 1
         return out
 
 
-def _distinct_slots(codes: np.ndarray) -> np.ndarray:
-    _, first = np.unique(_slots(codes), return_index=True)
-    return codes[np.sort(first)]
-
-
 @dataclass
 class Model:
     languages: list[str]
@@ -92,13 +109,17 @@ class Model:
     weights: np.ndarray  # n-grams by languages
 
     def scores(self, dictionary: Dictionary, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = dictionary.presence(data, offsets)
-        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        step, out = max(1, CELLS // max(1, int(dictionary.base[-1]))), []
+        for lo in range(0, len(offsets) - 1, step):
+            part = offsets[lo : lo + step + 1]
+            x = dictionary.presence(data[part[0] : part[-1]], part - part[0])
+            out.append((x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)))
+        return np.concatenate(out)
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x.lower().encode() for x in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    raw = [x.encode() for x in texts]
+    return K.LOWER[np.frombuffer(b"".join(raw), np.uint8)], np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = 24, ridge: float = 1e-2) -> Model:
@@ -113,7 +134,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 24, ridge: float =
         ok = _inside(offsets, n, len(code))
         pairs = np.unique((code[ok].astype(np.uint64) << np.uint64(32)) | row[ok].astype(np.uint64))
         known, count = np.unique((pairs >> np.uint64(32)).astype(np.uint32), return_counts=True)
-        codes.append(_distinct_slots(known[count >= min(2, len(marks))]))
+        codes.append(known[count >= min(2, len(marks))])
     dictionary = Dictionary(codes)
     x = np.vstack([dictionary.presence(*_bytes([t])) for t in texts])
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
@@ -154,14 +175,20 @@ def identify_languages(docs: DataFrame, train: Column, sample: int = 160, landma
 
     train: the rows to learn from (those with a language count); sample:
     training texts of each language at most; landmarks: of these, for the
-    Nyström space; languages: how many are learnt at most, the most frequent.
+    Nystroem space; languages: how many are learnt at most, the most frequent,
+    which bounds what the driver fits to sample * languages texts.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), train.alias("train"))
     learn = rows.where("train and lang is not null and doc_id is not null and text rlike '\\\\p{L}'")
-    common = [r.lang for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    ranked = learn.where(F.col("lang").isin(common)).select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen = ranked.where(F.col("rank") <= sample).select("doc_id", "rank")
-    found = sorted((r.rank, r.doc_id, r.lang, r.text) for r in learn.join(F.broadcast(chosen), "doc_id").select("doc_id", "rank", "lang", "text").collect()) if common else []
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    keys = learn.select("doc_id", "lang", F.xxhash64("text").alias("hash")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    keys = written(keys, "sample")
+    count = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages) if keys.select("lang").distinct().count() > languages else keys.select("lang").distinct()
+    chosen = keys.join(F.broadcast(count.select("lang")), "lang", "left_semi").select("doc_id", "hash", "rank")
+    texts = learn.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"]).select("rank", "doc_id", "lang", "text").distinct()
+    found = sorted(tuple(r) for r in texts.collect())
+    discard(keys)
     model = fit([r[3] for r in found], [r[2] for r in found], landmarks) if found else None
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return rows.select("doc_id", letters.alias("letters"), "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
