@@ -7,14 +7,17 @@ compare by their opaque part), else the modification date. A resolved revisit
 has the response's headers, updated by those headers that a 304 may change.
 
 The as-of join neither pairs records nor puts a URL into one task: records are
-cut into slices of time, a window finds the latest response within a slice, and
-what earlier slices leave behind is carried over one row for each (URL, slice).
+dealt out by ranges of (URL, time), so that a busy URL spans as many ranges as
+its records fill. A window finds the latest response within a range, and what
+earlier ranges of the URL leave behind is carried over, one row for each URL and
+range.
 
 At equal times a response comes before a revisit, then the smaller record_id.
-Records without URL or time are kept, unresolved. Null headers count as none. A
-revisit without validators is resolved to the latest response unchecked, as
-nothing contradicts it. Repeated rows give repeated results. Extra columns are
-ignored.
+Records without URL or time pass by all of this and are kept, unresolved. Null
+headers count as none. A revisit without validators is resolved to the latest
+response unchecked, as nothing contradicts it. Repeated rows give repeated
+results; an empty table gives an empty one. Extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: Headers of a 304 that update a stored response.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning"]
 
@@ -39,26 +44,31 @@ def canonical_url(url: Column) -> Column:
     return F.regexp_replace(c, "/$", "")
 
 
-def resolve_revisits(records: DataFrame, slice_width: int = 1 << 12) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """record_id, kind, canonical, status, source_id, headers of each record.
 
-    records: record_id long, url string, time long, kind 'response' or
-    'revisit', headers map<string,string> with lower-case names.
+    records: record_id long, url string, time (a number or a timestamp), kind
+    'response' or 'revisit', headers map<string,string> with lower-case names.
     status: 'response', 'resolved', 'mismatch' or 'no_response'; source_id is
-    the response that was found. slice_width: time in a slice.
+    the response that was found.
     """
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "time", "kind", F.coalesce("headers", empty).alias("headers"))
-    r = r.withColumn("slice", F.floor(F.col("time") / slice_width)).withColumn("order", F.struct("time", (F.col("kind") != "response").cast("int").alias("later"), "record_id"))
-    full = F.when((F.col("kind") == "response") & F.col("canonical").isNotNull() & F.col("time").isNotNull(), F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers")))
-    r = r.withColumn("full", full)
-    left = r.where("full is not null").groupBy("canonical", "slice").agg(F.max_by("full", "order").alias("last"))
-    seen = r.select("canonical", "slice").distinct().join(left, ["canonical", "slice"], "left")
-    before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = seen.select("canonical", "slice", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    inside = Window.partitionBy("canonical", "slice").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    near = r.withColumn("near", F.last("full", ignorenulls=True).over(inside)).join(carried, ["canonical", "slice"], "left")
-    found = near.withColumn("found", F.when(F.col("canonical").isNotNull() & F.col("time").isNotNull(), F.coalesce("near", "carried")))
+    r = r.withColumn("later", (F.col("kind") != "response").cast("int"))
+    placed = F.col("canonical").isNotNull() & F.col("time").isNotNull()
+    order = ["time", "later", "record_id"]
+    # the range of each record is stored, so that it can't change when a task is run again
+    dealt = written(r.where(placed).repartitionByRange("canonical", *order).withColumn("range", F.spark_partition_id()), "records")
+    full = F.when(F.col("kind") == "response", F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers")))
+    left = dealt.groupBy("canonical", "range").agg(F.max_by(full, F.when(full.isNotNull(), F.struct(*order))).alias("last"))
+    before = Window.partitionBy("canonical").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("canonical", "range", F.last("last", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
+    inside = Window.partitionBy("canonical", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumn("near", F.last(full, ignorenulls=True).over(inside)).join(carried, ["canonical", "range"], "left")
+    found = near.withColumn("found", F.coalesce("near", "carried"))
+    unplaced = r.where(~placed).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    columns = ["record_id", "kind", "canonical", "headers", "found"]
+    found = found.select(columns).unionByName(unplaced.select(columns))
     etag = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     own, theirs = F.col("headers"), F.col("found.headers")
     agrees = F.when(own["etag"].isNotNull(), etag(own) == etag(theirs)).when(own["last-modified"].isNotNull(), own["last-modified"] == theirs["last-modified"]).otherwise(F.lit(True))
