@@ -14,9 +14,14 @@ def safe_float(text: Column) -> Column:
     return F.nanvl(F.expr("try_cast(null as double)") if text is None else text.try_cast("double"), F.lit(None).cast("double"))
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded half away from zero; nine digits come first, so that noise in the last bits can't turn a tie."""
+    return F.round(F.round(x, 9), digits)
+
+
 def rounded(x: Column, digits: int) -> Column:
-    """Rounded; NULL for NaN and infinities."""
-    return F.round(finite(x), digits)
+    """As half_up; NULL for NaN and infinities."""
+    return half_up(finite(x), digits)
 
 
 def preserved(x: Column) -> Column:

@@ -1,10 +1,17 @@
-"""Corners from the curvature of the path."""
+"""Corners from the curvature of the path.
+
+Samples without a position have curvature 0 and no place in a corner's
+geometry; a NULL speed or acceleration counts as 0. The slowest sample is the
+apex, the first of equal ones. Laps without corners give no row, empty tables
+empty results. Columns of telemetry that are named like a result's are replaced.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
 from .laps import lap_samples
 
 G = 9.80665
@@ -55,11 +62,12 @@ def detect_corners(telemetry: DataFrame, laps: DataFrame, threshold_curvature: f
     ranges = corner_ranges(lap_curvature(telemetry, laps, spread), threshold_curvature, min_curvature)
     t = telemetry.select("session_id", F.col("sample_idx").cast("long").alias("sample_idx"), "lat", "lon", "speed_mph", "lat_accel_mps2", "elapsed_s")
     rows = ranges.withColumn("sample_idx", F.explode(F.sequence("a", "b"))).join(t, ["session_id", "sample_idx"])
-    point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("sample_idx", F.array("lat", "lon").alias("p")))
+    point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("sample_idx", F.array("lon", "lat").alias("p")))
+    speed, g = F.coalesce("speed_mph", F.lit(0.0)), F.abs(F.coalesce("lat_accel_mps2", F.lit(0.0))) / G
     c = rows.groupBy("session_id", "lap_number", "start_sample_idx", "corner_id", "a", "b").agg(
-        F.round(F.min_by("speed_mph", "sample_idx"), 1).alias("entry_speed_mph"), F.round(F.max_by("speed_mph", "sample_idx"), 1).alias("exit_speed_mph"),
-        F.round(F.min("speed_mph"), 1).alias("min_speed_mph"), F.round(F.max(F.abs("lat_accel_mps2")) / G, 3).alias("max_lat_g"),
-        F.round(F.max("elapsed_s") - F.min("elapsed_s"), 3).alias("duration_s"),
+        half_up(F.min_by(speed, "sample_idx"), 1).alias("entry_speed_mph"), half_up(F.max_by(speed, "sample_idx"), 1).alias("exit_speed_mph"),
+        half_up(F.min(speed), 1).alias("min_speed_mph"), half_up(F.max(g), 3).alias("max_lat_g"),
+        half_up(F.max_by("elapsed_s", "sample_idx") - F.min_by("elapsed_s", "sample_idx"), 3).alias("duration_s"),
         F.transform(F.sort_array(F.collect_list(point)), lambda x: x["p"]).alias("geometry"),
-        F.min_by(F.struct("lat", "lon"), F.struct(F.coalesce("speed_mph", F.lit(float("inf"))), "sample_idx")).alias("apex"))
+        F.min_by(F.struct("lat", "lon"), F.struct(speed, "sample_idx")).alias("apex"))
     return c.drop("start_sample_idx")

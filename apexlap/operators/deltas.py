@@ -1,10 +1,17 @@
-"""Time against the reference lap at equal distance."""
+"""Time against the reference lap at equal distance.
+
+Samples without a lap are left out; sessions with fewer than two timed full laps
+give nothing. Points of equal distance keep the order of samples, of equal lap
+times the first lap is the reference, repeated questions are answered once.
+Empty tables give empty results; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
 from .laps import lap_samples
 
 
@@ -46,7 +53,7 @@ def lap_delta_traces(annotated: DataFrame, laps: DataFrame, drop_shared_end: boo
     before = F.coalesce("at", "first")
     inside = before["t"] + (before["t2"] - before["t"]) * F.try_divide(F.col("d") - before["d"], before["d2"] - before["d"])
     own = F.when(F.col("at").isNull() | before["d2"].isNull(), before["t"]).otherwise(inside)
-    return found.select("session_id", "lap_number", "reference_lap", "sample_idx", F.round("d", 2).alias("distance_m"), F.round(F.col("t") - own, 3).alias("time_delta_s"))
+    return found.select("session_id", "lap_number", "reference_lap", "sample_idx", half_up(F.col("d"), 2).alias("distance_m"), half_up(F.col("t") - own, 3).alias("time_delta_s"))
 
 
 def nested_traces(traces: DataFrame, laps: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def delta_at_distance(annotated: DataFrame, laps: DataFrame, asked: DataFrame) -
         at = q.groupBy("session_id", f"lap{n}", "x").agg(F.min_by(F.when(F.col("x") <= F.col("d"), F.struct("d0", "t0", "d", "t")), F.when(F.col("x") <= F.col("d"), F.col("pos"))).alias("p"), F.first("end_t").alias("end_t"))
         time = F.when(F.col("p").isNull(), F.col("end_t")).otherwise(F.col("p.t0") + (F.col("p.t") - F.col("p.t0")) * (F.col("x") - F.col("p.d0")) / F.greatest(F.col("p.d") - F.col("p.d0"), F.lit(1e-6)))
         out = out.join(at.select("session_id", f"lap{n}", F.col("x").alias("distance_m"), time.alias(f"t{n}")), ["session_id", f"lap{n}", "distance_m"], "left")
-    return out.select("session_id", "lap1", "lap2", "distance_m", F.round(F.col("t1") - F.col("t2"), 6).alias("delta_s"))
+    return out.select("session_id", "lap1", "lap2", "distance_m", half_up(F.col("t1") - F.col("t2"), 6).alias("delta_s"))
 
 
 def comparable_laps(laps: DataFrame, chosen: DataFrame) -> DataFrame:

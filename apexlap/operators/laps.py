@@ -1,4 +1,10 @@
-"""Laps: boundaries at the start line, records, sectors, partial laps, annotation."""
+"""Laps: boundaries at the start line, records, sectors, partial laps, annotation.
+
+Samples without a position are never boundaries; sessions without any position
+are one lap. Laps of equal time keep their order of start. Repeated starts of a
+file count once. Empty tables give empty results. Columns of telemetry that are
+named like a result's are replaced, others pass through.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from ..functions.numbers import half_up
 from .motion import running, session_window
 
 #: Sessions whose name holds one of these are routes without laps.
 ROUTES = ("jackson", "freeway")
+#: Files (lower case) with a wide start line, their tolerance in metres and samples to skip.
+WIDE, WIDE_M, WIDE_SKIP = ("wintergreen laps.txt", "cheswick laps.txt"), 9.0, 10
 
 
 def start_points(telemetry: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -28,14 +37,16 @@ def lap_boundaries(telemetry: DataFrame, starts: DataFrame, tolerance_m: float =
     """session_id, boundaries: greedy crossings of the start, more than skip_samples apart.
 
     parameters: session_id (lower case), tolerance_m, skip_samples of single
-    sessions. Only candidates near the start are gathered, one short array a session.
+    sessions; files of WIDE have their own without it. Only candidates near the start are gathered, one short array a session.
     """
     t = telemetry.join(starts, "session_id")
+    wide = F.lower("session_id").isin(*WIDE)
+    usual = {"tolerance": F.when(wide, F.lit(WIDE_M)).otherwise(F.lit(tolerance_m)), "skip": F.when(wide, F.lit(WIDE_SKIP)).otherwise(F.lit(skip_samples))}
     if parameters is None:
-        t = t.withColumns({"tolerance": F.lit(tolerance_m), "skip": F.lit(skip_samples)})
+        t = t.withColumns(usual)
     else:
-        p = parameters.select(F.lower("session_id").alias("name"), "tolerance_m", "skip_samples")
-        t = t.join(p, F.lower("session_id") == p.name, "left").withColumns({"tolerance": F.coalesce("tolerance_m", F.lit(tolerance_m)), "skip": F.coalesce("skip_samples", F.lit(skip_samples))})
+        p = parameters.select(F.lower("session_id").alias("name"), F.col("tolerance_m").alias("own_m"), F.col("skip_samples").alias("own_skip")).dropDuplicates(["name"])
+        t = t.join(p, F.lower("session_id") == p.name, "left").withColumns({"tolerance": F.coalesce("own_m", usual["tolerance"]), "skip": F.coalesce("own_skip", usual["skip"])})
     near = t.where(haversine_m(F.col("lat"), F.col("lon"), F.col("start_lat"), F.col("start_lon")) < F.col("tolerance"))
     c = near.groupBy("session_id").agg(F.sort_array(F.collect_list(F.col("sample_idx").cast("long"))).alias("c"), F.first("skip").alias("skip"))
     fold = "aggregate(c, cast(array() as array<bigint>), (a, x) -> if(x - if(size(a) > 0, element_at(a, -1), 0L) > skip, array_append(a, x), a))"
@@ -43,12 +54,15 @@ def lap_boundaries(telemetry: DataFrame, starts: DataFrame, tolerance_m: float =
 
 
 def lap_ranges(telemetry: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """session_id, range_no, start_idx, end_idx: neighbours share their boundary sample; the last ends with the session."""
-    last = telemetry.groupBy("session_id").agg(F.max("sample_idx").cast("long").alias("last_idx"))
-    b = boundaries.select("session_id", F.posexplode("boundaries").alias("range_no", "start_idx"))
-    following = F.lead("start_idx").over(Window.partitionBy("session_id").orderBy("range_no"))
-    r = b.withColumn("end_idx", following).join(last, "session_id")
-    return r.select("session_id", "range_no", "start_idx", F.coalesce("end_idx", "last_idx").alias("end_idx")).where("end_idx > start_idx")
+    """session_id, range_no, start_idx, end_idx: neighbours share their boundary sample; the last ends with the session.
+
+    A session without any range is one range as a whole.
+    """
+    ends = telemetry.groupBy("session_id").agg(F.min("sample_idx").cast("long").alias("first_idx"), F.max("sample_idx").cast("long").alias("last_idx"))
+    pairs = "transform(coalesce(boundaries, array()), (x, i) -> struct(i as range_no, x as start_idx, coalesce(get(boundaries, i + 1), last_idx) as end_idx))"
+    r = ends.join(boundaries, "session_id", "left").withColumn("ranges", F.expr(f"filter({pairs}, p -> p.end_idx > p.start_idx)"))
+    whole = "array(struct(0 as range_no, first_idx as start_idx, last_idx as end_idx))"
+    return r.select("session_id", F.explode(F.expr(f"if(size(ranges) > 0, ranges, {whole})")).alias("r")).select("session_id", "r.*")
 
 
 def fallback_ranges(telemetry: DataFrame) -> DataFrame:
@@ -62,10 +76,10 @@ def lap_records(telemetry: DataFrame, ranges: DataFrame) -> DataFrame:
     ends = [telemetry.select("session_id", F.col("sample_idx").cast("long").alias(f"{x}_idx"), F.col("timestamp").alias(f"{x}_time"), F.col("distance_m").alias(f"{x}_d")) for x in ("start", "end")]
     r = ranges.join(ends[0], ["session_id", "start_idx"]).join(ends[1], ["session_id", "end_idx"])
     seconds = F.unix_micros(F.to_timestamp("end_time")) - F.unix_micros(F.to_timestamp("start_time"))
-    return r.select("session_id", "range_no", "start_time", "end_time", F.round(seconds / 1e6, 5).alias("lap_time_s"), F.round(F.col("end_d") - F.col("start_d"), 3).alias("distance_m"), F.col("start_idx").alias("start_sample_idx"), F.col("end_idx").alias("end_sample_idx"))
+    return r.select("session_id", "range_no", "start_time", "end_time", half_up(seconds / 1e6, 5).alias("lap_time_s"), half_up(F.col("end_d") - F.col("start_d"), 3).alias("distance_m"), F.col("start_idx").alias("start_sample_idx"), F.col("end_idx").alias("end_sample_idx"))
 
 
-def classify_laps(records: DataFrame, routes: Sequence[str] = ROUTES) -> DataFrame:
+def classify_laps(records: DataFrame) -> DataFrame:
     """lap_number and is_partial: of two laps or more the first and last are partial; full laps count from 1."""
     n, k = F.count(F.lit(1)).over(Window.partitionBy("session_id")), F.row_number().over(Window.partitionBy("session_id").orderBy("start_sample_idx"))
     r = records.withColumns({"n": n, "k": k})
@@ -75,10 +89,9 @@ def classify_laps(records: DataFrame, routes: Sequence[str] = ROUTES) -> DataFra
 
 def detect_laps(telemetry: DataFrame, starts: DataFrame | None = None, tolerance_m: float = 5.0, skip_samples: int = 4, parameters: DataFrame | None = None, routes: Sequence[str] = ROUTES) -> DataFrame:
     """Lap records of every session, full and partial; sessions without a boundary, and routes, are one lap."""
-    found = lap_ranges(telemetry, lap_boundaries(telemetry, start_points(telemetry, starts), tolerance_m, skip_samples, parameters))
-    found = found.where(~F.lower("session_id").rlike("|".join(routes))) if routes else found
-    rest = fallback_ranges(telemetry).join(found.select("session_id").distinct(), "session_id", "left_anti")
-    return classify_laps(lap_records(telemetry, found.unionByName(rest)), routes)
+    timed = telemetry.where(~F.lower("session_id").rlike("|".join(routes))) if routes else telemetry
+    found = lap_boundaries(timed, start_points(timed, starts), tolerance_m, skip_samples, parameters)
+    return classify_laps(lap_records(telemetry, lap_ranges(telemetry, found)))
 
 
 def plausible_laps(telemetry: DataFrame, laps: DataFrame, least_s: float = 20.0, least_m: float = 150.0) -> DataFrame:
@@ -95,6 +108,7 @@ def lap_samples(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
     A running count of lap starts tells each sample its lap, so no range join is
     needed; the last sample of a lap is joined by its index.
     """
+    telemetry = telemetry.drop("lap_number", "start_sample_idx", "end_sample_idx", "pos", "s")
     keys = laps.select("session_id", "lap_number", "start_sample_idx", "end_sample_idx")
     marks = telemetry.join(keys.select("session_id", F.col("start_sample_idx").alias("sample_idx"), F.col("start_sample_idx").alias("s")), ["session_id", "sample_idx"], "left")
     inside = marks.withColumn("start_sample_idx", F.last("s", ignorenulls=True).over(running())).drop("s").join(keys, ["session_id", "start_sample_idx"])
@@ -113,6 +127,8 @@ def sector_times(telemetry: DataFrame, laps: DataFrame, sectors: int = 3) -> Dat
     s = lap_samples(telemetry, laps).select("session_id", "lap_number", "start_sample_idx", "sample_idx", "pos", F.col("distance_m").alias("d"), F.unix_micros(F.to_timestamp("timestamp")).alias("us"))
     whole = lap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumns({"d_before": F.lag("d").over(lap), "us_before": F.lag("us").over(lap), "d0": F.first("d").over(whole), "dn": F.last("d").over(whole), "us0": F.first("us").over(whole)})
+    # times count from the lap's start: small numbers keep their digits as doubles
+    s = s.withColumns({"us": F.col("us") - F.col("us0"), "us_before": F.col("us_before") - F.col("us0")})
     s = s.where("d_before is not null and dn > d0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(sectors))))
     s = s.withColumn("b", F.when(F.col("k") == sectors, F.col("dn")).otherwise(F.col("d0") + (F.col("dn") - F.col("d0")) * F.col("k") / sectors)).where("d_before <= b and b <= d")
     key = ["session_id", "lap_number", "start_sample_idx"]
@@ -122,19 +138,20 @@ def sector_times(telemetry: DataFrame, laps: DataFrame, sectors: int = 3) -> Dat
     picked = spans.select(*key, F.explode(F.expr(pick)).alias("c")).select(*key, "c.k", "c.pos")
     at = s.join(picked, [*key, "k", "pos"]).withColumn("us_at", F.col("us_before") + (F.col("us") - F.col("us_before")) * F.coalesce(F.try_divide(F.col("b") - F.col("d_before"), F.col("d") - F.col("d_before")), F.lit(0.0)))
     order = Window.partitionBy("session_id", "start_sample_idx").orderBy("k")
-    at = at.withColumn("t", F.round((F.col("us_at") - F.coalesce(F.lag("us_at").over(order), F.col("us0"))) / 1e6, 5)).withColumn("split", F.round(F.col("b") - F.col("d0"), 3))
+    at = at.withColumn("t", half_up((F.col("us_at") - F.coalesce(F.lag("us_at").over(order), F.lit(0.0))) / 1e6, 5)).withColumn("split", half_up(F.col("b") - F.col("d0"), 3))
     rows = at.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "t", "split"))).alias("c"))
     return rows.select(*key, F.expr("transform(c, x -> x.t)").alias("sector_times_s"), F.expr("transform(c, x -> x.split)").alias("sector_splits_m"))
 
 
 def annotate_lap_samples(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
     """lap_index, lap_elapsed_s and lap_distance_m of each sample; of two full laps the later has the shared sample."""
+    telemetry = telemetry.drop("lap_index", "lap_elapsed_s", "lap_distance_m", "mark", "s", "e")
     full = laps.where("not is_partial").select("session_id", F.col("lap_number").alias("lap_index"), F.col("start_sample_idx").alias("s"), F.col("end_sample_idx").alias("e"))
     starts = full.select("session_id", F.col("s").alias("sample_idx"), F.col("s").alias("mark"))
     t = telemetry.join(starts, ["session_id", "sample_idx"], "left").withColumn("s", F.last("mark", ignorenulls=True).over(running()))
     t = t.join(full, ["session_id", "s"], "left").withColumns({c: F.when(F.col("sample_idx") <= F.col("e"), F.col(c)) for c in ("lap_index", "s")})
     lap = Window.partitionBy("session_id", "s").orderBy("sample_idx")
-    zero = {"lap_elapsed_s": F.round(F.col("elapsed_s") - F.first("elapsed_s").over(lap), 3), "lap_distance_m": F.col("distance_m") - F.first("distance_m").over(lap)}
+    zero = {"lap_elapsed_s": half_up(F.col("elapsed_s") - F.first("elapsed_s").over(lap), 3), "lap_distance_m": F.col("distance_m") - F.first("distance_m").over(lap)}
     return t.withColumns({k: F.when(F.col("lap_index").isNotNull(), v) for k, v in zero.items()}).drop("mark", "s", "e")
 
 

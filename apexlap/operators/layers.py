@@ -1,10 +1,16 @@
-"""Map layers: lines, coloured laps, speed legend and heat maps."""
+"""Map layers: lines, coloured laps, speed legend and heat maps.
+
+Samples without a position are left out of lines, not of a session's largest
+values. A NULL speed counts as 0, a NULL acceleration as none. Empty tables give
+empty results; columns of telemetry named like a result's are replaced.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
 from .laps import lap_samples
 
 #: Colours of the speed scale at 0, 20, 40, 60 and 80 per cent, and of laps by position.
@@ -34,14 +40,31 @@ def speed_legend(telemetry: DataFrame) -> DataFrame:
 
 
 def track_geojson(telemetry: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """session_id, geojson: the track as a line and its start as a point; sessions without positions have none."""
-    valid = telemetry.where("lat is not null and lon is not null")
-    line = valid.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample_idx", F.array("lon", "lat").alias("p")))), lambda x: x["p"]).alias("line"))
-    line = line.withColumns({"start": F.get("line", F.lit(0))})
+    """session_id, geojson, error: the track as a line and its start (session_id, start_lat, start_lon, else its first point) as a point.
+
+    Sessions without positions have an error instead.
+    """
+    valid = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("sample_idx", F.array("lon", "lat").alias("p")))
+    line = telemetry.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(valid)), lambda x: x["p"]).alias("line"))
+    line = line.withColumns({"start": F.get("line", F.lit(0)), "n": F.size("line")})
     if starts is not None:
-        line = line.join(starts, "session_id", "left").withColumn("start", F.coalesce(F.when(F.col("start_lat").isNotNull(), F.array("start_lon", "start_lat")), F.col("start")))
-    feature = lambda kind, c, name: F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(name).alias("name")).alias("properties"), F.to_json(F.struct(F.lit(kind).alias("type"), c.alias("coordinates"))).alias("geometry"))
-    return line.select("session_id", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature("LineString", F.col("line"), "track"), feature("Point", F.col("start"), "start")).alias("features"))).alias("geojson"))
+        given = starts.where("start_lat is not null and start_lon is not null").groupBy("session_id").agg(F.first(F.array("start_lon", "start_lat")).alias("given"))
+        line = line.join(given, "session_id", "left").withColumn("start", F.coalesce("given", "start"))
+    track = _feature("LineString", F.col("line"), F.struct(F.col("n").alias("sampleCount")))
+    marker = _feature("Point", F.col("start"), F.struct(F.lit("start_finish").alias("marker")))
+    found = F.col("n") > 0
+    return line.select("session_id", F.when(found, _collection(F.concat_ws(",", track, marker))).alias("geojson"), F.when(~found, F.lit("no valid coordinates")).alias("error"))
+
+
+def _feature(kind: str, coordinates: Column, properties: Column) -> Column:
+    """A GeoJSON feature as text."""
+    geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")))
+
+
+def _collection(features: Column) -> Column:
+    """A GeoJSON collection of features that are text with commas between."""
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}"))
 
 
 def lap_segments(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
@@ -56,18 +79,35 @@ def lap_segments(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
 
 
 def lap_features(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
-    """One row for each lap of two valid samples at least: its segments in order."""
+    """One row for each lap of two valid samples at least, with its GeoJSON feature.
+
+    session_id, lap_number, is_partial, start_sample_idx, lap_time_s,
+    coordinates, segments, segment_colors, stroke, stroke_width, feature. Partial
+    laps have coordinates alone.
+    """
     s = lap_segments(telemetry, laps)
-    pair = F.struct("sample_idx", F.array(F.array("from_lon", "from_lat"), F.array("lon", "lat")).alias("segment"), "color")
-    return s.groupBy("session_id", "lap_number", "is_partial", "start_sample_idx", "lap_color").agg(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.struct(x["segment"].alias("segment"), x["color"].alias("color"))).alias("segments"))
+    pair = F.struct("sample_idx", F.array("from_lon", "from_lat").alias("a"), F.array("lon", "lat").alias("b"), "color")
+    by = ["session_id", "lap_number", "is_partial", "start_sample_idx"]
+    f = s.groupBy(*by, "lap_color").agg(F.sort_array(F.collect_list(pair)).alias("pairs")).join(laps.select(*by, "lap_time_s"), by)
+    full = ~F.col("is_partial")
+    each = lambda take: F.transform("pairs", take)
+    f = f.select(*by, "lap_time_s", F.concat(F.array(F.get("pairs", F.lit(0))["a"]), each(lambda x: x["b"])).alias("coordinates"), F.when(full, each(lambda x: F.array(x["a"], x["b"]))).alias("segments"), F.when(full, each(lambda x: x["color"])).alias("segment_colors"), F.when(full, F.col("lap_color")).alias("stroke"), F.when(full, F.lit(5)).alias("stroke_width"))
+    properties = F.struct("lap_number", "lap_time_s", "segments", "segment_colors", "stroke", "stroke_width", F.when(~full, F.lit(True)).alias("is_partial"))
+    return f.withColumn("feature", _feature("LineString", F.col("coordinates"), properties))
+
+
+def lap_collections(features: DataFrame) -> DataFrame:
+    """session_id, is_partial, geojson: the features of a session's full and of its partial laps, in order."""
+    each = F.transform(F.sort_array(F.collect_list(F.struct("start_sample_idx", "feature"))), lambda x: x["feature"])
+    return features.groupBy("session_id", "is_partial").agg(_collection(F.array_join(each, ",")).alias("geojson"))
 
 
 def heatmap_layers(telemetry: DataFrame) -> DataFrame:
     """session_id, layer, sample_idx, lat, lon, intensity, value: braking, throttle and lateral acceleration."""
-    whole = Window.partitionBy("session_id")
     brake, throttle = F.greatest(-F.col("long_accel_mps2"), F.lit(0.0)), F.greatest(F.col("long_accel_mps2"), F.lit(0.0))
-    values = F.array(*(F.struct(F.lit(n).alias("layer"), v.alias("value")) for n, v in (("brake", brake), ("throttle", throttle), ("lateral", F.col("lat_accel_mps2")))))
-    t = telemetry.withColumns({"top": F.array(*(F.max(F.abs(v)).over(whole) for v in (brake, throttle, F.col("lat_accel_mps2")))), "values": values})
-    t = t.select("session_id", "sample_idx", "lat", "lon", "top", F.posexplode("values").alias("i", "v")).withColumn("most", F.get("top", F.col("i")))
-    t = t.where("lat is not null and lon is not null and v.value != 0 and most > 0")
-    return t.select("session_id", "v.layer", "sample_idx", "lat", "lon", F.round(F.least(F.lit(1.0), F.abs("v.value") / F.col("most")), 3).alias("intensity"), F.round("v.value", 3).alias("value"))
+    sides = (("brake", brake), ("throttle", throttle), ("lateral", F.col("lat_accel_mps2")))
+    tops = telemetry.groupBy("session_id").agg(*(F.max(F.abs(v)).alias(f"top_{n}") for n, v in sides))
+    each = F.array(*(F.struct(F.lit(n).alias("layer"), v.alias("value"), F.col(f"top_{n}").alias("most")) for n, v in sides))
+    t = telemetry.where("lat is not null and lon is not null").join(tops, "session_id").select("session_id", "sample_idx", "lat", "lon", F.explode(each).alias("v"))
+    t = t.where("v.value != 0 and v.most > 0")
+    return t.select("session_id", "v.layer", "sample_idx", "lat", "lon", half_up(F.least(F.lit(1.0), F.abs("v.value") / F.col("v.most")), 3).alias("intensity"), half_up(F.col("v.value"), 3).alias("value"))

@@ -1,4 +1,11 @@
-"""Motion metrics of sessions and the telemetry projection."""
+"""Motion metrics of sessions and the telemetry projection.
+
+A session's samples have one sample_idx each; with repeated ones the order of
+those is undefined. NULL positions give NULL local positions and no heading
+change, NULL speeds count as 0, a step of no time has no dt. A session of one
+sample has zero distance and accelerations. An empty table gives an empty
+result. Extra columns pass through; those named like a metric are replaced.
+"""
 
 from __future__ import annotations
 

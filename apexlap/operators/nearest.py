@@ -4,30 +4,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from ..functions.numbers import half_up
+from ..sources.staging import discard, written
 
 
-def nearest_samples(points: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("session_id",), degrees: float = 1e-3, levels: int = 2) -> DataFrame:
-    """Each point (by.., point_id, lat, lon) with the nearest sample_idx of its key and its distance; the first wins ties.
+def nearest_samples(points: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("session_id",), degrees: float = 1e-3) -> DataFrame:
+    """Each point (by.., point_id, lat, lon) with the nearest sample_idx of its key and its distance; the first wins ties (to a micrometre).
 
     Points meet the samples of the cells around them. Cells widen tenfold until
-    a hit is certain to be the nearest (it lies within one cell); what is left
-    after `levels` meets all samples of its key. With by = (session_id,
-    lap_number) the search is confined to a lap.
+    a hit is certain to be the nearest (it lies within one cell) or a cell holds
+    the whole globe. With by = (session_id, lap_number) the search is confined
+    to a lap. Points or samples without a position are left out, as are points
+    whose key has no sample; a repeated point is one. Extra columns are ignored.
     """
     cols = [F.col(c) for c in by]
     s = samples.where("lat is not null and lon is not null").select(*cols, F.col("sample_idx").alias("idx"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    left, found = points.where("lat is not null and lon is not null"), None
-    pick = F.min(F.struct(haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")).alias("d"), "idx")).alias("n")
-    for level in range(levels + 1):
-        if level < levels:
-            size = degrees * 10**level
-            around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-            p = left.withColumn("o", F.explode(around)).withColumns({"cx": F.floor(F.col("lon") / size) + F.col("o.i"), "cy": F.floor(F.col("lat") / size) + F.col("o.j")})
-            q = s.withColumns({"cx": F.floor(F.col("slon") / size), "cy": F.floor(F.col("slat") / size)})
-            hits = p.join(q, [*by, "cx", "cy"]).groupBy(*cols, "point_id").agg(pick, F.first("lat").alias("plat"))
-            certain = hits.where(F.col("n.d") <= size * 111_000 * F.cos(F.radians(F.least(F.abs("plat") + size, F.lit(89.9))))).drop("plat")
-        else:
-            certain = left.join(s, list(by)).groupBy(*cols, "point_id").agg(pick)
-        found = certain if found is None else found.unionByName(certain)
-        left = left.join(certain.select(*cols, "point_id"), [*by, "point_id"], "left_anti")
-    return found.select(*cols, "point_id", F.col("n.idx").alias("sample_idx"), F.round("n.d", 6).alias("distance_m"))
+    keys = s.select(*by).distinct()
+    left = points.where("lat is not null and lon is not null").select(*cols, "point_id", "lat", "lon").dropDuplicates([*by, "point_id"]).join(keys, list(by), "left_semi")
+    metres = half_up(haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 6)
+    pick = F.min(F.struct(metres.alias("d"), "idx")).alias("n")
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    found, size = None, degrees
+    while True:
+        p = left.withColumn("o", F.explode(near)).withColumns({"cx": F.floor(F.col("lon") / size) + F.col("o.i"), "cy": F.floor(F.col("lat") / size) + F.col("o.j")})
+        q = s.withColumns({"cx": F.floor(F.col("slon") / size), "cy": F.floor(F.col("slat") / size)})
+        hits = p.join(q, [*by, "cx", "cy"]).groupBy(*cols, "point_id").agg(pick, F.first("lat").alias("plat"))
+        if size < 360:
+            hits = hits.where(F.col("n.d") <= size * 111_000 * F.cos(F.radians(F.least(F.abs("plat") + size, F.lit(89.9)))))
+        hits = written(hits.drop("plat"), "nearest")
+        found = hits if found is None else found.unionByName(hits)
+        rest = written(left.join(hits.select(*by, "point_id"), [*by, "point_id"], "left_anti"), "left")
+        if hasattr(left, "_staged_at"):
+            discard(left)
+        left = rest
+        if size >= 360 or left.isEmpty():
+            return found.select(*cols, "point_id", F.col("n.idx").alias("sample_idx"), F.col("n.d").alias("distance_m"))
+        size *= 10

@@ -1,4 +1,11 @@
-"""Position error against roads, and the comparison of smoothing methods on it."""
+"""Position error against roads, and the comparison of smoothing methods on it.
+
+Points without a position have a NULL error and count in no metric; sessions
+without roads have NULL errors throughout. Roads of fewer than two points have
+no segment; repeated edges count once. Equal distances and metrics go to the
+first method in order. Empty tables give empty results; extra columns are
+ignored.
+"""
 
 from __future__ import annotations
 
@@ -41,11 +48,13 @@ def roads_in_box(points: DataFrame, edges: DataFrame, margin: float = 0.001, cla
 def roads_in_radius(centres: DataFrame, edges: DataFrame, dist: float = 500.0, drive: Sequence[str] = MAIN_ROADS) -> DataFrame:
     """Edges near each centre (session_id, lat0, lon0): radii d, 2d, 5d, 10d, roads for driving before all; the first that has any.
 
-    Centres and edges meet in cells of about the largest radius.
+    Centres and edges meet in cells as high as the largest radius; a centre
+    looks at as many cells to either side as that radius spans at its latitude.
     """
-    cell = 10 * dist / 111_000 * 2
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    c = centres.withColumn("o", F.explode(near)).withColumns({"x": F.floor(F.col("lon0") / cell) + F.col("o.i"), "y": F.floor(F.col("lat0") / cell) + F.col("o.j")})
+    cell = 10 * dist / 111_000
+    wide = cell / F.greatest(F.cos(F.radians(F.least(F.abs("lat0") + cell, F.lit(89.0)))), F.lit(0.01))
+    span = lambda at, reach: F.sequence(F.floor((at - reach) / cell), F.floor((at + reach) / cell))
+    c = centres.withColumn("x", F.explode(span(F.col("lon0"), wide))).withColumn("y", F.explode(span(F.col("lat0"), F.lit(cell))))
     p = edges.withColumn("p", F.explode("coords")).withColumns({"x": F.floor(F.col("p.lon") / cell), "y": F.floor(F.col("p.lat") / cell)})
     d = c.join(p, ["x", "y"]).groupBy("session_id", "edge_id").agg(F.first("highway").alias("highway"), F.first("coords").alias("coords"), F.min(haversine_m(F.col("lat0"), F.col("lon0"), F.col("p.lat"), F.col("p.lon"))).alias("far"))
     level = F.when(F.col("far") <= dist, 0).when(F.col("far") <= 2 * dist, 1).when(F.col("far") <= 5 * dist, 2).when(F.col("far") <= 10 * dist, 3)
@@ -64,37 +73,55 @@ def roads_of_sessions(points: DataFrame, edges: DataFrame, centres: DataFrame, d
     return found
 
 
-def road_errors(points: DataFrame, roads: DataFrame, centres: DataFrame, cells: Sequence[float] = (50.0, 500.0, 5000.0)) -> DataFrame:
+def road_errors(points: DataFrame, roads: DataFrame, centres: DataFrame, cell_m: float = 50.0) -> DataFrame:
     """points (session_id, method, sample_idx, series, lat, lon) with error_m, the distance to the session's nearest road.
 
-    Segments are copied to the cells that their boxes touch, points to the 3 x 3
-    cells around them. A hit counts once it is no farther than one cell;
-    otherwise the point goes on to wider cells, at last to all its session's
-    segments.
+    Segments are cut into pieces no longer than a cell and copied to the few
+    cells that a piece's box touches, points to the 3 x 3 cells around them. A
+    hit counts once it is no farther than one cell; the other points go on to
+    cells ten times as wide, until all have one.
     """
     key = ["session_id", "method", "sample_idx", "series"]
     x, y = latlon_to_enu(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    p = points.join(centres, "session_id").select(*key, x.alias("px"), y.alias("py"))
-    line = roads.join(centres, "session_id").select("session_id", geometry_to_enu(F.col("coords"), F.col("lat0"), F.col("lon0")).alias("c"))
-    seg = line.select("session_id", F.posexplode("c").alias("i", "s"), F.col("c")).withColumn("e", F.get("c", F.col("i") + 1)).where("e is not null").select("session_id", F.col("s.x").alias("ax"), F.col("s.y").alias("ay"), F.col("e.x").alias("bx"), F.col("e.y").alias("by"))
+    p = written(points.join(centres, "session_id").select(*key, x.alias("px"), y.alias("py")), "positions")
+    line = roads.dropDuplicates(["session_id", "edge_id"]).join(centres, "session_id").select("session_id", geometry_to_enu(F.col("coords"), F.col("lat0"), F.col("lon0")).alias("c"))
+    seg = line.select("session_id", F.posexplode("c").alias("i", "s"), F.col("c")).withColumn("e", F.get("c", F.col("i") + 1)).where("e is not null")
+    seg = seg.select("session_id", F.col("s.x").alias("ax"), F.col("s.y").alias("ay"), F.col("e.x").alias("bx"), F.col("e.y").alias("by"))
+    seg = written(seg.where("ax is not null and ay is not null and bx is not null and by is not null"), "segments")
     d = point_segment_m(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
-    p, seg = written(p, "positions"), written(seg, "segments")
-    left, found = p.where("px is not null and py is not null"), None
-    for size in (*cells, None):
-        if size:
-            span = lambda a, b, size=size: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-            s = seg.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
-            o = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-            q = left.withColumn("o", F.explode(o)).withColumns({"cx": F.floor(F.col("px") / size) + F.col("o.i"), "cy": F.floor(F.col("py") / size) + F.col("o.j")})
-            hit = q.join(s, ["session_id", "cx", "cy"]).groupBy(key).agg(F.min(d).alias("error_m")).where(F.col("error_m") <= size)
-        else:
-            hit = left.join(seg, "session_id").groupBy(key).agg(F.min(d).alias("error_m"))
-        hit = written(hit, "hits")
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    left = p.where("px is not null and py is not null").join(seg.select("session_id").distinct(), "session_id", "left_semi")
+    found, size = None, cell_m
+    while True:
+        n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / size)).cast("int")
+        at = lambda a, b, t: F.floor((F.col(a) + (F.col(b) - F.col(a)) * t) / size)
+        s = seg.withColumn("n", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        ends = {f"c{v}{w}": at(f"a{v}", f"b{v}", (F.col("t") + w) / F.col("n")) for v in "xy" for w in (0, 1)}
+        s = s.withColumns(ends)
+        s = s.withColumn("cx", F.explode(F.array_distinct(F.array("cx0", "cx1")))).withColumn("cy", F.explode(F.array_distinct(F.array("cy0", "cy1"))))
+        s = s.select("session_id", "cx", "cy", "ax", "ay", "bx", "by").distinct()
+        q = left.withColumn("o", F.explode(near)).withColumns({"cx": F.floor(F.col("px") / size) + F.col("o.i"), "cy": F.floor(F.col("py") / size) + F.col("o.j")})
+        hit = written(q.join(s, ["session_id", "cx", "cy"]).groupBy(key).agg(F.min(d).alias("error_m")).where(F.col("error_m") <= size), "hits")
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select(key), key, "left_anti")
         if left.isEmpty():
-            break
-    return p.select(key).join(found, key, "left")
+            return p.select(key).join(found, key, "left")
+        size *= 10
+
+
+def errors_side_by_side(points: DataFrame, errors: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """session_id, method, sample_idx, (timestamp), lat_raw, lon_raw, lat_smooth, lon_smooth, dist_error_raw_m, dist_error_smooth_m.
+
+    errors: of both series, as `road_errors` gives them; times: session_id,
+    sample_idx, timestamp.
+    """
+    raw = errors.where("series = 'raw'").groupBy("session_id", "sample_idx").agg(F.first("error_m").alias("dist_error_raw_m"))
+    smooth = errors.where("series = 'smooth'").select("session_id", "method", "sample_idx", F.col("error_m").alias("dist_error_smooth_m"))
+    rows = points.join(raw, ["session_id", "sample_idx"], "left").join(smooth, ["session_id", "method", "sample_idx"], "left")
+    columns = ["lat_raw", "lon_raw", "lat_smooth", "lon_smooth", "dist_error_raw_m", "dist_error_smooth_m"]
+    if times is None:
+        return rows.select("session_id", "method", "sample_idx", *columns)
+    return rows.join(times.select("session_id", "sample_idx", "timestamp"), ["session_id", "sample_idx"], "left").select("session_id", "method", "sample_idx", "timestamp", *columns)
 
 
 def accuracy(errors: DataFrame, by: Sequence[str] = ("session_id", "method", "series")) -> DataFrame:
@@ -107,10 +134,18 @@ def accuracy(errors: DataFrame, by: Sequence[str] = ("session_id", "method", "se
 
 
 def error_histogram(errors: DataFrame, bins: int = 39, limit: float = 20.0) -> DataFrame:
-    """Density of errors from 0 to the smaller of the largest and `limit`; the last bin is closed."""
-    top = errors.groupBy("session_id", "method").agg(F.least(F.max("error_m"), F.lit(limit)).alias("top")).where("top > 0")
-    e = errors.join(top, ["session_id", "method"]).where("error_m between 0 and top")
-    e = e.withColumn("bin", F.least(F.floor(F.col("error_m") * bins / F.col("top")).cast("int"), F.lit(bins - 1)))
+    """session_id, method, series, bin, n, density: raw errors beside those of each method, in the same bins.
+
+    Bins reach from 0 to the smallest of the largest raw error, the largest
+    smoothed one and `limit`; the last bin is closed.
+    """
+    raw, smooth = errors.where("series = 'raw'"), errors.where("series = 'smooth'")
+    tops = smooth.groupBy("session_id", "method").agg(F.max("error_m").alias("top"))
+    tops = tops.join(raw.groupBy("session_id").agg(F.max("error_m").alias("raw_top")), "session_id")
+    tops = tops.select("session_id", "method", F.least("top", "raw_top", F.lit(limit)).alias("top")).where("top > 0")
+    sides = raw.drop("method").join(tops, "session_id").select("session_id", "method", "series", "error_m", "top")
+    sides = sides.unionByName(smooth.join(tops, ["session_id", "method"]).select("session_id", "method", "series", "error_m", "top"))
+    e = sides.where("error_m between 0 and top").withColumn("bin", F.least(F.floor(F.col("error_m") * bins / F.col("top")).cast("int"), F.lit(bins - 1)))
     n = F.sum("n").over(Window.partitionBy("session_id", "method", "series"))
     counts = e.groupBy("session_id", "method", "series", "bin", "top").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("density", F.col("n") / (n * F.col("top") / bins)).drop("top")

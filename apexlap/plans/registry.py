@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_up
 from ..functions.smoothing import smoothed
 from ..operators import corners, deltas, laps, layers, motion, nearest, roads
-from ..sources import logs
-from ..sources.staging import written
-from . import fixtures
+from ..sources import export, logs
+from ..sources.staging import shared_dir, written
+from . import fixtures, session
 from .sql import SQL as SQL
 
 START = [40.0, -80.0]
@@ -37,26 +40,45 @@ def _annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return written(laps.annotate_lap_samples(t, found), "annotated"), found
 
 
+def _digits(**columns: int) -> list[Column]:
+    """Columns rounded to so many digits."""
+    return [half_up(F.col(c), n).alias(c) for c, n in columns.items()]
+
+
 def metrics(spark, sf_dir):
-    r = lambda c, n: F.round(c, n).alias(c)
-    return _metrics(spark, sf_dir).select("session_id", "sample_idx", r("elapsed_s", 6), r("dt_s", 6), r("x_m", 4), r("y_m", 4), r("speed_mph", 6), F.round(F.col("distance_along_m") + 1e-7, 4).alias("distance_along_m"), r("heading_deg", 4), r("long_accel_mps2", 4), r("lat_accel_mps2", 4))
+    return _metrics(spark, sf_dir).select("session_id", "sample_idx", *_digits(elapsed_s=6, dt_s=6, x_m=4, y_m=4, speed_mph=6, distance_along_m=4, distance_along_mi=6, heading_deg=4, long_accel_mps2=4, lat_accel_mps2=4, speed_course_mps=4))
+
+
+def imu_metrics(spark, sf_dir):
+    """Sessions of even number have an accelerometer, derived from the speed."""
+    even = F.col("session_id").cast("int") % 2 == 0
+    t = fixtures.tracks(spark, sf_dir).withColumns({"has_accel": even, "imu_accel_y": F.when(even, F.col("speed_mps") * 0.3), "imu_accel_x": F.when(even, F.col("speed_mps") * -0.2)})
+    return motion.compute_derived_metrics(t).select("session_id", "sample_idx", *_digits(long_accel_mps2=4, lat_accel_mps2=4))
 
 
 def smoothing(spark, sf_dir):
     t = fixtures.tracks(spark, sf_dir)
-    return t.select("session_id", "sample_idx", *(F.round(smoothed(F.col("lat"), motion.session_window(), motion.whole_session(), m, 7), 8).alias(m) for m in ("ma", "gaussian", "savgol")))
+    return t.select("session_id", "sample_idx", *(half_up(smoothed(F.col("lat"), motion.session_window(), motion.whole_session(), m, 7), 8).alias(m) for m in ("ma", "gaussian", "savgol")))
 
 
 def telemetry(spark, sf_dir):
-    return _telemetry(spark, sf_dir).select("session_id", "sample_idx", "elapsed_s", "speed_mps", "speed_mph", "long_accel_mps2", F.round(F.col("distance_m") + 1e-7, 4).alias("distance_m"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+    fields = ["elapsed_s", "alt", "speed_mps", "speed_mph", "long_accel_mps2", "lat_accel_mps2", "heading_deg", "imu_accel_x", "imu_accel_y", "imu_accel_z", "imu_gyro_z", "pos_accuracy_m"]
+    return _telemetry(spark, sf_dir).select("session_id", "sample_idx", *fields, *_digits(distance_m=4, lat=8, lon=8))
 
 
 def lap_table(spark, sf_dir):
-    return _laps(spark, sf_dir)[1].select("session_id", "lap_number", "is_partial", "lap_time_s", F.round(F.col("distance_m") + 1e-7, 2).alias("distance_m"), "start_sample_idx", "end_sample_idx")
+    return _laps(spark, sf_dir)[1].select("session_id", "lap_number", "is_partial", "lap_time_s", "distance_m", "start_sample_idx", "end_sample_idx")
 
 
 def plausible_laps(spark, sf_dir):
-    return laps.plausible_laps(*_laps(spark, sf_dir)).select("session_id", "lap_number", "lap_time_s", "start_sample_idx", "end_sample_idx")
+    return laps.plausible_laps(*_laps(spark, sf_dir)).select("session_id", "lap_number", "lap_time_s", "distance_m", "start_sample_idx", "end_sample_idx")
+
+
+def wide_laps(spark, sf_dir):
+    """Laps under parameters of single sessions, without a start table; session 3 is a route."""
+    t = _telemetry(spark, sf_dir).withColumn("session_id", F.when(F.col("session_id") == "3", "3 Jackson").otherwise(F.col("session_id")))
+    parameters = spark.createDataFrame([(str(i), 9.0, 10) for i in range(0, fixtures.SESSIONS, 2)], "session_id string, tolerance_m double, skip_samples int")
+    return laps.detect_laps(t, parameters=parameters).select("session_id", "lap_number", "is_partial", "start_sample_idx", "end_sample_idx")
 
 
 def raw_lap_ids(spark, sf_dir):
@@ -65,13 +87,13 @@ def raw_lap_ids(spark, sf_dir):
 
 
 def lap_annotation(spark, sf_dir):
-    return _annotated(spark, sf_dir)[0].select("session_id", "sample_idx", "lap_index", "lap_elapsed_s", F.round(F.col("lap_distance_m") + 1e-7, 3).alias("lap_distance_m"))
+    return _annotated(spark, sf_dir)[0].select("session_id", "sample_idx", "lap_index", "lap_elapsed_s", *_digits(lap_distance_m=3))
 
 
 def sectors(spark, sf_dir):
     s = laps.sector_times(*_laps(spark, sf_dir))
     each = s.select("session_id", "start_sample_idx", F.posexplode(F.arrays_zip("sector_times_s", "sector_splits_m")).alias("i", "s"))
-    return each.select("session_id", "start_sample_idx", (F.col("i") + 1).alias("sector"), F.round(F.col("s.sector_times_s") + 1e-6, 4).alias("sector_time_s"), F.round(F.col("s.sector_splits_m") + 1e-5, 2).alias("split_m"))
+    return each.select("session_id", "start_sample_idx", (F.col("i") + 1).alias("sector"), F.col("s.sector_times_s").alias("sector_time_s"), F.col("s.sector_splits_m").alias("split_m"))
 
 
 def lap_deltas(spark, sf_dir):
@@ -82,21 +104,29 @@ def delta_at_distance(spark, sf_dir):
     t, found = _annotated(spark, sf_dir)
     full = found.where("not is_partial").select("session_id", F.col("lap_number").alias("lap1"))
     asked = full.withColumn("lap2", F.col("lap1") + 1).withColumn("distance_m", F.explode(F.array(*(F.lit(float(x)) for x in (-5, 0, 100, 250, 9999)))))
-    return deltas.delta_at_distance(t, found, asked)
+    return deltas.delta_at_distance(t, found, asked).select("session_id", "lap1", "lap2", "distance_m", *_digits(delta_s=4))
+
+
+def comparable_laps(spark, sf_dir):
+    found = _laps(spark, sf_dir)[1]
+    chosen = found.where("not is_partial").groupBy("session_id").agg(F.min("lap_number").alias("lap_number"))
+    return deltas.comparable_laps(found, chosen).select("session_id", "lap_number", "lap_time_s")
 
 
 def curvature(spark, sf_dir):
     t, found = _laps(spark, sf_dir)
-    return corners.lap_curvature(t, found.where("not is_partial")).select("session_id", "lap_number", "start_sample_idx", "sample_idx", F.round("k", 2).alias("k"))
+    return corners.lap_curvature(t, found.where("not is_partial")).select("session_id", "lap_number", "start_sample_idx", "sample_idx", *_digits(k=2))
 
 
 def corner_table(spark, sf_dir):
     t, found = _laps(spark, sf_dir)
-    return corners.detect_corners(t, found.where("not is_partial")).select("session_id", "lap_number", "corner_id", "a", "b", "entry_speed_mph", "exit_speed_mph", "min_speed_mph", "duration_s", F.size("geometry").alias("points"))
+    end = lambda i, j, n: half_up(F.element_at("geometry", i)[j], 8).alias(n)
+    c = corners.detect_corners(t, found.where("not is_partial"))
+    return c.select("session_id", "lap_number", "corner_id", "a", "b", "entry_speed_mph", "exit_speed_mph", "min_speed_mph", "max_lat_g", "duration_s", F.size("geometry").alias("points"), end(1, 0, "first_lon"), end(1, 1, "first_lat"), end(-1, 0, "last_lon"), end(-1, 1, "last_lat"), half_up(F.col("apex.lat"), 8).alias("apex_lat"), half_up(F.col("apex.lon"), 8).alias("apex_lon"))
 
 
 def heatmap(spark, sf_dir):
-    return layers.heatmap_layers(_telemetry(spark, sf_dir)).select("session_id", "layer", "sample_idx", "intensity", "value")
+    return layers.heatmap_layers(_telemetry(spark, sf_dir)).select("session_id", "layer", "sample_idx", "intensity", "value", *_digits(lat=8, lon=8))
 
 
 def speed_legend(spark, sf_dir):
@@ -104,46 +134,136 @@ def speed_legend(spark, sf_dir):
 
 
 def lap_segments(spark, sf_dir):
-    return layers.lap_segments(*_laps(spark, sf_dir))
+    return layers.lap_segments(*_laps(spark, sf_dir)).select("session_id", "lap_number", "is_partial", "start_sample_idx", "sample_idx", *_digits(from_lat=8, from_lon=8, lat=8, lon=8), "color", "lap_color")
+
+
+def lap_features(spark, sf_dir):
+    """What the features hold, read back from their JSON."""
+    f, at = layers.lap_features(*_laps(spark, sf_dir)), lambda path: F.get_json_object("feature", "$." + path)
+    return f.select("session_id", "start_sample_idx", "is_partial", "lap_time_s", at("geometry.type").alias("kind"), at("properties.lap_number").cast("int").alias("lap_number"), at("properties.stroke").alias("stroke"), at("properties.stroke_width").cast("int").alias("stroke_width"), at("properties.segment_colors[0]").alias("first_color"), F.size("coordinates").alias("points"), half_up(at("geometry.coordinates[0][0]").cast("double"), 8).alias("first_lon"))
 
 
 def track_geojson(spark, sf_dir):
-    return layers.track_geojson(_telemetry(spark, sf_dir))
+    """What the documents hold, read back from their JSON."""
+    t = _telemetry(spark, sf_dir)
+    g = layers.track_geojson(t, laps.start_points(t, _starts(t)))
+    at = lambda path: F.get_json_object("geojson", "$.features" + path)
+    return g.select("session_id", at("[0].geometry.type").alias("line"), at("[0].properties.sampleCount").cast("long").alias("samples"), half_up(at("[0].geometry.coordinates[0][1]").cast("double"), 8).alias("first_lat"), at("[1].properties.marker").alias("marker"), at("[1].geometry.coordinates[0]").cast("double").alias("start_lon"), at("[1].geometry.coordinates[1]").cast("double").alias("start_lat"), "error")
 
 
 def log_series(spark, sf_dir):
     s = logs.time_series(logs.parse_records(fixtures.log_lines(spark, sf_dir), fixtures.HEADERS))
-    return s.select("session_id", "sample_idx", "timestep", F.col("timestamp_ms").cast("long").alias("timestamp_ms"), F.round("lat", 6).alias("lat"), F.round("speed_mps", 6).alias("speed_mps"), "imu_accel_x", "has_accel")
+    return s.select("session_id", "sample_idx", "timestep", F.col("timestamp_ms").cast("long").alias("timestamp_ms"), *_digits(lat=6, lon=6, speed_mps=6), "alt", "pos_accuracy_m", "imu_accel_x", "imu_accel_y", "imu_accel_z", "imu_gyro_x", "imu_gyro_z", "has_accel")
+
+
+def log_records(spark, sf_dir):
+    """Entry numbers of each record type within its time step."""
+    r = logs.parse_records(fixtures.log_lines(spark, sf_dir), fixtures.HEADERS)
+    return r.select("session_id", "timestep", "record_type", F.col("entry_no").cast("long").alias("entry_no"), "line_no")
+
+
+def log_files(spark, sf_dir):
+    """Lines are written as files of text, one for each session, read back in order and parsed; with headers and starts from files."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = fixtures.log_lines(spark, sf_dir)
+    lines.repartition("session_id").sortWithinPartitions("session_id", "line_no").select("session_id", F.col("line").alias("value")).write.partitionBy("session_id").text(f"{folder}/lines")
+    head = spark.createDataFrame([(",".join([k, *v]),) for k, v in fixtures.HEADERS.items()], "value string")
+    head.coalesce(1).write.text(f"{folder}/headers")
+    starts = lines.select("session_id").distinct().select(F.concat(F.lit(" "), "session_id").alias("File"), F.lit(" 40.0s").alias("Lat"), F.lit("-80").alias("Long"))
+    starts.write.csv(f"{folder}/starts", header=True)
+    read = logs.read_log_lines(spark, f"{folder}/lines", by_folder=True)
+    series = logs.time_series(logs.parse_records(read, logs.read_headers(spark, f"{folder}/headers")))
+    place = logs.read_track_starts(spark, f"{folder}/starts").select(F.col("file_name").alias("session_id"), F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"))
+    return series.join(place, "session_id").select("session_id", "sample_idx", "timestep", F.col("timestamp_ms").cast("long").alias("timestamp_ms"), *_digits(lat=6, speed_mps=6), "start_lat", "start_lon")
+
+
+def exported_laps(spark, sf_dir):
+    """Lap samples written as CSV and read back."""
+    folder = f"{shared_dir(spark)}/laps-{uuid.uuid4().hex}"
+    export.export_lap_csv(*_annotated(spark, sf_dir), folder)
+    rows = spark.read.csv(folder, header=True)
+    return rows.groupBy("session_id", F.col("lap").cast("int").alias("lap")).agg(F.count(F.lit(1)).alias("samples"), half_up(F.sum(F.col("speed_mph").cast("double")), 3).alias("speed_sum"), half_up(F.max(F.col("lap_elapsed_s").cast("double")), 3).alias("longest_s"))
+
+
+def session_documents(spark, sf_dir):
+    """Counts of what each session's JSON document holds, and the first and last lap in it."""
+    t = fixtures.tracks(spark, sf_dir)
+    starts = t.select(F.col("session_id").alias("file_name"), F.lit(START[0]).alias("lat"), F.lit(START[1]).alias("lon")).distinct()
+    doc = export.session_documents(session.build_sessions(t, starts))
+    at = lambda path: F.get_json_object("document", "$." + path)
+    size = lambda path: F.coalesce(F.json_array_length(at(path)), F.lit(0))
+    return doc.select("session_id", size("telemetry").alias("samples"), size("laps").alias("laps"), size("corners").alias("corners"), size("heatmap").alias("heat"), size("lap_features.features").alias("features"), at("telemetry[11].sample_idx").cast("long").alias("twelfth"), at("laps[0].start_sample_idx").cast("long").alias("first_start"))
 
 
 def nearest_samples(spark, sf_dir):
+    return nearest.nearest_samples(_points(spark, sf_dir), fixtures.tracks(spark, sf_dir)).select("session_id", "point_id", F.col("sample_idx").cast("long").alias("sample_idx"), *_digits(distance_m=4))
+
+
+def nearest_in_lap(spark, sf_dir):
+    t, found = _laps(spark, sf_dir)
+    first = found.where("not is_partial").groupBy("session_id").agg(F.min("lap_number").alias("lap_number"))
+    s = laps.lap_samples(t, found.where("not is_partial").join(first, ["session_id", "lap_number"]))
+    points = _points(spark, sf_dir).join(first, "session_id")
+    return nearest.nearest_samples(points, s, ("session_id", "lap_number")).select("session_id", "point_id", F.col("sample_idx").cast("long").alias("sample_idx"), *_digits(distance_m=4))
+
+
+def _points(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
-    points = spark.read.parquet(f"{sf_dir}/part.parquet").select((k % fixtures.SESSIONS).cast("string").alias("session_id"), k.alias("point_id"), (40 + (k % 9) * F.lit(5e-5) + F.lit(1e-5)).alias("lat"), (-80 + (k % 7) * F.lit(5e-5) + F.lit(1.3e-5)).alias("lon"))
-    return nearest.nearest_samples(points, fixtures.tracks(spark, sf_dir)).select("session_id", "point_id", F.round("distance_m", 4).alias("distance_m"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select((k % fixtures.SESSIONS).cast("string").alias("session_id"), k.alias("point_id"), (40 + (k % 9) * F.lit(5e-5) + F.lit(1e-5)).alias("lat"), (-80 + (k % 7) * F.lit(5e-5) + F.lit(1.3e-5)).alias("lon"))
 
 
-def _errors(spark, sf_dir, methods) -> DataFrame:
+def _errors(spark, sf_dir, methods) -> tuple[DataFrame, DataFrame]:
     points = written(roads.method_points(fixtures.tracks(spark, sf_dir), methods), "points")
     centres = written(roads.reference_points(points), "centres")
     near = written(roads.roads_of_sessions(points, fixtures.roads(spark, sf_dir), centres), "roads")
-    return written(roads.road_errors(roads.both_series(points), near, centres), "errors")
+    return points, written(roads.road_errors(roads.both_series(points), near, centres), "errors")
 
 
 def road_errors(spark, sf_dir):
-    return _errors(spark, sf_dir, ("ma",)).where("error_m is not null").select("session_id", "series", "sample_idx", F.round("error_m", 4).alias("error_m"))
+    return _errors(spark, sf_dir, ("ma",))[1].where("error_m is not null").select("session_id", "series", "sample_idx", *_digits(error_m=4))
+
+
+def validation_rows(spark, sf_dir):
+    rows = roads.errors_side_by_side(*_errors(spark, sf_dir, ("ma",)))
+    return rows.select("session_id", "sample_idx", *_digits(lat_raw=8, lon_raw=8, lat_smooth=8, lon_smooth=8, dist_error_raw_m=4, dist_error_smooth_m=4))
 
 
 def accuracy(spark, sf_dir):
-    a = roads.accuracy(_errors(spark, sf_dir, ("ma",)), ("session_id", "series"))
-    return a.select("session_id", "series", "n_points", *(F.round(m, 4).alias(m) for m in ("mean_m", "rms_m", "std_m", "median_m", "p90_m", "p99_m", "max_m", "min_m")))
+    a = roads.accuracy(_errors(spark, sf_dir, ("ma",))[1], ("session_id", "series"))
+    return a.select("session_id", "series", "n_points", *_digits(**{m: 4 for m in roads.METRICS[1:]}))
+
+
+def accuracy_summary(spark, sf_dir):
+    """The long table, written as CSV and read back."""
+    folder = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    errors = _errors(spark, sf_dir, ("ma",))[1].withColumn("method", F.lit("ma"))
+    export.export_summary_csv(roads.summary_table(roads.accuracy(errors)), folder)
+    return export.read_summaries(spark, folder).select(F.col("session_id").cast("string").alias("session_id"), "metric", *_digits(value=4))
+
+
+def box_plot(spark, sf_dir):
+    b = roads.box_plot(_errors(spark, sf_dir, ("ma",))[1])
+    return b.select("session_id", "series", *_digits(q1=4, median=4, q3=4, whisker_low=4, whisker_high=4))
+
+
+def track_distance(spark, sf_dir):
+    points = roads.method_points(fixtures.tracks(spark, sf_dir), ("ma",), 5)
+    return roads.track_distance(points, roads.reference_points(points)).select("session_id", "sample_idx", *_digits(x=4, y=4, track_m=4))
 
 
 def method_comparison(spark, sf_dir):
-    return roads.best_methods(roads.accuracy(_errors(spark, sf_dir, ("gaussian", "savgol", "ma"))))
+    best = roads.best_methods(roads.accuracy(_errors(spark, sf_dir, ("gaussian", "savgol", "ma"))[1]))
+    return best.select("session_id", "metric", "method", *_digits(value=4))
+
+
+def comparison_table(spark, sf_dir):
+    table = roads.comparison_table(roads.accuracy(_errors(spark, sf_dir, ("gaussian", "savgol", "ma"))[1]))
+    return table.select("session_id", "Method", "n_points", *_digits(mean_m=4, rms_m=4, p95_m=4))
 
 
 def error_histogram(spark, sf_dir):
-    return roads.error_histogram(_errors(spark, sf_dir, ("ma",)))
+    return roads.error_histogram(_errors(spark, sf_dir, ("ma",))[1]).select("session_id", "series", "bin", "n", *_digits(density=6))
 
 
-QUERIES = {"laps": lap_table, "corners": corner_table} | {f.__name__: f for f in (metrics, smoothing, telemetry, plausible_laps, raw_lap_ids, lap_annotation, sectors, lap_deltas, delta_at_distance, curvature, heatmap, speed_legend, lap_segments, track_geojson, log_series, nearest_samples, road_errors, accuracy, method_comparison, error_histogram)}
+_ALL = (metrics, imu_metrics, smoothing, telemetry, plausible_laps, wide_laps, raw_lap_ids, lap_annotation, sectors, lap_deltas, delta_at_distance, comparable_laps, curvature, heatmap, speed_legend, lap_segments, lap_features, track_geojson, log_series, log_records, log_files, exported_laps, session_documents, nearest_samples, nearest_in_lap, road_errors, validation_rows, accuracy, accuracy_summary, box_plot, track_distance, method_comparison, comparison_table, error_histogram)
+QUERIES = {"laps": lap_table, "corners": corner_table} | {f.__name__: f for f in _ALL}

@@ -26,14 +26,36 @@ def export_lap_csv(annotated: DataFrame, laps: DataFrame, path: str, lap_number:
     rows.repartition("session_id", "lap_number").sortWithinPartitions("session_id", "lap_number", "sample_idx").select("session_id", F.col("lap_number").alias("lap"), *LAP_COLUMNS).write.partitionBy("session_id", "lap").csv(path, header=True)
 
 
-def export_sessions_json(results: dict[str, DataFrame], path: str) -> None:
-    """One JSON document for each session with an array for each result."""
+def session_documents(results: dict[str, DataFrame]) -> DataFrame:
+    """session_id, document: one JSON object for each session with a field for each result.
+
+    A result's rows are an array in order of lap, corner and sample; a column
+    `geojson` is a result of its own and becomes an object.
+    """
+    order = ["is_partial", "layer", "lap_number", "start_sample_idx", "corner_id", "sample_idx"]
     out = None
     for name, df in results.items():
-        cols = [c for c in df.columns if c != "session_id"]
-        part = df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.to_json(F.struct(*cols)))).alias(name))
+        if "geojson" in df.columns:
+            part = df.groupBy("session_id").agg(F.first("geojson", ignorenulls=True).alias(name))
+        else:
+            by = F.struct(*(F.coalesce(F.col(c).cast("string" if c == "layer" else "long"), F.lit("" if c == "layer" else -1)).alias(c) for c in order if c in df.columns))
+            row = F.struct(by.alias("by"), F.to_json(F.struct(*(c for c in df.columns if c != "session_id"))).alias("row"))
+            part = df.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["row"]).alias(name))
+            part = part.select("session_id", F.concat(F.lit("["), F.array_join(name, ","), F.lit("]")).alias(name))
         out = part if out is None else out.join(part, "session_id", "full_outer")
-    out.write.json(path)
+    fields = [F.concat(F.lit(f'"{n}":'), F.coalesce(n, F.lit("null" if "geojson" in df.columns else "[]"))) for n, df in results.items()]
+    session = F.regexp_replace(F.to_json(F.struct("session_id")), r"\}$", "")
+    return out.select("session_id", F.concat(F.concat_ws(",", session, *fields), F.lit("}")).alias("document"))
+
+
+def export_sessions_json(results: dict[str, DataFrame], path: str) -> None:
+    """The documents of `session_documents` as text, one line each, by session."""
+    session_documents(results).withColumnRenamed("document", "value").write.partitionBy("session_id").text(path)
+
+
+def export_comparison_csv(comparison: DataFrame, path: str) -> None:
+    """Method and its metrics in order of name, by session."""
+    comparison.write.partitionBy("session_id").csv(path, header=True)
 
 
 def export_validation_csv(per_sample: DataFrame, path: str) -> None:

@@ -10,13 +10,17 @@ from ..functions.numbers import safe_float
 
 def read_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Record type -> field names in file order; later duplicates win, blank lines are skipped. The file is a few lines."""
-    lines = [r.value.strip() for r in spark.read.text(path).select("value").limit(10_000).collect()]
+    lines = [r.value.strip() for r in spark.read.text(path).select("value").collect()]
     return {p[0]: p[1:] for p in (line.split(",") for line in lines if line)}
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (file name), line_no, line: in file order also when files are split."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("session_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+def read_log_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """session_id (file name), line_no, line: in file order also when files are split.
+
+    by_folder: sessions are folders `session_id=...` of one file each instead.
+    """
+    name = F.regexp_extract("_metadata.file_path", "session_id=([^/]*)/", 1) if by_folder else F.col("_metadata.file_name")
+    raw = spark.read.text(path).select(name.alias("session_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
     order = Window.partitionBy("session_id").orderBy("block", "mid")
     return raw.select("session_id", (F.row_number().over(order) - 1).alias("line_no"), "line")
 
