@@ -64,9 +64,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, k: int = 8) -> D
     found = paths(texts, spec, within=False, links=True)
     near = {x: F.struct(F.col(f"{x}1").alias("x1"), F.col(f"{x}2").alias("x2")) for x in "ba"}
     ends = [f(near[x]).alias(f"{x}_{n}") for x in "ba" for n, f in (("least", F.min), ("most", F.max))]
-    unique = written(unique_paths(found, *ends), "unique")
-    branches = written(unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"), "branches")
-    unique = unique.join(branches, "anchor", "left")
+    distinct = written(unique_paths(found, *ends), "unique")
+    branches = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"), "branches")
+    unique = distinct.join(branches, "anchor", "left")
 
     # stretches, and the paths that they join to
     stretches = written(unique.where("contents is null").select(*KEY, "first_doc", "run", *(f"{x}_{n}" for x in "ba" for n in ("least", "most"))), "stretches")
@@ -85,7 +85,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, k: int = 8) -> D
     parts = edges.drop("first_doc").join(first, "edge").groupBy(KEY).agg(F.collect_list(each).alias("firsts"))
 
     firsts = written(whole.unionByName(parts), "firsts")
-    discard(edges, first, stretches, branches, heads)
+    discard(edges, first, stretches, branches, heads, distinct)
     cuts = F.expr(f"transform(filter(firsts, x -> x.first_doc < doc_id), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
     ranges = found.select(*KEY, "doc_id", "pos").join(firsts, KEY).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
     return without(texts, ranges, spec).withColumnRenamed("size", "n_words")
