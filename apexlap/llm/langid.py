@@ -136,17 +136,22 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 24, ridge: float =
         known, count = np.unique((pairs >> np.uint64(32)).astype(np.uint32), return_counts=True)
         codes.append(known[count >= min(2, len(marks))])
     dictionary = Dictionary(codes)
-    x = np.vstack([dictionary.presence(*_bytes([t])) for t in texts])
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    values, vectors = np.linalg.eigh((x[marks] @ x[marks].T).astype(np.float64))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.vstack([dictionary.presence(*_bytes([texts[i]])) for i in rows])
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    marked = unit(marks)
+    values, vectors = np.linalg.eigh((marked @ marked.T).astype(np.float64))
     good = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ x[marks].T) @ root
+    step = max(1, CELLS // max(1, int(dictionary.base[-1])))
+    phi = np.vstack([(unit(part) @ marked.T) @ root for part in np.split(np.arange(len(texts)), range(step, len(texts), step))])
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     balance = 1 / np.bincount(y)[y]
     gram = phi.T @ (phi * balance[:, None]) + ridge / max(1, len(marks)) * np.eye(phi.shape[1])
     beta = np.linalg.solve(gram, phi.T @ (target * balance[:, None]))
-    return Model(languages, codes, (x[marks].T @ (root @ beta)).astype(np.float32))
+    return Model(languages, codes, (marked.T @ (root @ beta)).astype(np.float32))
 
 
 def _predict(model: Model | None):
@@ -170,13 +175,13 @@ def _predict(model: Model | None):
     return rows
 
 
-def identify_languages(docs: DataFrame, train: Column, sample: int = 160, landmarks: int = 24, languages: int = 200) -> DataFrame:
+def identify_languages(docs: DataFrame, train: Column, sample: int = 160, landmarks: int = 24, texts: int = 32_000, marks: int = 1_200) -> DataFrame:
     """doc_id, lang_pred, score of each document.
 
     train: the rows to learn from (those with a language count); sample:
     training texts of each language at most; landmarks: of these, for the
-    Nystroem space; languages: how many are learnt at most, the most frequent,
-    which bounds what the driver fits to sample * languages texts.
+    Nystroem space; texts, marks: how many of both over all languages. Every
+    language is learnt: where they are many, each lends fewer, but two at least.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), train.alias("train"))
@@ -184,10 +189,11 @@ def identify_languages(docs: DataFrame, train: Column, sample: int = 160, landma
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
     keys = learn.select("doc_id", "lang", F.xxhash64("text").alias("hash")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
     keys = written(keys, "sample")
-    count = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages) if keys.select("lang").distinct().count() > languages else keys.select("lang").distinct()
-    chosen = keys.join(F.broadcast(count.select("lang")), "lang", "left_semi").select("doc_id", "hash", "rank")
-    texts = learn.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"]).select("rank", "doc_id", "lang", "text").distinct()
-    found = sorted(tuple(r) for r in texts.collect())
+    several = max(1, keys.select("lang").distinct().count())
+    sample, landmarks = max(2, min(sample, texts // several)), max(2, min(landmarks, marks // several))
+    chosen = keys.where(F.col("rank") <= sample).select("doc_id", "hash", "rank")
+    learnt = learn.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"]).select("rank", "doc_id", "lang", "text").distinct()
+    found = sorted(tuple(r) for r in learnt.collect())
     discard(keys)
     model = fit([r[3] for r in found], [r[2] for r in found], landmarks) if found else None
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
