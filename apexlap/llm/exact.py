@@ -8,7 +8,8 @@ merges what arrives in order of digest (Spark's sort merges the runs that it
 spills) and one sweep over the merged run keeps, of each group of equal digests
 whose size and second hash agree too, the smallest doc_id and the number of
 rows. After all rounds equal digests have met. However often a text occurs, a
-merge receives one row of it from each run.
+merge receives one row of it from each run, and its rows learn of the result
+through a broadcast of the few groups with over a thousandth of all rows.
 
 Equality is that of SHA-256, size and a second, independent hash of the text
 after replacing each run of white space by one space. Null counts as empty.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import frequent, joined, written
 
 KEY = ["digest", "size", "check"]
 RUN = "address long, digest binary, size int, check long, keep_id long, group_size long"
@@ -79,4 +80,6 @@ def exact_duplicates(docs: DataFrame, fan_in: int = 16) -> DataFrame:
         address = f"address - (address % {high} - address % {low}) + {low} * pmod(shiftright(check, {8 * (r % 7)}), {fan_in})"
         runs = _merged(runs.withColumn("address", F.expr(address)).repartition("address"))
     kept = (F.col("doc_id") == F.col("keep_id")).alias("kept")
-    return digests.select("doc_id", "text_hash", *KEY).join(runs.drop("address"), KEY).select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "text_hash")
+    groups = written(runs.drop("address"), "groups")
+    decided = joined(digests.select("doc_id", "text_hash", *KEY), groups, KEY, frequent(groups, KEY, "group_size"))
+    return decided.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "text_hash")

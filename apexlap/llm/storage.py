@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.staging import discard, shared_dir, written
 
-__all__ = ["carried", "discard", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
+__all__ = ["carried", "discard", "frequent", "joined", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -18,6 +18,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4m")
 
 
+#: A key with more than this share of all rows is frequent, so that there are fewer frequent keys than its inverse.
+SHARE = 1 / 1000
+
+
+def frequent(counts: DataFrame, key: list[str], n: str) -> DataFrame:
+    """The keys with more than a thousandth of all rows. counts: one row for each key, with its rows in column n."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > SHARE * total).select(*key)
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: list[str], often: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the one row of facts that their key has.
+
+    Rows of a frequent key stay where they are and the facts of these keys, a
+    thousand rows at most, are broadcast; only the other rows are shuffled.
+    """
+    hot = rows.join(F.broadcast(facts.join(F.broadcast(often), key, "left_semi")), key)
+    rest = rows.join(F.broadcast(often), key, "left_anti").join(facts, key, how)
+    return hot.unionByName(rest)
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """The whole row in one struct `row`, so that no column of the input can clash with a result's."""
     small_batches(docs.sparkSession)
