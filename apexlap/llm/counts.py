@@ -6,7 +6,8 @@ of ASCII white space as one space) where the tokenizer itself reads those alike,
 else that of the text. Digests go first: they are joined to the cache, and of
 those that miss, one row each lends its text. Only these texts move and are
 encoded, and their counts are appended. With a warm cache no text moves. A text
-that makes up a third of the rows costs one row a task.
+that makes up a third of the rows costs one row a task, and its rows get their
+count through a broadcast of the few digests with over a thousandth of all rows.
 
 Null counts as empty and has no tokens. Rows without doc_id are counted too;
 repeated rows give repeated results. An empty table gives an empty result. Extra
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import tokens
 from .exact import normalised
-from .storage import discard, shared_dir, small_batches, written
+from .storage import discard, frequent, joined, shared_dir, small_batches, written
 
 CACHE = "version string, digest binary, n_tokens long"
 #: Rows of misses up to which they are broadcast, at about 100 bytes each.
@@ -80,7 +81,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     read_as = normalised() if tokens.folds_space(path) else F.coalesce("text", F.lit(""))
     rows = written(texts.select("doc_id", "text_hash", F.unhex(F.sha2(read_as, 256)).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "digests")
-    lenders = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).join(stored().select("digest"), "digest", "left_anti")
+    groups = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.count(F.lit(1)).alias("n")), "groups")
+    lenders = groups.join(stored().select("digest"), "digest", "left_anti")
     misses = written(lenders.select("digest", F.coalesce("of.doc_id", F.lit(-1)).alias("id"), F.col("of.text_hash").alias("hash")), "misses")
     few = misses.count() <= FEW
     chosen = F.broadcast(misses) if few else misses.hint("shuffle_hash")
@@ -89,4 +91,5 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     discard(misses)
     known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = joined(rows, known, ["digest"], frequent(groups, ["digest"], "n"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
