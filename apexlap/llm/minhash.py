@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import discard, small_batches, written
+from .storage import discard, frequent, joined, small_batches, written
 
 HASHES, ROWS, SMALL, BATCH = 128, 4, 8, 16
 #: Members of a bucket in one part; bytes of a long signature, compared so many at a time; those that a block compares for all its pairs; ways to deal a bucket's rows in a join.
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     # rows get numbers when they are written, so that a node is one row whatever its doc_id
     sketch = written(sketch.withColumn("node", F.monotonically_increasing_id()), "sketch")
     first = F.min(F.struct("doc_id", "node", "text_hash", "sig")).alias("first")
-    one = sketch.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(first)
-    reps = written(one.select("n_shingles", "digest", "first.*"), "representatives")
+    one = sketch.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(first, F.count(F.lit(1)).alias("copies"))
+    reps = written(one.select("n_shingles", "digest", "copies", "first.*"), "representatives")
     of_bands = F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS}), i))")
     bands = reps.select("node", F.col("n_shingles").alias("n"), F.posexplode(of_bands).alias("band", "bucket"))
     crowd = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -299,6 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, miss: fl
     alone = reps.select("n_shingles", "digest", F.col("doc_id").alias("own"))
     of_sets = written(alone.join(grouped, ["n_shingles", "digest"], "left").select("n_shingles", "digest", F.coalesce("component_id", "own").alias("component_id")), "components")
     discard(large, sets, apart, dealt, long_sig)
-    out = sketch.select("doc_id", "text_hash", "n_shingles", "digest").join(of_sets, ["n_shingles", "digest"], "left")
+    same = ["n_shingles", "digest"]
+    out = joined(sketch.select("doc_id", "text_hash", *same), of_sets, same, frequent(reps, same, "copies"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_hash")
