@@ -2,7 +2,10 @@
 
 import hashlib
 
-from apexlap.llm import debruijn, exact, minhash, suffix, wumanber
+from pyspark.sql import functions as F
+
+from apexlap.llm import counts, debruijn, exact, minhash, packing, suffix, tokens, wumanber
+from apexlap.llm.storage import frequent, joined
 
 
 def _docs(spark):
@@ -35,3 +38,28 @@ def test_contamination_in_several_groups(spark):
     for size in (1 << 23, 100):
         got = wumanber.find_contamination(docs, items, group_bytes=size).collect()
         assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in got) == [(0, 0, 0), (0, 80, 8), (1, 0, 0), (1, 0, 0), (1, 80, 8), (2, 80, 8), (3, 0, 0)]
+
+
+def test_counts_and_packing(spark):
+    docs, a, b, c = _docs(spark)
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    n = {x: len(tokens.load(path).encode(x, add_special_tokens=False).ids) for x in (a, b, c)}
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in counts.count_tokens(docs, path).collect())
+    assert got == sorted((i, len(x), n[x]) for i, x in [(1, a), (1, b), (1, b), (2, a), (3, c), (0, a), (0, b)])
+    assert counts.count_tokens(docs.limit(0), path).count() == 0
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    n = {x: len(tokens.load(path).encode(x, add_special_tokens=False).ids) + 1 for x in (a, b, c)}
+    pieces = packing.pack_documents(docs, path, keep_ids=False).collect()
+    assert sum(r.length for r in pieces) == sum(n[x] for x in (a, b, b, a, c, a, b))
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+
+
+def test_frequent_keys_join_as_others(spark):
+    rows = spark.range(5000).select(F.expr("case when id % 3 = 0 then 0 when id % 7 = 0 then null else id end").alias("k"), "id")
+    groups = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    often = frequent(groups, ["k"], "n")
+    assert [r.k for r in often.collect()] == [0]
+    facts = groups.where("k < 4000")
+    for how in ("inner", "left"):
+        got = sorted(joined(rows, facts, ["k"], often, how).select("id", "n").collect())
+        assert got == sorted(rows.join(facts, ["k"], how).select("id", "n").collect())
