@@ -68,24 +68,27 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, k: int = 8) -> D
     branches = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1"), "branches")
     unique = distinct.join(branches, "anchor", "left")
 
-    # stretches, and the paths that they join to
+    # stretches on the one hand, on the other single edges where paths branch
     stretches = written(unique.where("contents is null").select(*KEY, "first_doc", "run", *(f"{x}_{n}" for x in "ba" for n in ("least", "most"))), "stretches")
+    split = unique.where("contents is not null").select(*KEY, "first_doc", "run", F.split(F.col("content").cast("string"), " ").alias("word"))
+    edge = F.transform(F.sequence(F.lit(0), F.col("run") - 1), lambda i: F.unhex(F.md5(F.array_join(F.slice("word", i + 1, window), " ").cast("binary"))))
+    edges = written(split.select(*KEY, "first_doc", F.posexplode(edge).alias("delta", "edge")), "edges")
+    discard(branches, distinct)
+
+    # the paths that stretches join to
     heads = compacted(stretches)
     members = stretches.join(heads, ["c1", "c2"])
     total = members.groupBy("h1", "h2").agg(F.sum("run").alias("d1"))
     places = stretches.select(*KEY, "first_doc").join(total, (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")))
     whole = places.select(*KEY, F.array(F.struct(F.lit(0).cast("long").alias("d0"), "d1", "first_doc")).alias("firsts"))
 
-    # single edges where paths branch
-    split = unique.where("contents is not null").select(*KEY, "first_doc", "run", F.split(F.col("content").cast("string"), " ").alias("word"))
-    edge = F.transform(F.sequence(F.lit(0), F.col("run") - 1), lambda i: F.unhex(F.md5(F.array_join(F.slice("word", i + 1, window), " ").cast("binary"))))
-    edges = written(split.select(*KEY, "first_doc", F.posexplode(edge).alias("delta", "edge")), "edges")
+    # the first document of each edge
     first = written(edges.groupBy("edge").agg(F.min("first_doc").alias("first_doc")), "first")
     each = F.struct(F.col("delta").cast("long").alias("d0"), (F.col("delta") + 1).cast("long").alias("d1"), "first_doc")
     parts = edges.drop("first_doc").join(first, "edge").groupBy(KEY).agg(F.collect_list(each).alias("firsts"))
 
     firsts = written(whole.unionByName(parts), "firsts")
-    discard(edges, first, stretches, branches, heads, distinct)
+    discard(edges, first, stretches, heads)
     cuts = F.expr(f"transform(filter(firsts, x -> x.first_doc < doc_id), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
     ranges = found.select(*KEY, "doc_id", "pos").join(firsts, KEY).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
-    return without(texts, ranges, spec).withColumnRenamed("size", "n_words")
+    return without(texts, ranges, spec, found, firsts).withColumnRenamed("size", "n_words")

@@ -184,8 +184,12 @@ def _cut(spec: Windows):
     return rows
 
 
-def without(texts: DataFrame, ranges: DataFrame, spec: Windows) -> DataFrame:
-    """Each numbered text after removing `ranges` (doc_id, slot, cuts array<struct<b,e>> of token positions)."""
+def without(texts: DataFrame, ranges: DataFrame, spec: Windows, *spent: DataFrame) -> DataFrame:
+    """Each numbered text after removing `ranges` (doc_id, slot, cuts array<struct<b,e>> of token positions).
+
+    spent: tables that only `ranges` reads; they go before whole texts move.
+    """
     cuts = written(ranges.groupBy("doc_id", "slot").agg(F.flatten(F.collect_set("cuts")).alias("cuts")), "cuts")
+    discard(*spent)
     rows = texts.join(cuts.hint("shuffle_hash"), ["doc_id", "slot"], "left").select("doc_id", "slot", "text", "cuts")
     return rows.mapInArrow(_cut(spec), "doc_id long, size long, n_removed long, n_spans long, kept_sha256 string")

@@ -287,4 +287,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard
     later = "x.first_doc < doc_id or (x.first_doc = doc_id and x.first_pos < pos + x.d0)"
     cuts = F.expr(f"transform(filter(firsts, x -> {later}), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
     ranges = found.select(*key, "doc_id", "pos").join(firsts, key).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
-    return without(texts, ranges, spec).withColumnRenamed("size", "n_bytes")
+    return without(texts, ranges, spec, found, firsts).withColumnRenamed("size", "n_bytes")
