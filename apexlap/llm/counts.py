@@ -5,7 +5,7 @@ of the tokenizer's file and library, digest that of the normalised text (runs
 of ASCII white space as one space) where the tokenizer itself reads those alike,
 else that of the text. Digests go first: they are joined to the cache, and of
 those that miss, one row each lends its text. Only these texts move and are
-encoded, and their counts are appended. With a warm cache no text moves. A text
+encoded, and their counts are appended. Where nothing misses, no text moves. A text
 that makes up a third of the rows costs one row a task, and its rows get their
 count through a broadcast of the few digests with over a thousandth of all rows.
 
@@ -30,8 +30,6 @@ from .exact import normalised
 from .storage import discard, frequent, joined, shared_dir, small_batches, written
 
 CACHE = "version string, digest binary, n_tokens long"
-#: Rows of misses up to which they are broadcast, at about 100 bytes each.
-FEW = 50_000
 
 
 def version_of(path: str) -> str:
@@ -84,11 +82,10 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     groups = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.count(F.lit(1)).alias("n")), "groups")
     lenders = groups.join(stored().select("digest"), "digest", "left_anti")
     misses = written(lenders.select("digest", F.coalesce("of.doc_id", F.lit(-1)).alias("id"), F.col("of.text_hash").alias("hash")), "misses")
-    few = misses.count() <= FEW
-    chosen = F.broadcast(misses) if few else misses.hint("shuffle_hash")
-    keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash"))
-    counted = keyed.join(chosen, ["id", "hash"]).select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    if not misses.isEmpty():
+        keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash"))
+        counted = keyed.join(misses.hint("shuffle_hash"), ["id", "hash"]).select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
+        counted.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     discard(misses)
     known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted = joined(rows, known, ["digest"], frequent(groups, ["digest"], "n"))
