@@ -98,8 +98,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents
+    from .tokens import tokenizer_path
+
+    out = encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group_variants
+
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import importance_resample
+
+    out = importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    found = (op1_language_id, op2_packing, op3_revisits, op4_toxicity, op5_near_dedup, op6_substrings, op7_exact_dedup, op8_suffix_array, op9_decontamination, op10_token_counts)
+    found = (op1_language_id, op2_packing, op3_revisits, op4_toxicity, op5_near_dedup, op6_substrings, op7_exact_dedup, op8_suffix_array, op9_decontamination, op10_token_counts, op11_sentencepiece, op12_spelling_variants, op13_resampling)
     return {f.__name__: f for f in found}
 
 
@@ -190,5 +211,59 @@ from w left join c on c.doc_id = w.doc_id left join n on n.doc_id = w.doc_id
 """
 
 
+def _crc_sql(value: str) -> str:
+    """The CRC-32 of a text column's UTF-8 bytes, byte by byte over the column t of `crc_table`."""
+    x = f"hex(encode({value}))"
+    byte = f"list_transform(range(1, len({x}) // 2 + 1), lambda i: ('0x' || substr({x}, 2 * i - 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
+
+
+CRC_TABLE = """crc_table as (select list(r order by k) as t from (
+  select k, list_reduce(list_prepend(k, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end) as r from (select unnest(range(256)) as k)))"""
+
+OP12_SQL = rf"""
+with recursive {CRC_TABLE},
+r as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+u as (select doc_id, run, count(*) as c from r where length(run) >= 6 group by 1, 2),
+h as (select *, {_crc_sql("doc_id || ':' || run")} as h from u, crc_table),
+d as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h),
+w as (select word, sum(c)::bigint as n from d where length(word) >= 6 group by 1 having sum(c) >= 5),
+i as (select word, n, unnest(range(0, length(word) + 1)) as i from w),
+k as (select word, n, i, substr(word, 1, i) as p, substr(word, i + 2) as s, substr(word, i + 1) as whole from i),
+near as (
+  select a.word as a, a.n as an, b.word as b, b.n as bn from k a join k b on a.p = b.p and a.s = b.s and a.i < length(a.word) and b.i < length(b.word) and a.word <> b.word
+  union
+  select a.word, a.n, b.word, b.n from k a join k b on a.i < length(a.word) and a.p = b.p and a.s = b.whole
+  union
+  select b.word, b.n, a.word, a.n from k a join k b on a.i < length(a.word) and a.p = b.p and a.s = b.whole),
+t as (select a as word, count(*) as n_near, arg_max(b, (bn, -row)) as form, max(bn) as form_n, any_value(an) as n from (select *, row_number() over (order by b collate "binary") as row from near) group by 1),
+f as (select word, form, form_n from t where form_n >= 5 * n),
+chain(word, reached) as (select word, word from w union all select c.word, f.form from chain c join f on f.word = c.reached),
+ends as (select c.word, c.reached as root from chain c where c.reached not in (select word from f))
+select w.word, f.form, e.root, w.n, coalesce(t.n_near, 0)::bigint as n_near, f.form_n from w left join t on t.word = w.word left join f on f.word = w.word join ends e on e.word = w.word
+"""
+
+OP13_SQL = rf"""
+with {CRC_TABLE},
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+e as (select doc_id, unnest(ws) as word from w),
+ek as (select doc_id, word, count(*) as c from e group by 1, 2),
+words as (select distinct word from (select word from ek union all select word from b)),
+k as (select word, {_crc_sql("word")} % 10000 as bucket from words, crc_table),
+s as (select bucket, sum(c) as n from ek join k on k.word = ek.word group by 1),
+t as (select bucket, count(*) as n from b join k on k.word = b.word group by 1),
+totals as (select (select coalesce(sum(n), 0) from s)::double as sn, (select coalesce(sum(n), 0) from t)::double as tn),
+g as (select q.bucket, floor(1000.0::double * ln((coalesce(t.n, 0) + 1.0::double) * (sn + 10000.0::double) / ((coalesce(s.n, 0) + 1.0::double) * (tn + 10000.0::double))))::bigint as gain
+  from (select unnest(range(10000)) as bucket) q left join s on s.bucket = q.bucket left join t on t.bucket = q.bucket, totals),
+f as (select doc_id, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight from ek join k on k.word = ek.word join g on g.bucket = k.bucket group by 1),
+h as (select w.doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::bigint as h from w left join f on f.doc_id = w.doc_id),
+z as (select *, weight + floor(-1000.0::double * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from h),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as r from z where n_words >= 20),
+n as (select count(*) * 10 // 100 as drawn from o)
+select z.doc_id, n_features, weight, score, case when r <= drawn then r end as rank from z left join o on o.doc_id = z.doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_revisits": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_substrings": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_suffix_array": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op3_revisits": OP3_SQL, "op5_near_dedup": OP5_SQL, "op6_substrings": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_suffix_array": OP8_SQL, "op9_decontamination": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_resampling": OP13_SQL}
