@@ -29,9 +29,11 @@ def lap_curvature(telemetry: DataFrame, laps: DataFrame, spread: int = 2) -> Dat
     return s.withColumn("k", F.when(inside, F.coalesce(k, F.lit(0.0))).otherwise(0.0))
 
 
-def corner_ranges(curvature: DataFrame, threshold: float = 6e3, least: float = 3e3) -> DataFrame:
+def corner_ranges(curvature: DataFrame, threshold: float = 6e3, least: float = 3e3, first: int = 0) -> DataFrame:
     """session_id, lap_number, start_sample_idx, corner_id, a, b: first and last sample of each corner.
 
+    A corner begins a sample before its run, but not before position `first` of
+    the lap, where curvature is first known.
     Runs of one sign above `least` are corners if a sample reaches `threshold`.
     A run that touches the one before starts a sample late in a scan, so one that
     reaches it with its first sample alone is a corner only if the run before
@@ -54,12 +56,12 @@ def corner_ranges(curvature: DataFrame, threshold: float = 6e3, least: float = 3
     r = r.withColumn("corner", F.when(F.col("kind") == "yes", True).when(F.col("kind") == "no", False).otherwise(F.when(flip, ~base).otherwise(base)))
     n = F.col("end_sample_idx") - F.col("start_sample_idx")
     r = r.where("corner").withColumn("corner_id", F.row_number().over(w))
-    return r.select(*key, "corner_id", (F.col("start_sample_idx") + F.greatest(F.col("a") - 1, F.lit(0))).alias("a"), (F.col("start_sample_idx") + F.least(F.col("b") + 1, n)).alias("b"))
+    return r.select(*key, "corner_id", (F.col("start_sample_idx") + F.greatest(F.col("a") - 1, F.lit(first))).alias("a"), (F.col("start_sample_idx") + F.least(F.col("b") + 1, n)).alias("b"))
 
 
 def detect_corners(telemetry: DataFrame, laps: DataFrame, threshold_curvature: float = 6e3, min_curvature: float = 3e3, spread: int = 2) -> DataFrame:
     """Corner records: speeds, lateral g, duration, geometry and the slowest point of each corner."""
-    ranges = corner_ranges(lap_curvature(telemetry, laps, spread), threshold_curvature, min_curvature)
+    ranges = corner_ranges(lap_curvature(telemetry, laps, spread), threshold_curvature, min_curvature, spread)
     t = telemetry.select("session_id", F.col("sample_idx").cast("long").alias("sample_idx"), "lat", "lon", "speed_mph", "lat_accel_mps2", "elapsed_s")
     rows = ranges.withColumn("sample_idx", F.explode(F.sequence("a", "b"))).join(t, ["session_id", "sample_idx"])
     point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("sample_idx", F.array("lon", "lat").alias("p")))

@@ -1,7 +1,7 @@
 """Time against the reference lap at equal distance.
 
 Samples without a lap are left out; sessions with fewer than two timed full laps
-give nothing. Points of equal distance keep the order of samples, of equal lap
+give nothing, and laps without a time are not compared. Points of equal distance keep the order of samples, of equal lap
 times the first lap is the reference, repeated questions are answered once.
 Empty tables give empty results; extra columns are ignored.
 """
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..sources.staging import written
+from .asof import as_of, with_previous
 from .laps import lap_samples
 
 
@@ -31,29 +33,28 @@ def _samples(annotated: DataFrame, laps: DataFrame) -> DataFrame:
 def lap_delta_traces(annotated: DataFrame, laps: DataFrame, drop_shared_end: bool = False) -> DataFrame:
     """session_id, lap_number, reference_lap, sample_idx, distance_m, time_delta_s.
 
-    An as-of join by union: the reference curve is laid beside every other lap
-    and each sample takes the last curve point at or before its distance, so the
-    work is linear in samples. Both ends are clamped.
+    Each sample of another lap takes the last point of the reference curve at or
+    before its distance by an as-of join in bins of distance, so the work is
+    linear in samples. Both ends are clamped.
     """
-    s = _samples(annotated, laps)
+    timed = laps.where("not is_partial and lap_time_s > 0")
+    s = _samples(annotated, timed)
     s = s.where("not shared_end") if drop_shared_end else s
-    ref = s.join(reference_laps(laps), "session_id")
-    curve = ref.where("lap_number = reference_lap")
-    order = Window.partitionBy("session_id").orderBy("d", "sample_idx")
-    curve = curve.withColumn("d_before", F.lag("d").over(order)).where("d_before is null or d - d_before > 1e-6")
-    curve = curve.withColumns({"d2": F.lead("d").over(order), "t2": F.lead("t").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("session_id"))}).where("n > 1")
-    others = ref.where("lap_number != reference_lap")
-    names = others.select("session_id", "lap_number").distinct()
-    empty = F.lit(None).cast("struct<d:double,t:double,d2:double,t2:double>")
-    points = curve.select("session_id", "d", F.struct("d", "t", "d2", "t2").alias("seg")).join(names, "session_id").select("session_id", "lap_number", "d", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("sample_idx"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("int").alias("reference_lap"), "seg")
-    rows = others.select("session_id", "lap_number", "d", F.lit(1).alias("kind"), F.col("sample_idx").cast("long").alias("sample_idx"), "t", F.col("reference_lap").cast("int").alias("reference_lap"), empty.alias("seg"))
-    lap = Window.partitionBy("session_id", "lap_number").orderBy("d", "kind", "sample_idx")
-    whole = Window.partitionBy("session_id", "lap_number")
-    found = points.unionByName(rows).withColumn("at", F.last("seg", ignorenulls=True).over(lap)).withColumn("first", F.min("seg").over(whole)).where("kind = 1 and first is not null")
-    before = F.coalesce("at", "first")
+    ref = written(s.join(reference_laps(laps), "session_id"), "compared")
+    curve = ref.where("lap_number = reference_lap").select("session_id", "d", "t", "sample_idx")
+    curve = with_previous(curve, ["session_id"], "d", "sample_idx", {"d_before": "d"}).where("d_before is null or d - d_before > 1e-6")
+    curve = curve.select("session_id", "d", "t", "sample_idx")
+    # each point of the curve with the next one
+    back = curve.withColumns({"down": -F.col("d"), "turn": -F.col("sample_idx")})
+    curve = with_previous(back, ["session_id"], "down", "turn", {"d2": "d", "t2": "t"}).drop("down", "turn")
+    curve = written(curve, "curve")
+    first = curve.groupBy("session_id").agg(F.min_by(F.struct("d", "t", "d2", "t2"), F.struct("d", "sample_idx")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    others = ref.where("lap_number != reference_lap").select("session_id", "lap_number", "reference_lap", "sample_idx", "d", "t").join(first, "session_id")
+    found = as_of(others, curve, ["session_id"], "d", "d", "sample_idx", ["d", "t", "d2", "t2"])
+    before = F.coalesce("found", "first")
     inside = before["t"] + (before["t2"] - before["t"]) * F.try_divide(F.col("d") - before["d"], before["d2"] - before["d"])
-    own = F.when(F.col("at").isNull() | before["d2"].isNull(), before["t"]).otherwise(inside)
-    return found.select("session_id", "lap_number", "reference_lap", "sample_idx", half_up(F.col("d"), 2).alias("distance_m"), half_up(F.col("t") - own, 3).alias("time_delta_s"))
+    own = F.when(F.col("found").isNull() | before["d2"].isNull(), before["t"]).otherwise(inside)
+    return found.select("session_id", "lap_number", F.col("reference_lap").cast("int").alias("reference_lap"), F.col("sample_idx").cast("long").alias("sample_idx"), half_up(F.col("d"), 2).alias("distance_m"), half_up(F.col("t") - own, 3).alias("time_delta_s"))
 
 
 def nested_traces(traces: DataFrame, laps: DataFrame) -> DataFrame:
@@ -64,22 +65,28 @@ def nested_traces(traces: DataFrame, laps: DataFrame) -> DataFrame:
     return t.join(times, ["session_id", "lap_number"]).join(ref, ["session_id", "reference_lap"])
 
 
-def delta_at_distance(annotated: DataFrame, laps: DataFrame, asked: DataFrame) -> DataFrame:
+def delta_at_distance(annotated: DataFrame, laps: DataFrame, asked: DataFrame, width_m: float = 100.0) -> DataFrame:
     """asked (session_id, lap1, lap2, distance_m) with delta_s: lap1's time less lap2's there.
 
-    Left of a lap's first point it extrapolates, beyond the last it clamps.
+    A lap's samples lie in order of distance, equal ones in order of time. The
+    first step that ends at or behind the distance tells the time, also for a
+    distance before the lap's first sample; beyond the last sample its time
+    counts. NULL if a lap isn't a full one or has fewer than two samples, or if
+    the distance is NULL or NaN. Questions and steps meet in bins of width_m.
     """
-    s = _samples(annotated, laps)
-    lap = Window.partitionBy("session_id", "lap_number").orderBy("pos")
-    whole = lap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumns({"d0": F.lag("d").over(lap), "t0": F.lag("t").over(lap), "end_t": F.last("t").over(whole)})
-    out = asked.dropDuplicates()
+    key = ["session_id", "lap_number"]
+    s = written(with_previous(_samples(annotated, laps).select(*key, "pos", "d", "t"), key, "d", "pos", {"d0": "d", "t0": "t"}, width_m), "steps")
+    steps = s.where("d0 is not null")
+    ends = steps.groupBy(*key).agg(F.max_by("t", F.struct("d", "pos")).alias("end_t"))
+    asked = asked.select("session_id", "lap1", "lap2", F.col("distance_m").cast("double").alias("distance_m")).dropDuplicates()
+    sides = asked.select("session_id", F.explode(F.array("lap1", "lap2")).alias("lap_number"), F.col("distance_m").alias("x")).where("x is not null and not isnan(x)").distinct()
+    found = as_of(sides, steps, key, "x", "d", "pos", ["d0", "t0", "d", "t"], behind=True, width=width_m).join(ends, key)
+    p = F.col("found")
+    time = F.when(p.isNull(), F.col("end_t")).otherwise(p["t0"] + (p["t"] - p["t0"]) * (F.col("x") - p["d0"]) / F.greatest(p["d"] - p["d0"], F.lit(1e-6)))
+    times = written(found.select(*key, F.col("x").alias("distance_m"), time.alias("at")), "times")
+    out = asked
     for n in (1, 2):
-        pairs = s.select("session_id", F.col("lap_number").alias(f"lap{n}"), "pos", "d0", "t0", "d", "t", "end_t").where("pos >= 1")
-        q = out.select("session_id", f"lap{n}", F.col("distance_m").alias("x")).distinct().join(pairs, ["session_id", f"lap{n}"])
-        at = q.groupBy("session_id", f"lap{n}", "x").agg(F.min_by(F.when(F.col("x") <= F.col("d"), F.struct("d0", "t0", "d", "t")), F.when(F.col("x") <= F.col("d"), F.col("pos"))).alias("p"), F.first("end_t").alias("end_t"))
-        time = F.when(F.col("p").isNull(), F.col("end_t")).otherwise(F.col("p.t0") + (F.col("p.t") - F.col("p.t0")) * (F.col("x") - F.col("p.d0")) / F.greatest(F.col("p.d") - F.col("p.d0"), F.lit(1e-6)))
-        out = out.join(at.select("session_id", f"lap{n}", F.col("x").alias("distance_m"), time.alias(f"t{n}")), ["session_id", f"lap{n}", "distance_m"], "left")
+        out = out.join(times.select("session_id", F.col("lap_number").alias(f"lap{n}"), "distance_m", F.col("at").alias(f"t{n}")), ["session_id", f"lap{n}", "distance_m"], "left")
     return out.select("session_id", "lap1", "lap2", "distance_m", half_up(F.col("t1") - F.col("t2"), 6).alias("delta_s"))
 
 

@@ -1,7 +1,7 @@
 """Laps: boundaries at the start line, records, sectors, partial laps, annotation.
 
 Samples without a position are never boundaries; sessions without any position
-are one lap. Laps of equal time keep their order of start. Repeated starts of a
+are one lap, and a session of one sample has none. Laps of equal time keep their order of start. Repeated starts of a
 file count once. Empty tables give empty results. Columns of telemetry that are
 named like a result's are replaced, others pass through.
 """
@@ -54,21 +54,20 @@ def lap_boundaries(telemetry: DataFrame, starts: DataFrame, tolerance_m: float =
 
 
 def lap_ranges(telemetry: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """session_id, range_no, start_idx, end_idx: neighbours share their boundary sample; the last ends with the session.
+    """session_id, range_no, start_idx, end_idx: from the session's first sample to its first boundary, and so on to its last sample.
 
-    A session without any range is one range as a whole.
+    Neighbours share their boundary sample; a range of one sample is left out.
     """
     ends = telemetry.groupBy("session_id").agg(F.min("sample_idx").cast("long").alias("first_idx"), F.max("sample_idx").cast("long").alias("last_idx"))
-    pairs = "transform(coalesce(boundaries, array()), (x, i) -> struct(i as range_no, x as start_idx, coalesce(get(boundaries, i + 1), last_idx) as end_idx))"
-    r = ends.join(boundaries, "session_id", "left").withColumn("ranges", F.expr(f"filter({pairs}, p -> p.end_idx > p.start_idx)"))
-    whole = "array(struct(0 as range_no, first_idx as start_idx, last_idx as end_idx))"
-    return r.select("session_id", F.explode(F.expr(f"if(size(ranges) > 0, ranges, {whole})")).alias("r")).select("session_id", "r.*")
+    pairs = "transform(concat(array(first_idx), coalesce(boundaries, array())), (x, i) -> struct(i as range_no, x as start_idx, coalesce(get(boundaries, i), last_idx) as end_idx))"
+    r = ends.join(boundaries, "session_id", "left")
+    return r.select("session_id", F.explode(F.expr(f"filter({pairs}, p -> p.end_idx > p.start_idx)")).alias("r")).select("session_id", "r.*")
 
 
 def fallback_ranges(telemetry: DataFrame) -> DataFrame:
-    """The whole session as one lap."""
+    """The whole session as one lap, if it has two samples."""
     n = telemetry.groupBy("session_id").agg(F.min("sample_idx").cast("long").alias("start_idx"), F.max("sample_idx").cast("long").alias("end_idx"))
-    return n.select("session_id", F.lit(0).alias("range_no"), "start_idx", "end_idx")
+    return n.select("session_id", F.lit(0).alias("range_no"), "start_idx", "end_idx").where("end_idx > start_idx")
 
 
 def lap_records(telemetry: DataFrame, ranges: DataFrame) -> DataFrame:

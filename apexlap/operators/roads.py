@@ -14,11 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import geometry_to_enu, haversine_m, latlon_to_enu, point_segment_m
+from ..functions.geo import geometry_to_enu, latlon_to_enu, point_segment_m
+from ..functions.numbers import finite
 from ..sources.staging import written
 from .motion import session_window, with_smoothed
 
-MAIN_ROADS = ["motorway", "trunk", "primary", "secondary", "tertiary"]
+#: Patterns of road classes; links of a class match with it.
+MAIN_ROADS = "motorway|trunk|primary|secondary|tertiary"
+NOT_DRIVEN = "abandoned|bridleway|bus_guideway|construction|corridor|cycleway|elevator|escalator|footway|^no$|path|pedestrian|planned|platform|proposed|raceway|razed|service|steps|track"
+#: Cell sizes of the search for roads, each four times the one before; the last spans the globe.
+LEVELS = 11
 METRICS = ["n_points", "mean_m", "rms_m", "std_m", "median_m", "p50_m", "p75_m", "p90_m", "p95_m", "p99_m", "max_m", "min_m"]
 COMPARED = ["mean_m", "rms_m", "std_m", "median_m", "p90_m", "p95_m", "max_m"]
 
@@ -32,10 +37,17 @@ def reference_points(points: DataFrame, starts: DataFrame | None = None) -> Data
     return own.join(s, "session_id", "left").select("session_id", F.coalesce("slat", "lat0").alias("lat0"), F.coalesce("slon", "lon0").alias("lon0"))
 
 
-def roads_in_box(points: DataFrame, edges: DataFrame, margin: float = 0.001, classes: Sequence[str] | None = None) -> DataFrame:
-    """session_id with each edge whose box meets that of the session's track."""
+def of_classes(edges: DataFrame, only: str | None = None, without: str | None = None) -> DataFrame:
+    """Edges whose highway matches a pattern anywhere, or doesn't; a NULL class matches nothing."""
+    if only:
+        edges = edges.where(F.col("highway").rlike(only))
+    return edges.where(~F.coalesce(F.col("highway"), F.lit("")).rlike(without)) if without else edges
+
+
+def roads_in_box(points: DataFrame, edges: DataFrame, margin: float = 0.001, only: str | None = None) -> DataFrame:
+    """session_id with each edge for driving (and of the classes of `only`) whose box meets that of the session's track."""
     box = points.groupBy("session_id").agg(F.min("lat_raw").alias("a"), F.max("lat_raw").alias("b"), F.min("lon_raw").alias("c"), F.max("lon_raw").alias("d"))
-    e = edges.where(F.col("highway").isin(list(classes))) if classes else edges
+    e = of_classes(edges, only, NOT_DRIVEN)
     ends = {n: F.expr(f"array_{f}(transform(coords, p -> p.{x}))") for n, f, x in (("la", "min", "lat"), ("lb", "max", "lat"), ("lc", "min", "lon"), ("ld", "max", "lon"))}
     cell = F.lit(0.05)
     e = e.withColumns(ends).withColumn("y", F.explode(F.sequence(F.floor(F.col("la") / cell), F.floor(F.col("lb") / cell)))).withColumn("x", F.explode(F.sequence(F.floor(F.col("lc") / cell), F.floor(F.col("ld") / cell))))
@@ -45,28 +57,36 @@ def roads_in_box(points: DataFrame, edges: DataFrame, margin: float = 0.001, cla
     return met.select("session_id", "edge_id", "highway", "coords").dropDuplicates(["session_id", "edge_id"])
 
 
-def roads_in_radius(centres: DataFrame, edges: DataFrame, dist: float = 500.0, drive: Sequence[str] = MAIN_ROADS) -> DataFrame:
+def roads_in_radius(centres: DataFrame, edges: DataFrame, dist: float = 500.0) -> DataFrame:
     """Edges near each centre (session_id, lat0, lon0): radii d, 2d, 5d, 10d, roads for driving before all; the first that has any.
 
-    Centres and edges meet in cells as high as the largest radius; a centre
-    looks at as many cells to either side as that radius spans at its latitude.
+    An edge is as near as its nearest segment. Centres and segments meet in
+    cells as high as the largest radius; a centre looks at as many cells to
+    either side as that radius spans at its latitude, a segment lies in all
+    cells of its box.
     """
     cell = 10 * dist / 111_000
     wide = cell / F.greatest(F.cos(F.radians(F.least(F.abs("lat0") + cell, F.lit(89.0)))), F.lit(0.01))
-    span = lambda at, reach: F.sequence(F.floor((at - reach) / cell), F.floor((at + reach) / cell))
-    c = centres.withColumn("x", F.explode(span(F.col("lon0"), wide))).withColumn("y", F.explode(span(F.col("lat0"), F.lit(cell))))
-    p = edges.withColumn("p", F.explode("coords")).withColumns({"x": F.floor(F.col("p.lon") / cell), "y": F.floor(F.col("p.lat") / cell)})
-    d = c.join(p, ["x", "y"]).groupBy("session_id", "edge_id").agg(F.first("highway").alias("highway"), F.first("coords").alias("coords"), F.min(haversine_m(F.col("lat0"), F.col("lon0"), F.col("p.lat"), F.col("p.lon"))).alias("far"))
+    span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
+    c = centres.where("lat0 is not null and lon0 is not null and not isnan(lat0) and not isnan(lon0)")
+    c = c.withColumn("x", F.explode(span(F.col("lon0") - wide, F.col("lon0") + wide))).withColumn("y", F.explode(span(F.col("lat0") - cell, F.col("lat0") + cell)))
+    e = edges.dropDuplicates(["edge_id"]).select("edge_id", "highway", "coords", F.posexplode("coords").alias("i", "a")).withColumn("b", F.coalesce(F.get("coords", F.col("i") + 1), "a"))
+    e = e.where((F.col("i") == 0) | (F.col("i") + 1 < F.size("coords")))
+    for axis, name in (("x", "lon"), ("y", "lat")):
+        e = e.withColumn(axis, F.explode(span(F.least(f"a.{name}", f"b.{name}"), F.greatest(f"a.{name}", f"b.{name}"))))
+    m = c.join(e, ["x", "y"])
+    ends = [latlon_to_enu(F.col(f"{p}.lat"), F.col(f"{p}.lon"), F.col("lat0"), F.col("lon0")) for p in "ab"]
+    m = m.withColumn("far", point_segment_m(F.lit(0.0), F.lit(0.0), *ends[0], *ends[1]))
+    d = m.groupBy("session_id", "edge_id").agg(F.first("highway").alias("highway"), F.first("coords").alias("coords"), F.min("far").alias("far"))
     level = F.when(F.col("far") <= dist, 0).when(F.col("far") <= 2 * dist, 1).when(F.col("far") <= 5 * dist, 2).when(F.col("far") <= 10 * dist, 3)
-    drives = F.coalesce(F.col("highway").isin(list(drive)), F.lit(False))
-    d = d.withColumn("level", level).where("level is not null").withColumn("drives", drives)
+    d = d.withColumn("level", level).where("level is not null").withColumn("drives", ~F.coalesce(F.col("highway"), F.lit("")).rlike(NOT_DRIVEN))
     best = d.groupBy("session_id").agg(F.min(F.when(F.col("drives"), F.col("level"))).alias("by_drive"), F.min("level").alias("by_all"))
     got = d.join(best, "session_id").where((F.col("by_drive").isNotNull() & F.col("drives") & (F.col("level") <= F.col("by_drive"))) | (F.col("by_drive").isNull() & (F.col("level") <= F.col("by_all"))))
     return got.select("session_id", "edge_id", "highway", "coords")
 
 
 def roads_of_sessions(points: DataFrame, edges: DataFrame, centres: DataFrame, dist: float = 500.0) -> DataFrame:
-    """The first source with edges for each session: box, radius, main roads in a wide box."""
+    """The first source with edges for each session: roads for driving in its box, around its centre, main roads in a wide box."""
     found = roads_in_box(points, edges)
     for more in (roads_in_radius(centres, edges, dist), roads_in_box(points, edges, 0.01, MAIN_ROADS)):
         found = found.unionByName(more.join(found.select("session_id").distinct(), "session_id", "left_anti"))
@@ -76,37 +96,49 @@ def roads_of_sessions(points: DataFrame, edges: DataFrame, centres: DataFrame, d
 def road_errors(points: DataFrame, roads: DataFrame, centres: DataFrame, cell_m: float = 50.0) -> DataFrame:
     """points (session_id, method, sample_idx, series, lat, lon) with error_m, the distance to the session's nearest road.
 
-    Segments are cut into pieces no longer than a cell and copied to the few
-    cells that a piece's box touches, points to the 3 x 3 cells around them. A
-    hit counts once it is no farther than one cell; the other points go on to
-    cells ten times as wide, until all have one.
+    Segments lie in cells of LEVELS sizes, each four times the one below. A cell
+    of points looks around on all of them at once; the nearest segment that it
+    meets bounds the distance of all its points, and with it the one level whose
+    neighbours hold every segment that could be nearest to any of them. Those
+    that can't be are dropped for the cell as a whole, so that a point meets the
+    few that are left in one join. Points whose position is NULL, NaN or
+    infinite have a NULL error.
     """
-    key = ["session_id", "method", "sample_idx", "series"]
+    key, cell = ["session_id", "method", "sample_idx", "series"], ["session_id", "cx", "cy"]
     x, y = latlon_to_enu(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    p = written(points.join(centres, "session_id").select(*key, x.alias("px"), y.alias("py")), "positions")
+    p = points.join(centres, "session_id", "left").select(*key, finite(x).alias("px"), finite(y).alias("py"))
+    p = written(p.withColumns({"cx": F.floor(F.col("px") / cell_m), "cy": F.floor(F.col("py") / cell_m)}), "positions")
     line = roads.dropDuplicates(["session_id", "edge_id"]).join(centres, "session_id").select("session_id", geometry_to_enu(F.col("coords"), F.col("lat0"), F.col("lon0")).alias("c"))
     seg = line.select("session_id", F.posexplode("c").alias("i", "s"), F.col("c")).withColumn("e", F.get("c", F.col("i") + 1)).where("e is not null")
-    seg = seg.select("session_id", F.col("s.x").alias("ax"), F.col("s.y").alias("ay"), F.col("e.x").alias("bx"), F.col("e.y").alias("by"))
-    seg = written(seg.where("ax is not null and ay is not null and bx is not null and by is not null"), "segments")
-    d = point_segment_m(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = p.where("px is not null and py is not null").join(seg.select("session_id").distinct(), "session_id", "left_semi")
-    found, size = None, cell_m
-    while True:
-        n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / size)).cast("int")
-        at = lambda a, b, t: F.floor((F.col(a) + (F.col(b) - F.col(a)) * t) / size)
-        s = seg.withColumn("n", n).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        ends = {f"c{v}{w}": at(f"a{v}", f"b{v}", (F.col("t") + w) / F.col("n")) for v in "xy" for w in (0, 1)}
-        s = s.withColumns(ends)
-        s = s.withColumn("cx", F.explode(F.array_distinct(F.array("cx0", "cx1")))).withColumn("cy", F.explode(F.array_distinct(F.array("cy0", "cy1"))))
-        s = s.select("session_id", "cx", "cy", "ax", "ay", "bx", "by").distinct()
-        q = left.withColumn("o", F.explode(near)).withColumns({"cx": F.floor(F.col("px") / size) + F.col("o.i"), "cy": F.floor(F.col("py") / size) + F.col("o.j")})
-        hit = written(q.join(s, ["session_id", "cx", "cy"]).groupBy(key).agg(F.min(d).alias("error_m")).where(F.col("error_m") <= size), "hits")
-        found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select(key), key, "left_anti")
-        if left.isEmpty():
-            return p.select(key).join(found, key, "left")
-        size *= 10
+    seg = seg.select("session_id", *(finite(F.col(f"{e}.{v}")).alias(n) for e, v, n in (("s", "x", "ax"), ("s", "y", "ay"), ("e", "x", "bx"), ("e", "y", "by"))))
+    seg = written(seg.dropna().distinct(), "segments")
+    # every segment by the cells that pieces of it, no longer than a cell, lie in
+    size = cell_m * F.pow(F.lit(4.0), F.col("level"))
+    s = seg.withColumn("level", F.explode(F.array(*(F.lit(k) for k in range(LEVELS)))))
+    s = s.withColumn("n", F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / size)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    for v in "xy":
+        ends = [F.floor((F.col(f"a{v}") + (F.col(f"b{v}") - F.col(f"a{v}")) * (F.col("t") + w) / F.col("n")) / size) for w in (0, 1)]
+        s = s.withColumn(v, F.explode(F.array_distinct(F.array(*ends))))
+    s = written(s.select("session_id", "level", "x", "y", "ax", "ay", "bx", "by").distinct(), "cells")
+    at = ["session_id", "level", "x", "y"]
+    q = p.where("px is not null and py is not null").select(*cell).distinct()
+    around = lambda level: F.array(*(F.struct(level.alias("level"), (F.floor(F.col("cx") / F.pow(F.lit(4.0), level)) + i).alias("x"), (F.floor(F.col("cy") / F.pow(F.lit(4.0), level)) + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    middle = [(F.col(c) + 0.5) * cell_m for c in ("cx", "cy")]
+    far = point_segment_m(*middle, *(F.col(c) for c in ("ax", "ay", "bx", "by")))
+    one = s.groupBy(*at).agg(F.min(F.struct("ax", "ay", "bx", "by")).alias("one")).select(*at, "one.*")
+    looks = q.withColumn("level", F.explode(F.array(*(F.lit(k) for k in range(LEVELS))))).select(*cell, F.explode(around(F.col("level"))).alias("c")).select(*cell, "c.*")
+    # no segment farther from the cell's middle than this is nearest to a point of the cell
+    across = cell_m * 2**0.5 + 1e-6
+    bound = looks.join(one, at).groupBy(*cell).agg((F.min(far) + across).alias("within"))
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(F.col("within") <= cell_m * 4.0**k, k).otherwise(level)
+    asked = bound.withColumn("level", level).select(*cell, "within", F.explode(around(F.col("level"))).alias("c")).select(*cell, "within", "c.*")
+    met = asked.join(s, at).withColumn("far", far).where("far <= within").groupBy(*cell).agg(F.collect_set(F.struct("far", "ax", "ay", "bx", "by")).alias("near"))
+    least = F.array_min(F.transform("near", lambda r: r["far"]))
+    met = met.select(*cell, "near", least.alias("least")).select(*cell, F.filter("near", lambda r: r["far"] <= F.col("least") + across).alias("near"))
+    error = F.array_min(F.transform("near", lambda r: point_segment_m(F.col("px"), F.col("py"), r["ax"], r["ay"], r["bx"], r["by"])))
+    return p.join(met, cell, "left").select(*key, error.alias("error_m"))
 
 
 def errors_side_by_side(points: DataFrame, errors: DataFrame, times: DataFrame | None = None) -> DataFrame:

@@ -42,8 +42,9 @@ bnd(session_id, b) as (
   union all
   select * from (select q.session_id, (select min(c.sample_idx) from cand c where c.session_id = q.session_id and c.sample_idx > q.b + 4) as b from bnd q) where b is not null),
 size_ as (select session_id, max(sample_idx) as n from tel group by 1),
-rng as (select b.session_id, b as s, coalesce(lead(b) over (partition by b.session_id order by b), n) as e from bnd b join size_ using (session_id)),
-rng2 as (select * from rng where e > s union all select session_id, 0, n from size_ where session_id not in (select session_id from rng where e > s)),
+open_ as (select session_id, cast(0 as bigint) as s from size_ union all select session_id, b from bnd),
+rng as (select o.session_id, o.s, coalesce(lead(o.s) over (partition by o.session_id order by o.s), z.n) as e from open_ o join size_ z on z.session_id = o.session_id),
+rng2 as (select * from rng where e > s),
 rec as (select r.session_id, r.s, r.e, round((y.ms - x.ms) / 1000.0::double, 5) as lap_time_s, round(y.distance_m - x.distance_m, 3) as distance_m,
   row_number() over (partition by r.session_id order by r.s) as k, count(*) over (partition by r.session_id) as c
   from rng2 r join tel x on x.session_id = r.session_id and x.sample_idx = r.s join tel y on y.session_id = r.session_id and y.sample_idx = r.e),
@@ -64,7 +65,7 @@ crn(session_id, lap_number, start_sample_idx, corner_id, t, a, b) as (
   select session_id, lap_number, start_sample_idx, 0, cast(-1 as bigint), cast(-1 as bigint), cast(-1 as bigint) from laps where not is_partial
   union all
   select session_id, lap_number, start_sample_idx, corner_id + 1, t2,
-    coalesce((select max(c.pos) from curve c where c.session_id = q.session_id and c.start_sample_idx = q.start_sample_idx and c.pos < q.t2 and (abs(c.k) <= 3e3 or sign(c.k) <> sign(q.kt))), 0),
+    coalesce((select max(c.pos) from curve c where c.session_id = q.session_id and c.start_sample_idx = q.start_sample_idx and c.pos >= 2 and c.pos < q.t2 and (abs(c.k) <= 3e3 or sign(c.k) <> sign(q.kt))), 2),
     (select min(c.pos) from curve c where c.session_id = q.session_id and c.start_sample_idx = q.start_sample_idx and c.pos > q.t2 and (abs(c.k) <= 3e3 or sign(c.k) <> sign(q.kt)))
   from (select p.*, h.pos as t2, h.k as kt from crn p join lateral (
     select c.pos, c.k from curve c where c.session_id = p.session_id and c.start_sample_idx = p.start_sample_idx and c.pos > p.b and abs(c.k) >= 6e3 order by c.pos limit 1) h on true) q),
@@ -127,7 +128,7 @@ rf as (select session_id, lap_number as ref from (select *, row_number() over (p
 sm as (select l.session_id, l.lap_number, l.sample_idx, a.lap_distance_m as d, a.lap_elapsed_s as t from lsam l join ann a on a.session_id = l.session_id and a.sample_idx = l.sample_idx where not l.is_partial and a.lap_distance_m is not null),
 cv as (select session_id, d, t, sample_idx from (select sm.*, lag(d) over (partition by sm.session_id order by d, sample_idx) as db from sm join rf on rf.session_id = sm.session_id and rf.ref = sm.lap_number) where db is null or d - db > 1e-6),
 c2 as (select *, lead(d) over w as d2, lead(t) over w as t2, row_number() over w as i, count(*) over (partition by session_id) as n from cv window w as (partition by session_id order by d)),
-ot as (select sm.*, rf.ref, (select max(c.i) from c2 c where c.session_id = sm.session_id and c.d <= sm.d) as i from sm join rf on rf.session_id = sm.session_id and rf.ref <> sm.lap_number)
+ot as (select sm.*, rf.ref, (select max(c.i) from c2 c where c.session_id = sm.session_id and c.d <= sm.d) as i from sm join rf on rf.session_id = sm.session_id and rf.ref <> sm.lap_number join fl on fl.session_id = sm.session_id and fl.lap_number = sm.lap_number)
 select o.session_id, o.lap_number, o.ref as reference_lap, o.sample_idx, round(o.d, 2) as distance_m, round(o.t - case when o.i is null or c.d2 is null then c.t else c.t + (c.t2 - c.t) * (o.d - c.d) / (c.d2 - c.d) end, 3) as time_delta_s
 from ot o join c2 c on c.session_id = o.session_id and c.i = coalesce(o.i, 1) and c.n > 1""",
     "curvature": with_(BASE, METRICS, LAPS, CURVE) + " select session_id, lap_number, start_sample_idx, sample_idx, round(k, 2) as k from curve",
@@ -186,18 +187,20 @@ bnd(session_id, b) as (
   union all
   select * from (select q.session_id, (select min(c.sample_idx) from cand c where c.session_id = q.session_id and c.sample_idx > q.b + c.skip) as b from bnd q) where b is not null),
 size_ as (select session_id, max(sample_idx) as n from tel group by 1),
-rng as (select b.session_id, b as s, coalesce(lead(b) over (partition by b.session_id order by b), n) as e from bnd b join size_ using (session_id)),
-rng2 as (select * from rng where e > s union all select session_id, 0, n from size_ where session_id not in (select session_id from rng where e > s)),
+open_ as (select session_id, cast(0 as bigint) as s from size_ union all select session_id, b from bnd),
+rng as (select o.session_id, o.s, coalesce(lead(o.s) over (partition by o.session_id order by o.s), z.n) as e from open_ o join size_ z on z.session_id = o.session_id),
+rng2 as (select * from rng where e > s),
 rec as (select *, row_number() over (partition by session_id order by s) as k, count(*) over (partition by session_id) as c from rng2)"""
 SQL["wide_laps"] = with_(BASE, METRICS, WIDE) + " select case when session_id = '3' then '3 Jackson' else session_id end as session_id, case when c = 1 or k = 1 or k = c then k else k - 1 end as lap_number, c > 1 and (k = 1 or k = c) as is_partial, s as start_sample_idx, e as end_sample_idx from rec"
 
 SQL["delta_at_distance"] = with_(BASE, METRICS, LAPS) + """,
 sm as (select l.session_id, l.lap_number, l.pos, a.lap_distance_m as d, a.lap_elapsed_s as t from lsam l join ann a on a.session_id = l.session_id and a.sample_idx = l.sample_idx where not l.is_partial and a.lap_distance_m is not null),
-pr as (select *, lag(d) over w as d0, lag(t) over w as t0, last_value(t) over (partition by session_id, lap_number order by pos rows between unbounded preceding and unbounded following) as tn from sm window w as (partition by session_id, lap_number order by pos)),
+pr as (select *, row_number() over w - 1 as i, lag(d) over w as d0, lag(t) over w as t0, last_value(t) over (partition by session_id, lap_number order by d, pos rows between unbounded preceding and unbounded following) as tn
+  from sm window w as (partition by session_id, lap_number order by d, pos)),
 ask as (select session_id, lap_number as lap1, lap_number + 1 as lap2, unnest([-5.0::double, 0, 100, 250, 9999]) as x from laps where not is_partial),
 side as (select distinct session_id, lap1 as lap, x from ask union select distinct session_id, lap2, x from ask),
-hit as (select s.session_id, s.lap, s.x, min(p.pos) filter (s.x <= p.d) as pos, any_value(p.tn) as tn from side s join pr p on p.session_id = s.session_id and p.lap_number = s.lap and p.pos >= 1 group by 1, 2, 3),
-tm as (select h.session_id, h.lap, h.x, case when h.pos is null then h.tn else p.t0 + (p.t - p.t0) * (h.x - p.d0) / greatest(p.d - p.d0, 1e-6::double) end as t from hit h left join pr p on p.session_id = h.session_id and p.lap_number = h.lap and p.pos = h.pos)
+hit as (select s.session_id, s.lap, s.x, min(p.i) filter (s.x <= p.d) as i, any_value(p.tn) as tn from side s join pr p on p.session_id = s.session_id and p.lap_number = s.lap and p.i >= 1 group by 1, 2, 3),
+tm as (select h.session_id, h.lap, h.x, case when h.i is null then h.tn else p.t0 + (p.t - p.t0) * (h.x - p.d0) / greatest(p.d - p.d0, 1e-6::double) end as t from hit h left join pr p on p.session_id = h.session_id and p.lap_number = h.lap and p.i = h.i)
 select a.session_id, a.lap1, a.lap2, a.x as distance_m, round(round(t1.t - t2.t, 6), 4) as delta_s from ask a
   left join tm t1 on t1.session_id = a.session_id and t1.lap = a.lap1 and t1.x = a.x left join tm t2 on t2.session_id = a.session_id and t2.lap = a.lap2 and t2.x = a.x"""
 

@@ -138,7 +138,7 @@ def _telemetry(spark, n=60):
 def test_clashing_columns_and_missing_positions(spark):
     t = _telemetry(spark)
     found = laps.detect_laps(t)
-    assert {r.session_id for r in found.collect()} == {"a", "none"}
+    assert {r.session_id for r in found.collect()} == {"a"}  # a session of one sample has no lap
     assert laps.lap_samples(t, found).where("pos < 0").count() == 0
     assert laps.annotate_lap_samples(laps.annotate_lap_samples(t, found), found).count() == 61
     docs = {r.session_id: r for r in layers.track_geojson(t).collect()}
