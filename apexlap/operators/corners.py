@@ -12,21 +12,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from .chunks import CHUNK, in_chunks, own_rows
 from .laps import lap_samples
 
 G = 9.80665
 
 
-def lap_curvature(telemetry: DataFrame, laps: DataFrame, spread: int = 2) -> DataFrame:
+def lap_curvature(telemetry: DataFrame, laps: DataFrame, spread: int = 2, chunk: int = CHUNK) -> DataFrame:
     """Lap samples with k: signed curvature in 1/degree of the samples `spread` apart, 0 near a lap's ends."""
-    lap = Window.partitionBy("session_id", "start_sample_idx").orderBy("sample_idx")
-    s = lap_samples(telemetry, laps)
+    lap = Window.partitionBy("session_id", "start_sample_idx", "chunk__").orderBy("sample_idx")
+    s = in_chunks(lap_samples(telemetry, laps), chunk, spread, spread)
     ux, uy = F.col("lon") - F.lag("lon", spread).over(lap), F.col("lat") - F.lag("lat", spread).over(lap)
     vx, vy = F.lead("lon", spread).over(lap) - F.col("lon"), F.lead("lat", spread).over(lap) - F.col("lat")
     norm = lambda x, y: F.sqrt(x * x + y * y)
     k = F.try_divide(2 * (ux * vy - uy * vx), norm(ux, uy) * norm(vx, vy) * norm(ux + vx, uy + vy))
     inside = (F.col("pos") >= spread) & (F.col("sample_idx") < F.col("end_sample_idx") - spread)
-    return s.withColumn("k", F.when(inside, F.coalesce(k, F.lit(0.0))).otherwise(0.0))
+    return own_rows(s.withColumn("k", F.when(inside, F.coalesce(k, F.lit(0.0))).otherwise(0.0)))
 
 
 def corner_ranges(curvature: DataFrame, threshold: float = 6e3, least: float = 3e3, first: int = 0) -> DataFrame:

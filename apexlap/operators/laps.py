@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..functions.numbers import half_up
-from .motion import running, session_window
+from .chunks import CHUNK, add_last, add_running_sums, in_chunks, own_rows
 
 #: Sessions whose name holds one of these are routes without laps.
 ROUTES = ("jackson", "freeway")
@@ -33,11 +33,17 @@ def start_points(telemetry: DataFrame, starts: DataFrame | None = None) -> DataF
     return both.select("session_id", F.coalesce("q.lat", "p.lat").alias("start_lat"), F.coalesce("q.lon", "p.lon").alias("start_lon"))
 
 
-def lap_boundaries(telemetry: DataFrame, starts: DataFrame, tolerance_m: float = 5.0, skip_samples: int = 4, parameters: DataFrame | None = None) -> DataFrame:
+def lap_boundaries(telemetry: DataFrame, starts: DataFrame, tolerance_m: float = 5.0, skip_samples: int = 4, parameters: DataFrame | None = None, chunk: int = 1 << 16) -> DataFrame:
     """session_id, boundaries: greedy crossings of the start, more than skip_samples apart.
 
     parameters: session_id (lower case), tolerance_m, skip_samples of single
-    sessions; files of WIDE have their own without it. Only candidates near the start are gathered, one short array a session.
+    sessions; files of WIDE have their own without it.
+
+    What a chunk of a session does depends only on how many samples, up to
+    skip_samples + 1, have passed since the last boundary when it begins. For
+    each such number the chunk's last boundary is found; these short tables are
+    composed along the session, and each chunk then finds its boundaries from
+    where it really begins.
     """
     t = telemetry.join(starts, "session_id")
     wide = F.lower("session_id").isin(*WIDE)
@@ -48,9 +54,19 @@ def lap_boundaries(telemetry: DataFrame, starts: DataFrame, tolerance_m: float =
         p = parameters.select(F.lower("session_id").alias("name"), F.col("tolerance_m").alias("own_m"), F.col("skip_samples").alias("own_skip")).dropDuplicates(["name"])
         t = t.join(p, F.lower("session_id") == p.name, "left").withColumns({"tolerance": F.coalesce("own_m", usual["tolerance"]), "skip": F.coalesce("own_skip", usual["skip"])})
     near = t.where(haversine_m(F.col("lat"), F.col("lon"), F.col("start_lat"), F.col("start_lon")) < F.col("tolerance"))
-    c = near.groupBy("session_id").agg(F.sort_array(F.collect_list(F.col("sample_idx").cast("long"))).alias("c"), F.first("skip").alias("skip"))
-    fold = "aggregate(c, cast(array() as array<bigint>), (a, x) -> if(x - if(size(a) > 0, element_at(a, -1), 0L) > skip, array_append(a, x), a))"
-    return c.select("session_id", F.expr(fold).alias("boundaries"))
+    near = near.select("session_id", F.col("sample_idx").cast("long").alias("x"), "skip", F.floor(F.col("sample_idx") / chunk).alias("chunk"))
+    c = near.groupBy("session_id", "chunk").agg(F.sort_array(F.collect_list("x")).alias("c"), F.first("skip").alias("skip")).withColumn("begin", F.col("chunk") * chunk)
+    step = "(last, x) -> if(x - last > skip, x, last)"
+    c = c.withColumn("ends", F.expr(f"transform(sequence(0, skip + 1), since -> aggregate(c, begin - since, {step}))"))
+    # a chunk without a boundary leaves the last one as it is
+    since = "cast(least(k.begin - a.last, k.skip + 1L) as int)"
+    after = f"if(k.ends[{since}] < k.begin, a.last, k.ends[{since}])"
+    compose = f"aggregate(chunks, named_struct('last', 0L, 'out', cast(array() as array<struct<chunk:bigint,last:bigint>>)), (a, k) -> named_struct('last', {after}, 'out', array_append(a.out, named_struct('chunk', k.chunk, 'last', a.last))), a -> a.out)"
+    chunks = c.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "begin", "skip", "ends"))).alias("chunks"))
+    begins = chunks.select("session_id", F.explode(F.expr(compose)).alias("b")).select("session_id", "b.*")
+    found = "aggregate(c, named_struct('last', last, 'out', cast(array() as array<bigint>)), (a, x) -> if(x - a.last > skip, named_struct('last', x, 'out', array_append(a.out, x)), a), a -> a.out)"
+    each = c.join(begins, ["session_id", "chunk"]).select("session_id", F.struct("chunk", F.expr(found).alias("found")).alias("f"))
+    return each.groupBy("session_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["found"])).alias("boundaries"))
 
 
 def lap_ranges(telemetry: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -101,16 +117,16 @@ def plausible_laps(telemetry: DataFrame, laps: DataFrame, least_s: float = 20.0,
     return kept.drop("lap_number", "is_partial").unionByName(rest).withColumns({"lap_number": number, "is_partial": F.lit(False)})
 
 
-def lap_samples(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
+def lap_samples(telemetry: DataFrame, laps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Every sample of every lap with lap_number; a shared boundary sample comes once for each of its laps.
 
-    A running count of lap starts tells each sample its lap, so no range join is
+    The last lap start so far tells each sample its lap, so no range join is
     needed; the last sample of a lap is joined by its index.
     """
     telemetry = telemetry.drop("lap_number", "start_sample_idx", "end_sample_idx", "pos", "s")
     keys = laps.select("session_id", "lap_number", "start_sample_idx", "end_sample_idx")
     marks = telemetry.join(keys.select("session_id", F.col("start_sample_idx").alias("sample_idx"), F.col("start_sample_idx").alias("s")), ["session_id", "sample_idx"], "left")
-    inside = marks.withColumn("start_sample_idx", F.last("s", ignorenulls=True).over(running())).drop("s").join(keys, ["session_id", "start_sample_idx"])
+    inside = own_rows(add_last(in_chunks(marks, chunk), "start_sample_idx", F.col("s"))).drop("s").join(keys, ["session_id", "start_sample_idx"])
     inside = inside.where("sample_idx < end_sample_idx")
     ends = telemetry.join(keys.withColumn("sample_idx", F.col("end_sample_idx")), ["session_id", "sample_idx"])
     return inside.unionByName(ends).withColumn("pos", F.col("sample_idx") - F.col("start_sample_idx"))
@@ -142,21 +158,23 @@ def sector_times(telemetry: DataFrame, laps: DataFrame, sectors: int = 3) -> Dat
     return rows.select(*key, F.expr("transform(c, x -> x.t)").alias("sector_times_s"), F.expr("transform(c, x -> x.split)").alias("sector_splits_m"))
 
 
-def annotate_lap_samples(telemetry: DataFrame, laps: DataFrame) -> DataFrame:
+def annotate_lap_samples(telemetry: DataFrame, laps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """lap_index, lap_elapsed_s and lap_distance_m of each sample; of two full laps the later has the shared sample."""
-    telemetry = telemetry.drop("lap_index", "lap_elapsed_s", "lap_distance_m", "mark", "s", "e")
+    telemetry = telemetry.drop("lap_index", "lap_elapsed_s", "lap_distance_m", "mark", "s", "e", "t0", "d0")
     full = laps.where("not is_partial").select("session_id", F.col("lap_number").alias("lap_index"), F.col("start_sample_idx").alias("s"), F.col("end_sample_idx").alias("e"))
+    begin = telemetry.select("session_id", F.col("sample_idx").alias("s"), F.col("elapsed_s").alias("t0"), F.col("distance_m").alias("d0"))
+    full = full.join(begin, ["session_id", "s"])
     starts = full.select("session_id", F.col("s").alias("sample_idx"), F.col("s").alias("mark"))
-    t = telemetry.join(starts, ["session_id", "sample_idx"], "left").withColumn("s", F.last("mark", ignorenulls=True).over(running()))
-    t = t.join(full, ["session_id", "s"], "left").withColumns({c: F.when(F.col("sample_idx") <= F.col("e"), F.col(c)) for c in ("lap_index", "s")})
-    lap = Window.partitionBy("session_id", "s").orderBy("sample_idx")
-    zero = {"lap_elapsed_s": half_up(F.col("elapsed_s") - F.first("elapsed_s").over(lap), 3), "lap_distance_m": F.col("distance_m") - F.first("distance_m").over(lap)}
-    return t.withColumns({k: F.when(F.col("lap_index").isNotNull(), v) for k, v in zero.items()}).drop("mark", "s", "e")
+    t = own_rows(add_last(in_chunks(telemetry.join(starts, ["session_id", "sample_idx"], "left"), chunk), "s", F.col("mark")))
+    t = t.join(full, ["session_id", "s"], "left")
+    inside = F.col("sample_idx") <= F.col("e")
+    values = {"lap_index": F.col("lap_index"), "lap_elapsed_s": half_up(F.col("elapsed_s") - F.col("t0"), 3), "lap_distance_m": F.col("distance_m") - F.col("d0")}
+    return t.withColumns({k: F.when(inside, v) for k, v in values.items()}).drop("mark", "s", "e", "t0", "d0")
 
 
-def raw_lap_ids(telemetry: DataFrame, boundaries: DataFrame) -> DataFrame:
+def raw_lap_ids(telemetry: DataFrame, boundaries: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """lap: how many boundaries lie before the sample; a boundary sample keeps the old id."""
     b = boundaries.select("session_id", F.explode("boundaries").alias("sample_idx"), F.lit(1).alias("is_boundary"))
-    t = telemetry.join(b, ["session_id", "sample_idx"], "left")
-    before = session_window().rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("lap", F.coalesce(F.sum("is_boundary").over(before), F.lit(0))).drop("is_boundary")
+    t = in_chunks(telemetry.join(b, ["session_id", "sample_idx"], "left"), chunk).withColumn("is_boundary", F.coalesce("is_boundary", F.lit(0)))
+    t = own_rows(add_running_sums(t, {"passed": F.col("is_boundary").cast("double")}))
+    return t.withColumn("lap", (F.col("passed") - F.col("is_boundary")).cast("long")).drop("is_boundary", "passed")

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geometry_to_enu, latlon_to_enu, point_segment_m
 from ..functions.numbers import finite
+from ..functions.smoothing import reach
 from ..sources.staging import written
-from .motion import session_window, with_smoothed
+from .chunks import CHUNK, add_running_sums, chunk_window, in_chunks, own_rows
+from .motion import positions_in_chunks, with_smoothed
 
 #: Patterns of road classes; links of a class match with it.
 MAIN_ROADS = "motorway|trunk|primary|secondary|tertiary"
@@ -193,12 +195,12 @@ def box_plot(errors: DataFrame) -> DataFrame:
     return e.groupBy(*by, "q1", "median", "q3").agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
 
 
-def track_distance(points: DataFrame, centres: DataFrame) -> DataFrame:
+def track_distance(points: DataFrame, centres: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Distance along the smoothed track as the running sum of planar steps."""
     x, y = latlon_to_enu(F.col("lat_smooth"), F.col("lon_smooth"), F.col("lat0"), F.col("lon0"))
-    p = points.join(centres, "session_id").withColumns({"x": x, "y": y})
-    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(session_window()), 2) + F.pow(F.col("y") - F.lag("y").over(session_window()), 2))
-    return p.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("track_m", F.sum("step").over(session_window().rowsBetween(Window.unboundedPreceding, 0))).select("session_id", "sample_idx", "x", "y", "track_m")
+    p = in_chunks(points.join(centres, "session_id").withColumns({"x": x, "y": y}), chunk, before=1)
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(chunk_window()), 2) + F.pow(F.col("y") - F.lag("y").over(chunk_window()), 2))
+    return own_rows(add_running_sums(p.withColumn("step", step), {"track_m": F.col("step")})).select("session_id", "sample_idx", "x", "y", "track_m")
 
 
 def lap_markers(points: DataFrame, laps: DataFrame, centres: DataFrame) -> DataFrame:
@@ -219,11 +221,13 @@ def summary_table(metrics: DataFrame) -> DataFrame:
     return long.groupBy("session_id", "method", "Metric").agg(one("raw").alias("Raw_GPS"), one("smooth").alias("Smoothed_GPS"))
 
 
-def method_points(series: DataFrame, methods: Sequence[str] = ("gaussian", "savgol", "ma"), window: int = 7) -> DataFrame:
+def method_points(series: DataFrame, methods: Sequence[str] = ("gaussian", "savgol", "ma"), window: int = 7, chunk: int = CHUNK) -> DataFrame:
     """lat_raw, lon_raw, lat_smooth, lon_smooth of each method, in one pass over the sessions."""
-    s = series
+    before, after = (max(x) for x in zip(*(reach(m, window) for m in methods), strict=True))
+    s = positions_in_chunks(series, chunk, before, after)
     for m in methods:
         s = with_smoothed(s, m, window, f"lat_{m}", f"lon_{m}")
+    s = own_rows(s)
     each = F.array(*(F.struct(F.lit(m).alias("method"), F.col(f"lat_{m}").alias("lat_smooth"), F.col(f"lon_{m}").alias("lon_smooth")) for m in methods))
     return s.select("session_id", "sample_idx", F.col("lat").alias("lat_raw"), F.col("lon").alias("lon_raw"), F.explode(each).alias("m")).select("session_id", "sample_idx", "lat_raw", "lon_raw", "m.*")
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..functions.smoothing import smoothed
 from ..operators import corners, deltas, laps, layers, motion, nearest, roads
 from ..sources import export, logs
 from ..sources.staging import shared_dir, written
@@ -57,8 +56,9 @@ def imu_metrics(spark, sf_dir):
 
 
 def smoothing(spark, sf_dir):
-    t = fixtures.tracks(spark, sf_dir)
-    return t.select("session_id", "sample_idx", *(half_up(smoothed(F.col("lat"), motion.session_window(), motion.whole_session(), m, 7), 8).alias(m) for m in ("ma", "gaussian", "savgol")))
+    points = roads.method_points(fixtures.tracks(spark, sf_dir), ("ma", "gaussian", "savgol"))
+    one = lambda m: half_up(F.max(F.when(F.col("method") == m, F.col("lat_smooth"))), 8).alias(m)
+    return points.groupBy("session_id", "sample_idx").agg(one("ma"), one("gaussian"), one("savgol"))
 
 
 def telemetry(spark, sf_dir):
