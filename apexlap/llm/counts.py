@@ -4,9 +4,10 @@ The cache is a Parquet table (version, digest, n_tokens): version is the digest
 of the tokenizer's file and library, digest that of the normalised text (runs
 of ASCII white space as one space) where the tokenizer itself reads those alike,
 else that of the text. Digests go first: they are joined to the cache, and of
-those that miss, one row each lends its text. Only these texts move and are
-encoded, and their counts are appended. Where nothing misses, no text moves. A text
-that makes up a third of the rows costs one row a task, and its rows get their
+those that miss, one row each lends its text. A filter of fixed size keeps texts
+of other rows where they are, but for the few that it can't tell apart; the
+others move, are joined to the misses and encoded, and their counts are
+appended. Where nothing misses, no text moves. A text that makes up a third of the rows costs one row a task, and its rows get their
 count through a broadcast of the few digests with over a thousandth of all rows.
 
 Null counts as empty and has no tokens. Rows without doc_id are counted too;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import tokens
 from .exact import normalised
-from .storage import discard, frequent, joined, shared_dir, small_batches, written
+from .storage import among, discard, frequent, joined, shared_dir, small_batches, written
 
 CACHE = "version string, digest binary, n_tokens long"
 
@@ -83,7 +84,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     lenders = groups.join(stored().select("digest"), "digest", "left_anti")
     misses = written(lenders.select("digest", F.coalesce("of.doc_id", F.lit(-1)).alias("id"), F.col("of.text_hash").alias("hash")), "misses")
     if not misses.isEmpty():
-        keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash"))
+        lends = among(misses.select(F.xxhash64("id", "hash").alias("key")))
+        keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash")).where(lends(F.xxhash64("id", "hash")))
         counted = keyed.join(misses.hint("shuffle_hash"), ["id", "hash"]).select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
         counted.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     discard(misses)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.staging import discard, shared_dir, written
+from . import kernels as K
 
-__all__ = ["carried", "discard", "frequent", "joined", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
+__all__ = ["among", "carried", "discard", "frequent", "joined", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -53,3 +59,46 @@ def row_and(docs: DataFrame, more: str) -> StructType:
 def uncarried(scored: DataFrame) -> DataFrame:
     """The input's rows alone."""
     return scored.select("row.*")
+
+
+#: Bits of a filter, whatever it holds, and how many each key sets.
+FILTER_BITS, PROBES = 1 << 26, 3
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """The bits of each 64-bit key, one row for each probe."""
+    h = K.mix64(keys.view(K.U64) + K.U64(1))
+    return np.stack([(h >> K.U64(19 * i)) & K.U64(FILTER_BITS - 1) for i in range(PROBES)]).astype(np.int64)
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        held[_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)).ravel()] = True
+    words = np.packbits(held, bitorder="little").view(np.int64)
+    used = np.flatnonzero(words)
+    for lo in range(0, len(used), 1 << 16):
+        part = used[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["word", "bits"])
+
+
+def among(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test for a long column that is true for every key in the one column of keys, and for few others.
+
+    A Bloom filter of FILTER_BITS, eight megabytes however many keys there are,
+    so that rows which surely have no partner need not move for a join. With
+    more keys than a tenth of its bits it lets more and more of the others pass,
+    and costs as much as without it at most.
+    """
+    spark = keys.sparkSession
+    found = keys.mapInArrow(_fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    held = spark.sparkContext.broadcast(np.ascontiguousarray(words))
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        at = _bits(key.to_numpy().astype(np.int64))
+        return pd.Series(((held.value[at >> 6] >> (at & 63)) & 1).all(0))
+
+    return test

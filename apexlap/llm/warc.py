@@ -13,8 +13,9 @@ earlier ranges of the URL leave behind is carried over, one row for each URL and
 range.
 
 At equal times a response comes before a revisit, then the smaller record_id.
-Records without URL or time pass by all of this and are kept, unresolved. Null
-headers count as none. A revisit without validators is resolved to the latest
+Records without URL or time pass by all of this and are kept, unresolved, as are
+those without a kind, whose status is 'unknown'. Null headers count as none, and
+a header without a value as absent. A revisit without validators is resolved to the latest
 response unchecked, as nothing contradicts it. Repeated rows give repeated
 results; an empty table gives an empty one. Extra columns, whatever their names,
 are ignored.
@@ -49,13 +50,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     records: record_id long, url string, time (a number or a timestamp), kind
     'response' or 'revisit', headers map<string,string> with lower-case names.
-    status: 'response', 'resolved', 'mismatch' or 'no_response'; source_id is
-    the response that was found.
+    status: 'response', 'resolved', 'mismatch', 'no_response' or 'unknown';
+    source_id is the response that was found.
     """
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "time", "kind", F.coalesce("headers", empty).alias("headers"))
+    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "time", "kind", F.map_filter(F.coalesce("headers", empty), lambda _, v: v.isNotNull()).alias("headers"))
     r = r.withColumn("later", (F.col("kind") != "response").cast("int"))
-    placed = F.col("canonical").isNotNull() & F.col("time").isNotNull()
+    placed = F.col("canonical").isNotNull() & F.col("time").isNotNull() & F.col("kind").isNotNull()
     order = ["time", "later", "record_id"]
     # the range of each record is stored, so that it can't change when a task is run again
     dealt = written(r.where(placed).repartitionByRange("canonical", *order).withColumn("range", F.spark_partition_id()), "records")
@@ -72,7 +73,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     etag = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     own, theirs = F.col("headers"), F.col("found.headers")
     agrees = F.when(own["etag"].isNotNull(), etag(own) == etag(theirs)).when(own["last-modified"].isNotNull(), own["last-modified"] == theirs["last-modified"]).otherwise(F.lit(True))
-    status = F.when(F.col("kind") == "response", "response").when(F.col("found").isNull(), "no_response").when(F.coalesce(agrees, F.lit(False)), "resolved").otherwise("mismatch")
+    status = F.when(F.col("kind").isNull(), "unknown").when(F.col("kind") == "response", "response").when(F.col("found").isNull(), "no_response").when(F.coalesce(agrees, F.lit(False)), "resolved").otherwise("mismatch")
     found = found.withColumn("status", status)
     allowed = F.map_filter(own, lambda k, _: k.isin(PERMITTED))
     kept = F.map_filter(theirs, lambda k, _: ~F.map_contains_key(allowed, k))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from apexlap.llm.exact import exact_duplicates
 from apexlap.llm.minhash import near_duplicates
 from apexlap.llm.packing import pack_documents
-from apexlap.llm.storage import written
+from apexlap.llm.storage import among, written
 from apexlap.llm.tokens import tokenizer_path
 from apexlap.llm.toxicity import without_toxic
 from apexlap.llm.wumanber import without_contaminated
@@ -27,12 +27,19 @@ def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs that decisions (doc_id, text_hash, kept) keep, with their columns.
 
     Rows without doc_id go. Rows that repeat a doc_id are told apart by their
-    texts; rows that repeat the text too stay or go together.
+    texts; of those that repeat the text too, one stays, whichever comes first.
+    Rows travel as a struct, so that no column can clash. A filter of fixed size
+    tells which rows are surely neither dropped nor repeated; they don't move.
     """
-    ids = decisions.where("kept").select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("text_hash__", F.xxhash64(F.col("text").cast("string")))
-    same = (keyed.doc_id.cast("long") == ids.doc_id) & (keyed.text_hash__ == ids.text_hash)
-    return keyed.join(ids.hint("shuffle_hash"), same, "left_semi").select(*(keyed[f"`{c}`"] for c in docs.columns))
+    key = ["doc_id", "text_hash"]
+    told = decisions.groupBy(*key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    told = written(told.where("not kept or n > 1"), "decided")
+    maybe = among(told.select(F.xxhash64(*key).alias("key")))
+    id_, hash_ = F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))
+    rows = docs.select(F.struct("*").alias("row")).select("row", id_.alias("doc_id"), hash_.alias("text_hash")).where("doc_id is not null")
+    rows = rows.withColumn("maybe", maybe(F.xxhash64(*key)))
+    moved = rows.where("maybe").join(told.where("not kept").hint("shuffle_hash"), key, "left_anti").dropDuplicates(key)
+    return rows.where("not maybe").select("row.*").unionByName(moved.select("row.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
