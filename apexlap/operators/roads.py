@@ -20,6 +20,7 @@ from ..functions.smoothing import reach
 from ..sources.staging import written
 from .chunks import CHUNK, add_running_sums, chunk_window, in_chunks, own_rows
 from .motion import positions_in_chunks, with_smoothed
+from .quantiles import exact_quantiles
 
 #: Patterns of road classes; links of a class match with it.
 MAIN_ROADS = "motorway|trunk|primary|secondary|tertiary"
@@ -158,12 +159,26 @@ def errors_side_by_side(points: DataFrame, errors: DataFrame, times: DataFrame |
     return rows.join(times.select("session_id", "sample_idx", "timestamp"), ["session_id", "sample_idx"], "left").select("session_id", "method", "sample_idx", "timestamp", *columns)
 
 
-def accuracy(errors: DataFrame, by: Sequence[str] = ("session_id", "method", "series")) -> DataFrame:
-    """Twelve error metrics of each group; percentiles are exact and linear."""
-    e = F.when(~F.isnan("error_m") & (F.abs("error_m") != float("inf")), F.col("error_m"))
-    q = F.percentile(e, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95, 0.99))))
+QUANTILES = {"p50_m": 0.5, "p75_m": 0.75, "p90_m": 0.9, "p95_m": 0.95, "p99_m": 0.99}
+
+
+def accuracy(errors: DataFrame, by: Sequence[str] = ("session_id", "method", "series"), percentiles: str = "buffered") -> DataFrame:
+    """Twelve error metrics of each group; percentiles are linear.
+
+    percentiles: 'buffered' are exact and hold a group's distinct values in one
+    task, which suits groups within a session; 'refined' are exact for groups of
+    any size, in several passes; 'approximate' take one pass.
+    """
+    if percentiles not in ("buffered", "refined", "approximate"):
+        raise ValueError(f"unknown percentiles {percentiles!r}")
+    e = finite(F.col("error_m"))
+    if percentiles == "refined":
+        errors = written(errors.select(*by, "error_m"), "errors")
+        a = errors.groupBy(*by).agg(F.count(e).alias("n_points"), F.avg(e).alias("mean_m"), F.sqrt(F.avg(e * e)).alias("rms_m"), F.stddev_samp(e).alias("std_m"), F.max(e).alias("max_m"), F.min(e).alias("min_m"))
+        return a.join(exact_quantiles(errors, by, "error_m", QUANTILES), list(by), "left").withColumn("median_m", F.col("p50_m")).select(*by, *METRICS)
+    q = (F.percentile if percentiles == "buffered" else F.percentile_approx)(e, F.array(*map(F.lit, QUANTILES.values())))
     a = errors.groupBy(*by).agg(F.count(e).alias("n_points"), F.avg(e).alias("mean_m"), F.sqrt(F.avg(e * e)).alias("rms_m"), F.stddev_samp(e).alias("std_m"), q.alias("q"), F.max(e).alias("max_m"), F.min(e).alias("min_m"))
-    names = dict(zip(["p50_m", "p75_m", "p90_m", "p95_m", "p99_m"], range(5), strict=True))
+    names = {n: i for i, n in enumerate(QUANTILES)}
     return a.withColumns({"median_m": F.get("q", F.lit(0)), **{n: F.get("q", F.lit(i)) for n, i in names.items()}}).select(*by, *METRICS)
 
 
@@ -204,8 +219,9 @@ def track_distance(points: DataFrame, centres: DataFrame, chunk: int = CHUNK) ->
 
 
 def lap_markers(points: DataFrame, laps: DataFrame, centres: DataFrame) -> DataFrame:
-    """The two end samples of each lap in local metres."""
-    at = track_distance(points, centres).select("session_id", "sample_idx", "x", "y")
+    """The two end samples of each lap in local metres; those without a position are left out."""
+    x, y = latlon_to_enu(F.col("lat_smooth"), F.col("lon_smooth"), F.col("lat0"), F.col("lon0"))
+    at = points.join(centres, "session_id").select("session_id", "sample_idx", x.alias("x"), y.alias("y")).where("x is not null and y is not null")
     out = None
     for end in ("start", "end"):
         m = laps.select("session_id", "lap_number", F.col(f"{end}_sample_idx").alias("sample_idx"), F.lit(end).alias("marker")).join(at, ["session_id", "sample_idx"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..operators import corners, deltas, laps, layers, motion, nearest, roads
-from ..sources import export, logs
+from ..sources import export, logs, results
 from ..sources.staging import shared_dir, written
 from . import fixtures, session
 from .sql import SQL as SQL
@@ -265,5 +265,74 @@ def error_histogram(spark, sf_dir):
     return roads.error_histogram(_errors(spark, sf_dir, ("ma",))[1]).select("session_id", "series", "bin", "n", *_digits(density=6))
 
 
-_ALL = (metrics, imu_metrics, smoothing, telemetry, plausible_laps, wide_laps, raw_lap_ids, lap_annotation, sectors, lap_deltas, delta_at_distance, comparable_laps, curvature, heatmap, speed_legend, lap_segments, lap_features, track_geojson, log_series, log_records, log_files, exported_laps, session_documents, nearest_samples, nearest_in_lap, road_errors, validation_rows, accuracy, accuracy_summary, box_plot, track_distance, method_comparison, comparison_table, error_histogram)
+def lap_markers(spark, sf_dir):
+    """Both ends of every lap in metres from the mean smoothed position."""
+    points = written(roads.method_points(fixtures.tracks(spark, sf_dir), ("ma",), 5), "points")
+    m = roads.lap_markers(points, _laps(spark, sf_dir)[1].where("not is_partial"), roads.reference_points(points))
+    return m.select("session_id", "lap_number", "marker", "sample_idx", *_digits(x=4, y=4))
+
+
+def trajectory(spark, sf_dir):
+    """Samples by plausible laps, as the accuracy jobs see them."""
+    series = fixtures.tracks(spark, sf_dir)
+    starts = series.select(F.col("session_id").alias("file_name"), F.lit(START[0]).alias("lat"), F.lit(START[1]).alias("lon")).distinct()
+    samples, _ = session.load_trajectory(series, starts, "ma", 5)
+    return samples.select("session_id", "sample_idx", "lap_index", "lap_elapsed_s", *_digits(lap_distance_m=3))
+
+
+def stored_session(spark, sf_dir):
+    """One session's telemetry from a table stored by session."""
+    folder = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    _telemetry(spark, sf_dir).write.partitionBy("session_id").parquet(folder)
+    one = export.stored(spark, folder, "3")
+    return one.select(F.col("session_id").cast("string").alias("session_id"), "sample_idx", "speed_mph", *_digits(distance_m=4))
+
+
+def validation_files(spark, sf_dir):
+    """Validation rows with their times, written as CSV and read back."""
+    folder = f"{shared_dir(spark)}/validation-{uuid.uuid4().hex}"
+    times = fixtures.tracks(spark, sf_dir).select("session_id", "sample_idx", F.col("timestamp_ms").cast("long").alias("timestamp"))
+    export.export_validation_csv(roads.errors_side_by_side(*_errors(spark, sf_dir, ("ma",)), times), folder)
+    number = lambda c, n: half_up(F.col(c).try_cast("double"), n).alias(c)
+    rows = spark.read.csv(folder, header=True)
+    return rows.select(F.col("session_id").cast("string").alias("session_id"), "method", F.col("sample_idx").cast("long").alias("sample_idx"), F.col("timestamp").cast("long").alias("timestamp"), *(number(f"{c}_{s}", 8) for c in ("lat", "lon") for s in ("raw", "smooth")), *(number(f"dist_error_{s}_m", 4) for s in ("raw", "smooth")))
+
+
+def overall_accuracy(spark, sf_dir):
+    """Error metrics over all sessions, percentiles by refinement."""
+    a = roads.accuracy(_errors(spark, sf_dir, ("ma",))[1], ("series",), "refined")
+    return a.select("series", "n_points", *_digits(**{m: 4 for m in roads.METRICS[1:]}))
+
+
+def stored_accuracy(spark, sf_dir):
+    """Two methods' metrics from stored results: a second call computes only what the first left."""
+    folder = f"{shared_dir(spark)}/accuracy-{uuid.uuid4().hex}"
+    sessions = fixtures.tracks(spark, sf_dir).select("session_id").distinct()
+    all_series = fixtures.tracks(spark, sf_dir)
+
+    def compute(missing: DataFrame) -> DataFrame:
+        methods = sorted(r.method for r in missing.select("method").distinct().collect())
+        points = written(roads.method_points(all_series.join(missing.select("session_id").distinct(), "session_id", "left_semi"), methods), "points")
+        points = written(points.join(missing, ["session_id", "method"], "left_semi"), "points")
+        centres = written(roads.reference_points(points), "centres")
+        near = written(roads.roads_of_sessions(points, fixtures.roads(spark, sf_dir), centres), "roads")
+        errors = roads.road_errors(roads.both_series(points), near, centres)
+        return roads.accuracy(errors.where("series = 'smooth'"), ("session_id", "method")).select("n_points", "mean_m", "p95_m", "max_m", "session_id", "method")
+
+    for methods in (["ma"], ["ma", "gaussian"]):
+        wanted = sessions.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+        computed = results.update_results(folder, wanted, compute)
+    again = computed.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_list("method")), ",").alias("second_call"))
+    rows = results.read_results(spark, folder, "n_points long, mean_m double, p95_m double, max_m double, session_id string, method string")
+    return rows.join(again, "session_id").select("session_id", "method", "n_points", "second_call", *_digits(mean_m=4, p95_m=4, max_m=4))
+
+
+def log_quality(spark, sf_dir):
+    """Every thirteenth line is cut short, every seventeenth has no declared type."""
+    n = F.col("line_no")
+    line = F.when(n % 13 == 5, F.substring_index("line", ",", 2)).when(n % 17 == 3, F.concat(F.lit("#"), "line")).otherwise(F.col("line"))
+    return logs.log_quality(fixtures.log_lines(spark, sf_dir).withColumn("line", line), fixtures.HEADERS)
+
+
+_ALL = (lap_markers, trajectory, stored_session, validation_files, overall_accuracy, stored_accuracy, log_quality, metrics, imu_metrics, smoothing, telemetry, plausible_laps, wide_laps, raw_lap_ids, lap_annotation, sectors, lap_deltas, delta_at_distance, comparable_laps, curvature, heatmap, speed_legend, lap_segments, lap_features, track_geojson, log_series, log_records, log_files, exported_laps, session_documents, nearest_samples, nearest_in_lap, road_errors, validation_rows, accuracy, accuracy_summary, box_plot, track_distance, method_comparison, comparison_table, error_histogram)
 QUERIES = {"laps": lap_table, "corners": corner_table} | {f.__name__: f for f in _ALL}

@@ -280,4 +280,36 @@ ms as (select session_id, method, count(*) as n_points, avg(error_m) as mean_m,
 SQL["method_comparison"] = with_(BASE, THREE, recursive=False) + " select session_id, metric, arg_min(method, (value, case method when 'gaussian' then 1 when 'savgol' then 2 else 3 end)) as method, round(min(value), 4) as value from (unpivot (select session_id, method, mean_m, rms_m, std_m, median_m, p90_m, p95_m, max_m from ms) on mean_m, rms_m, std_m, median_m, p90_m, p95_m, max_m into name metric value value) group by 1, 2"
 SQL["comparison_table"] = with_(BASE, THREE, recursive=False) + """ select session_id, method as "Method", n_points, round(mean_m, 4) as mean_m, round(rms_m, 4) as rms_m, round(p95_m, 4) as p95_m from ms"""
 
+XY = """,
+sp as (select session_id, sample_idx, avg(lat) over w as la, avg(lon) over w as lo from trk window w as (partition by session_id order by sample_idx rows between 2 preceding and 2 following)),
+cn as (select session_id, avg(la) as lat0, avg(lo) as lon0 from sp group by 1),
+xy as (select p.session_id, sample_idx, radians(lo - lon0) * cos(radians(lat0)) * 6378137.0::double / sqrt(1 - 6.69437999014e-3::double * pow(sin(radians(lat0)), 2)) as x,
+  radians(la - lat0) * 6378137.0::double / sqrt(1 - 6.69437999014e-3::double * pow(sin(radians(lat0)), 2)) as y from sp p join cn using (session_id))"""
+SQL["lap_markers"] = with_(BASE, METRICS, LAPS, XY) + """,
+en as (select session_id, lap_number, 'start' as marker, start_sample_idx as sample_idx from laps where not is_partial union all select session_id, lap_number, 'end', end_sample_idx from laps where not is_partial)
+select e.session_id, e.lap_number, e.marker, e.sample_idx, round(x, 4) as x, round(y, 4) as y from en e join xy on xy.session_id = e.session_id and xy.sample_idx = e.sample_idx where x is not null and y is not null"""
+SQL["trajectory"] = with_(BASE, METRICS, LAPS) + """,
+ok as (select session_id, start_sample_idx as s, end_sample_idx as e from laps where lap_time_s >= 20 and distance_m >= 150),
+pl as (select * from ok union all select session_id, 0, n from size_ where n > 0 and session_id not in (select session_id from ok)),
+pn as (select *, row_number() over (partition by session_id order by s) as k from pl),
+z as (select t.session_id, t.sample_idx, arg_max(pn.k, pn.s) as k, max(pn.s) as s from tel t join pn on pn.session_id = t.session_id and t.sample_idx between pn.s and pn.e group by 1, 2)
+select t.session_id, t.sample_idx, cast(z.k as int) as lap_index, round(t.elapsed_s - x.elapsed_s, 3) as lap_elapsed_s, round(t.distance_m - x.distance_m, 3) as lap_distance_m
+from tel t left join z on z.session_id = t.session_id and z.sample_idx = t.sample_idx left join tel x on x.session_id = z.session_id and x.sample_idx = z.s"""
+SQL["stored_session"] = with_(BASE, METRICS, recursive=False) + " select session_id, sample_idx, speed_mph, round(distance_m, 4) as distance_m from tel where session_id = '3'"
+SQL["validation_files"] = with_(BASE, ROADS, recursive=False) + """
+select p.session_id, 'ma' as method, p.sample_idx, cast(t.timestamp_ms as bigint) as timestamp, round(lat_raw, 8) as lat_raw, round(lon_raw, 8) as lon_raw, round(lat_smooth, 8) as lat_smooth, round(lon_smooth, 8) as lon_smooth,
+  round(a.error_m, 4) as dist_error_raw_m, round(b.error_m, 4) as dist_error_smooth_m
+from sp p join trk t on t.session_id = p.session_id and t.sample_idx = p.sample_idx
+  left join er a on a.session_id = p.session_id and a.sample_idx = p.sample_idx and a.series = 'raw' left join er b on b.session_id = p.session_id and b.sample_idx = p.sample_idx and b.series = 'smooth'"""
+SQL["overall_accuracy"] = SQL["accuracy"].replace("select session_id, series, count(*)", "select series, count(*)").replace("from er group by 1, 2", "from er group by 1")
+TWO = THREE.replace("from sm3 group by 1)", "from sm3 where method = '{m}' group by 1)").replace("from sm3 p join cn", "from sm3 p join cn").replace("where lat is not null and lon is not null)", "where lat is not null and lon is not null and method = '{m}')")
+SQL["stored_accuracy"] = " union all ".join(f"select session_id, method, n_points, 'gaussian' as second_call, round(mean_m, 4) as mean_m, round(p95_m, 4) as p95_m, round(max_m, 4) as max_m from ({with_(BASE, TWO.replace('{m}', m), recursive=False)} select * from ms)" for m in ("ma", "gaussian"))
+SQL["log_quality"] = LOGS.replace("select sid, rn, event_type, event_id, v,", "select sid, rn, event_type as kind, case when rn % 13 <> 5 and rn % 17 = 3 then 'none' else event_type end as event_type, event_id, v,").replace("event_type = 'signup' as fix, coalesce(lag(event_type = 'signup') over", "event_type = 'signup' and not (rn % 13 <> 5 and rn % 17 = 3) as fix, coalesce(lag(event_type = 'signup' and not (rn % 13 <> 5 and rn % 17 = 3)) over") + """,
+r as (select *, event_type = 'none' as unknown, rn % 13 = 5 as cut from q),
+g as (select sid, step, count(*) as n, count(*) filter (cut and event_type in ('signup', 'click', 'error', 'view')) as short,
+  coalesce(first(case when cut then null when event_id % 11 = 0 then null else ms end order by rn) filter (event_type = 'signup'), first(ms order by rn) filter (event_type not in ('signup', 'click', 'error', 'view'))) as ms,
+  avg(cast('40.' || v as double)) filter (event_type = 'signup') as lat, avg(cast('-80.' || v as double)) filter (event_type = 'signup' and not cut) as lon from r where not unknown group by 1, 2)
+select cast(r.sid as varchar) as session_id, count(*) as n_lines, count(*) filter (unknown) as n_unknown, any_value(x.n_short)::bigint as n_short, any_value(x.n_steps) as n_steps, any_value(x.n_untimed) as n_untimed, any_value(x.n_placed) as n_placed, any_value(x.n_placed) > 0 as has_position
+from r join (select sid, sum(short) as n_short, count(*) as n_steps, count(*) filter (ms is null) as n_untimed, count(*) filter (ms is not null and lat is not null and lon is not null) as n_placed from g group by 1) x on x.sid = r.sid group by 1"""
+
 SQL = {name: exact(text) for name, text in SQL.items()}

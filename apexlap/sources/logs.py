@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_float
@@ -67,16 +67,27 @@ def parse_records(lines: DataFrame, headers: dict[str, list[str]], drop_last_fie
     return df.select("session_id", "timestep", "record_type", entry.alias("entry_no"), "line_no", fields.alias("fields"))
 
 
-def time_series(records: DataFrame) -> DataFrame:
+def _short() -> Column:
+    """Whether a record has fewer fields than declared."""
+    return F.exists(F.map_values("fields"), lambda v: v.isNull())
+
+
+def _time() -> Column:
+    """Milliseconds of a step: of its first fix, else of its first raw record."""
+    text = lambda k, n: F.min_by(F.when(F.col("record_type") == k, F.col("fields")[n]), F.when(F.col("record_type") == k, F.col("line_no")))
+    return F.coalesce(F.nullif(text("Fix", "UnixTimeMillis"), F.lit("")), F.nullif(text("Raw", "utcTimeMillis"), F.lit(""))).try_cast("double")
+
+
+def time_series(records: DataFrame, seen: Observation | None = None) -> DataFrame:
     """One row for each step with a time: means of its fixes, its first accelerometer and gyroscope entries.
 
     The calibrated sensor wins if a step has one, even with bad values.
-    has_accel tells whether any step of the session has such a record.
+    has_accel tells whether any step of the session has such a record. seen
+    gets the totals n_records, n_short and n_untimed (steps that are dropped) of
+    the pass that reads the series.
     """
     kind, field = F.col("record_type"), lambda n: F.col("fields")[n]
     fix = lambda n: F.avg(F.when(kind == "Fix", safe_float(field(n))))
-    text = lambda k, n: F.min_by(F.when(kind == k, field(n)), F.when(kind == k, F.col("line_no")))
-
     def sensor(name: str, unit: str, alias: str) -> list:
         out = []
         for axis in "XYZ":
@@ -84,8 +95,28 @@ def time_series(records: DataFrame) -> DataFrame:
             out.append(F.coalesce(first(name), first(f"Uncal{name}"))["v"].alias(f"{alias}_{axis.lower()}"))
         return out
 
-    ms = F.coalesce(F.nullif(text("Fix", "UnixTimeMillis"), F.lit("")), F.nullif(text("Raw", "utcTimeMillis"), F.lit(""))).try_cast("double")
-    steps = records.groupBy("session_id", "timestep").agg(ms.alias("timestamp_ms"), fix("LatitudeDegrees").alias("lat"), fix("LongitudeDegrees").alias("lon"), fix("AltitudeMeters").alias("alt"), fix("SpeedMps").alias("speed_mps"), fix("AccuracyMeters").alias("pos_accuracy_m"), *sensor("Accel", "Mps2", "imu_accel"), *sensor("Gyro", "RadPerSec", "imu_gyro"), F.max(kind.isin("Accel", "UncalAccel")).alias("step_accel"))
-    s = steps.withColumn("has_accel", F.max("step_accel").over(Window.partitionBy("session_id"))).drop("step_accel").where("timestamp_ms is not null and not isnan(timestamp_ms)")
+    steps = records.groupBy("session_id", "timestep").agg(_time().alias("timestamp_ms"), fix("LatitudeDegrees").alias("lat"), fix("LongitudeDegrees").alias("lon"), fix("AltitudeMeters").alias("alt"), fix("SpeedMps").alias("speed_mps"), fix("AccuracyMeters").alias("pos_accuracy_m"), *sensor("Accel", "Mps2", "imu_accel"), *sensor("Gyro", "RadPerSec", "imu_gyro"), F.max(kind.isin("Accel", "UncalAccel")).alias("step_accel"), F.count(F.lit(1)).alias("n"), F.sum(_short().cast("long")).alias("short"))
+    if seen is not None:
+        steps = steps.observe(seen, F.sum("n").alias("n_records"), F.sum("short").alias("n_short"), F.count_if(F.col("timestamp_ms").isNull() | F.isnan("timestamp_ms")).alias("n_untimed"))
+    s = steps.drop("n", "short").withColumn("has_accel", F.max("step_accel").over(Window.partitionBy("session_id"))).drop("step_accel").where("timestamp_ms is not null and not isnan(timestamp_ms)")
     order = Window.partitionBy("session_id").orderBy("timestamp_ms", "timestep")
     return s.withColumns({"timestamp": F.timestamp_micros(F.round(F.col("timestamp_ms") * 1000).cast("long")), "sample_idx": F.row_number().over(order) - 1})
+
+
+def log_quality(lines: DataFrame, headers: dict[str, list[str]]) -> DataFrame:
+    """One row for each session: n_lines, n_unknown, n_short, n_steps, n_untimed, n_placed, has_position.
+
+    n_unknown: lines of no declared type; n_short: records with fewer fields
+    than declared; n_untimed: steps that a series drops for lack of a time;
+    n_placed: timed steps with a position. Everything comes from one parsing of
+    the lines, by time step and then by session.
+    """
+    records = parse_records(lines, headers)
+    kind, field = F.col("record_type"), lambda n: F.col("fields")[n]
+    mean = lambda n: F.avg(F.when(kind == "Fix", safe_float(field(n))))
+    steps = records.groupBy("session_id", "timestep").agg(F.count(F.lit(1)).alias("n"), F.sum(_short().cast("long")).alias("short"), _time().alias("ms"), mean("LatitudeDegrees").alias("lat"), mean("LongitudeDegrees").alias("lon"))
+    timed = F.col("ms").isNotNull() & ~F.isnan("ms")
+    by = steps.groupBy("session_id").agg(F.sum("n").alias("n"), F.sum("short").alias("n_short"), F.count(F.lit(1)).alias("n_steps"), F.count_if(~timed).alias("n_untimed"), F.count_if(timed & F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("n_placed"))
+    total = lines.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines")).join(by, "session_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return total.select("session_id", "n_lines", (F.col("n_lines") - F.coalesce("n", F.lit(0))).alias("n_unknown"), *(count(c) for c in ("n_short", "n_steps", "n_untimed", "n_placed")), (F.coalesce("n_placed", F.lit(0)) > 0).alias("has_position"))
