@@ -84,8 +84,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     lenders = groups.join(stored().select("digest"), "digest", "left_anti")
     misses = written(lenders.select("digest", F.coalesce("of.doc_id", F.lit(-1)).alias("id"), F.col("of.text_hash").alias("hash")), "misses")
     if not misses.isEmpty():
-        lends = among(misses.select(F.xxhash64("id", "hash").alias("key")))
-        keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash")).where(lends(F.xxhash64("id", "hash")))
+        keyed = texts.select("text", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("text_hash").alias("hash"))
+        keyed = among(keyed, F.xxhash64("id", "hash"), misses.select(F.xxhash64("id", "hash").alias("key")))
         counted = keyed.join(misses.hint("shuffle_hash"), ["id", "hash"]).select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
         counted.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     discard(misses)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..sources.staging import discard, shared_dir, written
 from . import kernels as K
@@ -82,23 +81,29 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["word", "bits"])
 
 
-def among(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test for a long column that is true for every key in the one column of keys, and for few others.
+def among(rows: DataFrame, key: Column, keys: DataFrame, mark: str | None = None) -> DataFrame:
+    """The rows whose key, a long, can be among the one column of keys; or with mark all rows, with a boolean of that name.
 
     A Bloom filter of FILTER_BITS, eight megabytes however many keys there are,
-    so that rows which surely have no partner need not move for a join. With
-    more keys than a tenth of its bits it lets more and more of the others pass,
-    and costs as much as without it at most.
+    so that rows which surely have no partner need not move for a join. No row
+    with a partner is missed. With more keys than a tenth of its bits it lets
+    more and more of the others pass, and costs as much as without it at most.
     """
-    spark = keys.sparkSession
+    small_batches(rows.sparkSession)
     found = keys.mapInArrow(_fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.int64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy()
-    held = spark.sparkContext.broadcast(np.ascontiguousarray(words))
-
-    @F.pandas_udf("boolean")
-    def test(key: pd.Series) -> pd.Series:
-        at = _bits(key.to_numpy().astype(np.int64))
-        return pd.Series(((held.value[at >> 6] >> (at & 63)) & 1).all(0))
-
-    return test
+    held = rows.sparkSession.sparkContext.broadcast(words)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64))
+            maybe = pa.array(((held.value[at >> 6] >> (at & 63)) & 1).all(0))
+            own, names = batch.columns[:-1], batch.schema.names[:-1]
+            if mark:
+                yield pa.RecordBatch.from_arrays([*own, maybe], [*names, mark])
+            else:
+                yield pa.RecordBatch.from_arrays(own, names).filter(maybe)
+
+    schema = StructType([*rows.schema.fields, *([StructField(mark, BooleanType())] if mark else [])])
+    return rows.select("*", key.alias("key__")).mapInArrow(test, schema)

@@ -34,10 +34,9 @@ def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash"]
     told = decisions.groupBy(*key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     told = written(told.where("not kept or n > 1"), "decided")
-    maybe = among(told.select(F.xxhash64(*key).alias("key")))
     id_, hash_ = F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))
     rows = docs.select(F.struct("*").alias("row")).select("row", id_.alias("doc_id"), hash_.alias("text_hash")).where("doc_id is not null")
-    rows = rows.withColumn("maybe", maybe(F.xxhash64(*key)))
+    rows = among(rows, F.xxhash64(*key), told.select(F.xxhash64(*key).alias("key")), "maybe")
     moved = rows.where("maybe").join(told.where("not kept").hint("shuffle_hash"), key, "left_anti").dropDuplicates(key)
     return rows.where("not maybe").select("row.*").unionByName(moved.select("row.*"))
 

@@ -10,12 +10,12 @@ from apexlap.llm.storage import among
 
 def test_a_filter_loses_no_key(spark):
     keys = spark.range(0, 60_000, 3).select(F.xxhash64("id").alias("k"))
-    test = among(keys)
-    got = spark.range(60_000).where(test(F.xxhash64("id")))
-    assert got.where("id % 3 = 0").count() == 20_000 and got.where("id % 3 != 0").count() < 400
-    none = among(keys.limit(0))
-    assert spark.range(100).where(none(F.xxhash64("id"))).count() == 0
-    assert among(spark.createDataFrame([(0,), (-1,), (2**63 - 1,)], "k long")) is not None
+    rows, key = spark.range(60_000), F.xxhash64("id")
+    got = among(rows, key, keys)
+    assert got.columns == ["id"] and got.where("id % 3 = 0").count() == 20_000 and got.where("id % 3 != 0").count() < 400
+    marked = among(rows, key, keys, "maybe")
+    assert marked.count() == 60_000 and marked.where("maybe").count() == got.count()
+    assert among(rows, key, keys.limit(0)).count() == 0 and among(rows.limit(0), key, keys).count() == 0
 
 
 def test_a_warm_cache_with_one_miss(spark, tmp_path):
