@@ -18,7 +18,7 @@ START = [40.0, -80.0]
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.compute_derived_metrics(fixtures.tracks(spark, sf_dir))
+    return motion.compute_derived_metrics(written(fixtures.tracks(spark, sf_dir), "series"))
 
 
 def _telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def metrics(spark, sf_dir):
 def imu_metrics(spark, sf_dir):
     """Sessions of even number have an accelerometer, derived from the speed."""
     even = F.col("session_id").cast("int") % 2 == 0
-    t = fixtures.tracks(spark, sf_dir).withColumns({"has_accel": even, "imu_accel_y": F.when(even, F.col("speed_mps") * 0.3), "imu_accel_x": F.when(even, F.col("speed_mps") * -0.2)})
+    t = written(fixtures.tracks(spark, sf_dir), "series").withColumns({"has_accel": even, "imu_accel_y": F.when(even, F.col("speed_mps") * 0.3), "imu_accel_x": F.when(even, F.col("speed_mps") * -0.2)})
     return motion.compute_derived_metrics(t).select("session_id", "sample_idx", *_digits(long_accel_mps2=4, lat_accel_mps2=4))
 
 
@@ -213,7 +213,7 @@ def _points(spark, sf_dir) -> DataFrame:
 
 
 def _errors(spark, sf_dir, methods) -> tuple[DataFrame, DataFrame]:
-    points = written(roads.method_points(fixtures.tracks(spark, sf_dir), methods), "points")
+    points = written(roads.method_points(written(fixtures.tracks(spark, sf_dir), "series"), methods), "points")
     centres = written(roads.reference_points(points), "centres")
     near = written(roads.roads_of_sessions(points, fixtures.roads(spark, sf_dir), centres), "roads")
     return points, written(roads.road_errors(roads.both_series(points), near, centres), "errors")

@@ -15,8 +15,9 @@ from ..sources.staging import written
 def build_sessions(series: DataFrame, starts: DataFrame | None = None, **smoothing) -> dict[str, DataFrame]:
     """The eight results of every session: track, telemetry, laps, lap_features, lap_deltas, partial_lap_features, corners, heatmap.
 
-    Telemetry and laps are written once, as all others read them.
+    The series, telemetry and laps are written once, as all others read them.
     """
+    series = written(series, "series")
     telemetry = written(build_telemetry_records(compute_derived_metrics(series, **smoothing)), "telemetry")
     laps = written(detect_laps(telemetry, starts), "laps")
     annotated = written(annotate_lap_samples(telemetry, laps), "annotated")
@@ -36,6 +37,7 @@ def build_sessions(series: DataFrame, starts: DataFrame | None = None, **smoothi
 
 def load_trajectory(series: DataFrame, starts: DataFrame | None = None, smooth_method: str = "gaussian", smooth_window: int = 7) -> tuple[DataFrame, DataFrame]:
     """Smoothed telemetry with lap annotation, and the plausible laps, of every session."""
+    series = written(series, "series")
     telemetry = written(build_telemetry_records(compute_derived_metrics(series, smooth_method=smooth_method, smooth_window=smooth_window)), "telemetry")
     laps = written(plausible_laps(telemetry, detect_laps(telemetry, starts)), "laps")
     return annotate_lap_samples(telemetry, laps), laps
