@@ -13,7 +13,7 @@ from apexlap.plans import session
 from apexlap.sources import edges, export, logs, results
 
 
-@pytest.mark.parametrize("bins", [2, 5, 1024])
+@pytest.mark.parametrize("bins", [16, 1024])
 def test_quantiles_are_numpys(spark, bins):
     rng = random.Random(bins)
     groups = {"one": [3.5], "two": [1.0, 2.0], "same": [7.0] * 50, "ties": [float(rng.randint(0, 4)) for _ in range(200)], "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(60)], "near": [1.0 + i * 2.0**-52 for i in range(20)], "usual": [rng.gauss(0, 5) for _ in range(400)], None: [0.0, 4.0]}
