@@ -21,11 +21,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import discard, small_batches, written
+from .storage import discard, key_filter, may_hold, small_batches, written
 
 PATHS = "anchor long, c1 long, c2 long, doc_id long, pos long, run int, b1 long, b2 long, a1 long, a2 long, content binary"
 #: Positions take the low bits: a text has fewer than 2**31 bytes.
@@ -62,7 +63,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     return texts.join(slots, ["doc_id", "hash"], "left").select("doc_id", F.coalesce("slot", F.lit(0)).alias("slot"), "text")
 
 
-def _scan(spec: Windows):
+def _scan(spec: Windows, held: Broadcast | None = None):
+    """The runs of each text; with a filter, those whose anchor it may hold."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, slot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -70,6 +73,9 @@ def _scan(spec: Windows):
                 values, ranges, _, _ = spec.tokens(data, offsets)
                 row_end = np.repeat(ranges[1:], np.diff(ranges))
                 first, run, off, anchor = K.super_kmers(values, row_end, spec.length, spec.k)
+                if held is not None:
+                    maybe = may_hold(held, anchor)
+                    first, run, anchor = first[maybe], run[maybe], anchor[maybe]
                 row = np.searchsorted(ranges, first, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(ids[lo + row]), pa.array(first - ranges[row] + (slot[lo + row].astype(np.int64) << SLOT)), pa.array(run.astype(np.int32))], ["anchor", "doc_id", "pos", "run"])
 
@@ -128,9 +134,12 @@ def paths(texts: DataFrame, spec: Windows, within: bool, links: bool = False) ->
 
     within: an anchor that repeats in one document alone counts too.
     """
-    runs = texts.mapInArrow(_scan(spec), "anchor long, doc_id long, pos long, run int")
+    row = "anchor long, doc_id long, pos long, run int"
+    runs = texts.mapInArrow(_scan(spec), row)
     many = F.count(F.lit(1)) > 1 if within else F.min("doc_id") < F.max("doc_id")
     repeated = written(runs.groupBy("anchor").agg(many.alias("many")).where("many").select("anchor"), "anchors")
+    # runs of other anchors end where they are found, but for the few that the filter can't tell apart
+    runs = texts.mapInArrow(_scan(spec, key_filter(repeated)), row)
     kept = runs.join(repeated.hint("shuffle_hash"), "anchor", "left_semi").withColumn("slot", F.shiftright("pos", SLOT).cast("int"))
     kept = written(kept.groupBy("doc_id", "slot").agg(F.collect_set(F.struct("pos", "run", "anchor")).alias("runs")), "kept")
     discard(repeated)

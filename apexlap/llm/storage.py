@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -13,7 +14,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..sources.staging import discard, shared_dir, written
 from . import kernels as K
 
-__all__ = ["among", "carried", "discard", "frequent", "joined", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
+__all__ = ["among", "carried", "discard", "frequent", "joined", "key_filter", "may_hold", "row_and", "shared_dir", "small_batches", "uncarried", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -81,24 +82,32 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part])], ["word", "bits"])
 
 
+def key_filter(keys: DataFrame) -> Broadcast:
+    """What `may_hold` asks for the one column of keys, longs, in every worker: FILTER_BITS, eight megabytes however many they are."""
+    found = keys.mapInArrow(_fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def may_hold(held: Broadcast, keys: np.ndarray) -> np.ndarray:
+    """True for every 64-bit key that the filter has, and for few others; for more and more of them when it has over a tenth of its bits."""
+    at = _bits(keys)
+    return ((held.value[at >> 6] >> (at & 63)) & 1).all(0)
+
+
 def among(rows: DataFrame, key: Column, keys: DataFrame, mark: str | None = None) -> DataFrame:
     """The rows whose key, a long, can be among the one column of keys; or with mark all rows, with a boolean of that name.
 
-    A Bloom filter of FILTER_BITS, eight megabytes however many keys there are,
-    so that rows which surely have no partner need not move for a join. No row
-    with a partner is missed. With more keys than a tenth of its bits it lets
-    more and more of the others pass, and costs as much as without it at most.
+    Rows which surely have no partner need not move for a join, and no row with
+    a partner is missed. It never costs more than the pass of the rows.
     """
     small_batches(rows.sparkSession)
-    found = keys.mapInArrow(_fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy()
-    held = rows.sparkSession.sparkContext.broadcast(words)
+    held = key_filter(keys)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bits(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64))
-            maybe = pa.array(((held.value[at >> 6] >> (at & 63)) & 1).all(0))
+            maybe = pa.array(may_hold(held, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)))
             own, names = batch.columns[:-1], batch.schema.names[:-1]
             if mark:
                 yield pa.RecordBatch.from_arrays([*own, maybe], [*names, mark])
