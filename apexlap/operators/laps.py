@@ -88,8 +88,12 @@ def fallback_ranges(telemetry: DataFrame) -> DataFrame:
 
 def lap_records(telemetry: DataFrame, ranges: DataFrame) -> DataFrame:
     """Start and end time, duration and distance of each range, from its two end samples."""
-    ends = [telemetry.select("session_id", F.col("sample_idx").cast("long").alias(f"{x}_idx"), F.col("timestamp").alias(f"{x}_time"), F.col("distance_m").alias(f"{x}_d")) for x in ("start", "end")]
-    r = ranges.join(ends[0], ["session_id", "start_idx"]).join(ends[1], ["session_id", "end_idx"])
+    at = F.explode(F.array(*(F.struct(F.lit(x).alias("which"), F.col(f"{x}_idx").alias("sample_idx")) for x in ("start", "end")))).alias("at")
+    both = ranges.select("session_id", "range_no", "start_idx", "end_idx", at).select("session_id", "range_no", "start_idx", "end_idx", "at.*")
+    samples = telemetry.select("session_id", F.col("sample_idx").cast("long").alias("sample_idx"), "timestamp", F.col("distance_m").alias("d"))
+    one = lambda x, c: F.max(F.when(F.col("which") == x, F.col(c)))
+    r = both.join(samples, ["session_id", "sample_idx"]).groupBy("session_id", "range_no", "start_idx", "end_idx")
+    r = r.agg((F.max((F.col("which") == "start").cast("int")) + F.max((F.col("which") == "end").cast("int"))).alias("found"), *(one(x, c).alias(n) for x, c, n in (("start", "timestamp", "start_time"), ("end", "timestamp", "end_time"), ("start", "d", "start_d"), ("end", "d", "end_d")))).where("found = 2")
     seconds = F.unix_micros(F.to_timestamp("end_time")) - F.unix_micros(F.to_timestamp("start_time"))
     return r.select("session_id", "range_no", "start_time", "end_time", half_up(seconds / 1e6, 5).alias("lap_time_s"), half_up(F.col("end_d") - F.col("start_d"), 3).alias("distance_m"), F.col("start_idx").alias("start_sample_idx"), F.col("end_idx").alias("end_sample_idx"))
 
