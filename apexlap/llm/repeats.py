@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import discard, key_filter, may_hold, small_batches, written
 
-PATHS = "anchor long, c1 long, c2 long, doc_id long, pos long, run int, b1 long, b2 long, a1 long, a2 long, content binary"
+PATHS = "anchor long, c1 long, c2 long, doc_id long, pos long, run int, content binary"
+LINKS = "b1 long, b2 long, a1 long, a2 long"
 #: Positions take the low bits: a text has fewer than 2**31 bytes.
 SLOT = 32
 PLACE = (1 << SLOT) - 1
@@ -63,8 +64,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return texts.join(slots, ["doc_id", "hash"], "left").select("doc_id", F.coalesce("slot", F.lit(0)).alias("slot"), "text")
 
 
-def _scan(spec: Windows, held: Broadcast | None = None):
-    """The runs of each text; with a filter, those whose anchor it may hold."""
+def _scan(spec: Windows, held: Broadcast | None = None, anchors: bool = False):
+    """The runs of each text, or their anchors alone; with a filter, those whose anchor it may hold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,20 +77,25 @@ def _scan(spec: Windows, held: Broadcast | None = None):
                 if held is not None:
                     maybe = may_hold(held, anchor)
                     first, run, anchor = first[maybe], run[maybe], anchor[maybe]
+                if anchors:
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor))], ["anchor"])
+                    continue
                 row = np.searchsorted(ranges, first, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(anchor)), pa.array(ids[lo + row]), pa.array(first - ranges[row] + (slot[lo + row].astype(np.int64) << SLOT)), pa.array(run.astype(np.int32))], ["anchor", "doc_id", "pos", "run"])
 
     return rows
 
 
-def _paths(spec: Windows, links: bool):
-    """For each document its repeated runs with their content's digest; the content once for each task.
+def _paths(spec: Windows, names: list[str], links: bool):
+    """For each document its repeated runs with their content's digest.
 
+    The content comes with a row that is the content's first in the task, or
+    lies before all rows seen so far, so the first of all is among these.
     links: with the digests of the runs that touch it before and after, 0 where none does.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             ids, slot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             runs = batch.column(3)
@@ -108,34 +114,38 @@ def _paths(spec: Windows, links: bool):
                 e = s + r + spec.length - 1
                 if begin is not None:
                     s, e = begin[s], begin[e] - 1
-                c1, c2, content = np.empty(len(s), K.U64), np.empty(len(s), K.U64), []
-                for i, (a, b, x) in enumerate(zip(s.tolist(), e.tolist(), h.tolist(), strict=True)):
-                    span = raw[a:b]
-                    digest = xxhash.xxh3_128_intdigest(span)
-                    c1[i], c2[i] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
-                    key = (digest, x)
-                    content.append(None if key in seen else span)
-                    seen.add(key)
-                if len(seen) > 1_000_000:
+                place = p + (slot[lo + row].astype(np.int64) << SLOT)
+                spans = [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+                digests = [xxhash.xxh3_128_digest(x) for x in spans]
+                c1, c2 = (K.signed(x) for x in np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).T.astype(K.U64))
+                content = []
+                for span, digest, here in zip(spans, digests, zip(ids[lo + row].tolist(), place.tolist(), strict=True), strict=True):
+                    known = seen.get(digest)
+                    new = known is None or here < known
+                    if new:
+                        seen[digest] = here
+                    content.append(span if new else None)
+                if len(seen) > 500_000:
                     seen.clear()
-                c1, c2, near = K.signed(c1), K.signed(c2), np.zeros((4, len(s)), np.int64)
-                if links and len(s) > 1:
+                out = [*map(pa.array, (h, c1, c2, ids[lo + row], place, r)), pa.array(content, pa.binary())]
+                if links:
+                    near = np.zeros((4, len(s)), np.int64)
                     touch = (row[1:] == row[:-1]) & (p[:-1] + r[:-1] == p[1:])
                     near[0, 1:], near[1, 1:] = np.where(touch, c1[:-1], 0), np.where(touch, c2[:-1], 0)
                     near[2, :-1], near[3, :-1] = np.where(touch, c1[1:], 0), np.where(touch, c2[1:], 0)
-                p = p + (slot[lo + row].astype(np.int64) << SLOT)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, c1, c2, ids[lo + row], p, r, *near)), pa.array(content, pa.binary())], PATHS.replace(",", "").split()[::2])
+                    out += map(pa.array, near)
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return rows
 
 
 def paths(texts: DataFrame, spec: Windows, within: bool, links: bool = False) -> DataFrame:
-    """A written table of runs of numbered texts whose anchor repeats: PATHS. content is null where another row has it.
+    """A written table of runs of numbered texts whose anchor repeats: PATHS, and LINKS if asked for. content is null where another row has it.
 
     within: an anchor that repeats in one document alone counts too.
     """
     row = "anchor long, doc_id long, pos long, run int"
-    runs = texts.mapInArrow(_scan(spec), row)
+    runs = texts.mapInArrow(_scan(spec, anchors=within), "anchor long" if within else row)
     many = F.count(F.lit(1)) > 1 if within else F.min("doc_id") < F.max("doc_id")
     repeated = written(runs.groupBy("anchor").agg(many.alias("many")).where("many").select("anchor"), "anchors")
     # runs of other anchors end where they are found, but for the few that the filter can't tell apart
@@ -143,7 +153,9 @@ def paths(texts: DataFrame, spec: Windows, within: bool, links: bool = False) ->
     kept = runs.join(repeated.hint("shuffle_hash"), "anchor", "left_semi").withColumn("slot", F.shiftright("pos", SLOT).cast("int"))
     kept = written(kept.groupBy("doc_id", "slot").agg(F.collect_set(F.struct("pos", "run", "anchor")).alias("runs")), "kept")
     discard(repeated)
-    found = texts.join(kept.hint("shuffle_hash"), ["doc_id", "slot"]).select("doc_id", "slot", "text", "runs").mapInArrow(_paths(spec, links), PATHS)
+    schema = f"{PATHS}, {LINKS}" if links else PATHS
+    found = texts.join(kept.hint("shuffle_hash"), ["doc_id", "slot"]).select("doc_id", "slot", "text", "runs")
+    found = found.mapInArrow(_paths(spec, schema.replace(",", "").split()[::2], links), schema)
     found = written(found, "paths")
     discard(kept)
     return found
@@ -157,6 +169,15 @@ def unique_paths(found: DataFrame, *more) -> DataFrame:
     return first.join(content, key).withColumns({"first_doc": F.col("first.doc_id"), "first_pos": F.col("first.pos")}).drop("first")
 
 
+def distinct_paths(found: DataFrame) -> DataFrame:
+    """What `unique_paths` returns without more aggregates, from the rows with content alone, which move once."""
+    key = ["anchor", "c1", "c2"]
+    rows = found.where("content is not null").repartition(*key)
+    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    rows = rows.groupBy(key).agg(first, F.first("run").alias("run"), F.first("content").alias("content"))
+    return rows.select(*key, "run", "content", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+
+
 def _cut(spec: Windows):
     """(doc_id, size, removed, spans, sha256 of what stays) of each document."""
     import hashlib

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .repeats import PLACE, SLOT, Windows, numbered, paths, unique_paths, without
+from .repeats import PLACE, SLOT, Windows, distinct_paths, numbered, paths, without
 from .storage import discard, written
 
 FIRSTS = "array<struct<d0:int,d1:int,first_doc:bigint,first_pos:bigint>>"
@@ -203,10 +203,18 @@ def _shard(length: int):
         if not parts or not sum(map(len, parts)):
             return
         table = pa.Table.from_batches(parts)
-        docs, pos = (table[c].to_numpy() for c in ("first_doc", "first_pos"))
-        firsts = first_windows(table["content"].to_pylist(), docs, pos, length)
-        out = table.select(["anchor", "c1", "c2"]).append_column("firsts", firsts)
-        yield from out.combine_chunks().to_batches()
+        _, group, contents = np.unique(table["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+        many = contents[group] > 1
+        single, several = (table.filter(pa.array(x)).combine_chunks() for x in (~many, many))
+        if len(single):
+            row = np.arange(len(single) + 1, dtype=np.int32)
+            whole = [pa.array(np.zeros(len(single), np.int32)), *(single[c].combine_chunks() for c in ("run", "first_doc", "first_pos"))]
+            firsts = pa.ListArray.from_arrays(pa.array(row), pa.StructArray.from_arrays(whole, ["d0", "d1", "first_doc", "first_pos"]))
+            yield from single.select(["anchor", "c1", "c2"]).append_column("firsts", firsts).combine_chunks().to_batches()
+        if len(several):
+            docs, pos = (several[c].to_numpy() for c in ("first_doc", "first_pos"))
+            firsts = first_windows(several["content"].to_pylist(), docs, pos, length)
+            yield from several.select(["anchor", "c1", "c2"]).append_column("firsts", firsts).combine_chunks().to_batches()
 
     return rows
 
@@ -241,19 +249,22 @@ def first_places(unique: DataFrame, window: int, lengths: list[int], shard_bytes
     """For each distinct run the first place of each of its windows: anchor, c1, c2, firsts.
 
     lengths: of the minimizers that split the runs of a minimizer whose
-    contents outgrow a shard, the window last.
+    contents outgrow a shard, the window last. Runs move to their shards once;
+    a shard sorts about shard_bytes and holds no more than four times that, of
+    minimizers with a single content too.
     """
     key = ["anchor", "c1", "c2"]
-    sizes = written(unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.length("content")).alias("bytes")).where("contents > 1"), "sizes")
-    sized = unique.join(sizes, "anchor", "left")
-    one = F.array(F.struct(F.lit(0).alias("d0"), F.col("run").alias("d1"), "first_doc", "first_pos")).cast(FIRSTS)
-    whole = sized.where("contents is null").select(*key, one.alias("firsts"))
-    fits, total = F.lit(True), sizes.where(F.col("bytes") <= shard_bytes).agg(F.sum("bytes")).first()[0] or 0
-    parts = []
+    size = F.sum(F.col("run") + F.lit(window - 1)).alias("bytes")
+    sizes = written(unique.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), size).where("contents > 1"), "sizes")
+    fits = F.col("bytes") <= shard_bytes if lengths else F.lit(True)
+    sorted_bytes = sizes.where(fits).agg(F.sum("bytes")).first()[0] or 0
+    all_bytes = unique.agg(size).first()[0] or 0
+    rows, parts = unique, []
     if lengths:
-        fits = F.col("bytes") <= shard_bytes
-        crowded = sized.where(~fits)
-        if not crowded.isEmpty():
+        big = sizes.where(~fits).select("anchor")  # no more of them than shards
+        if not big.isEmpty():
+            crowded = unique.join(F.broadcast(big), "anchor", "left_semi")
+            rows = unique.join(F.broadcast(big), "anchor", "left_anti")
             pieces = written(crowded.select(*key, "first_doc", "first_pos", "content").mapInArrow(_split(window, lengths[0]), PART), "pieces")
             at = F.min(F.struct("first_doc", "first_pos")).alias("at")
             inner = pieces.groupBy(key).agg(at, F.first("run").alias("run"), F.first("content").alias("content")).select(*key, "at.*", "run", "content")
@@ -261,12 +272,12 @@ def first_places(unique: DataFrame, window: int, lengths: list[int], shard_bytes
             moved = F.expr("transform(firsts, x -> struct(x.d0 + delta as d0, x.d1 + delta as d1, x.first_doc, x.first_pos))").cast(FIRSTS)
             outer = pieces.drop("content").join(places, key).select("p_anchor", "p_c1", "p_c2", moved.alias("firsts"))
             parts.append(outer.groupBy("p_anchor", "p_c1", "p_c2").agg(F.flatten(F.collect_list("firsts")).alias("firsts")).toDF(*key, "firsts"))
-    shards = max(1, -(-total // shard_bytes))
-    in_shards = sized.where("contents is not null").where(fits).select(*key, "first_doc", "first_pos", "content").repartition(shards, "anchor")
-    parts.append(in_shards.mapInArrow(_shard(window), f"anchor long, c1 long, c2 long, firsts {FIRSTS}"))
+    shards = max(1, -(-sorted_bytes // shard_bytes), -(-all_bytes // (4 * shard_bytes)))
+    in_shards = rows.select(*key, "first_doc", "first_pos", "run", "content").repartition(shards, "anchor")
+    out = in_shards.mapInArrow(_shard(window), f"anchor long, c1 long, c2 long, firsts {FIRSTS}")
     for x in parts:
-        whole = whole.unionByName(x)
-    return written(whole, "firsts")
+        out = out.unionByName(x)
+    return written(out, "firsts")
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard_bytes: int = 1 << 20) -> DataFrame:
@@ -276,15 +287,15 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, k: int = 28, shard
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
     """
     k = min(k, window)
-    spec = Windows("byte", window, k, 1 << 20)
+    spec = Windows("byte", window, k, 1 << 16)
     texts = numbered(docs)
     found = paths(texts, spec, within=True)
     key = ["anchor", "c1", "c2"]
-    unique = written(unique_paths(found), "unique")
+    unique = written(distinct_paths(found), "unique")
     lengths = sorted({min(window, max(k + 1, (k + window) // 2)), window} - {k})
     firsts = first_places(unique, window, lengths, shard_bytes)
     discard(unique)
     later = "x.first_doc < doc_id or (x.first_doc = doc_id and x.first_pos < pos + x.d0)"
     cuts = F.expr(f"transform(filter(firsts, x -> {later}), x -> struct((pos & {PLACE}L) + x.d0 as b, (pos & {PLACE}L) + x.d1 + {window - 1} as e))")
-    ranges = found.select(*key, "doc_id", "pos").join(firsts, key).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
+    ranges = found.select(*key, "doc_id", "pos").join(firsts.hint("shuffle_hash"), key).select("doc_id", F.shiftright("pos", SLOT).cast("int").alias("slot"), cuts.alias("cuts")).where("size(cuts) > 0")
     return without(texts, ranges, spec, found, firsts).withColumnRenamed("size", "n_bytes")
