@@ -12,6 +12,7 @@ can't be relied on goes to the library whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -30,6 +31,8 @@ _LEADING_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: The pattern of byte-level tokenizers that name no other.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNKS, PIECES = 300_000, 100_000
+#: Words of a table of arrays, some 60 bytes each.
+WORDS = 1 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -133,56 +136,62 @@ class SpacedIds:
     """Ids of texts of a byte-level tokenizer: a table of the ids of words with the space before them.
 
     Words are found by a 64-bit hash of their bytes, all words of a slice at
-    once; only words that are new to the table are looked at one by one.
+    once; only words that are new to the table are looked at one by one. It
+    starts anew when it is full.
     """
 
-    SLOTS = 20
-
     def __init__(self, path: str) -> None:
-        self.memo = Memo(path, _packed)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self._index()
+        self.memo, self.space = Memo(path, tuple), " ".translate(_byte_letters())
+        self._clear(0)
 
-    def _index(self) -> None:
-        """Slots by the hash's first bits, where the words known longest come first, and an order for the rest."""
-        self.slot = np.zeros(1 << self.SLOTS, np.int32)
-        self.slot[(self.keys[::-1] >> np.uint64(64 - self.SLOTS)).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int32)[::-1]
-        self.order = np.argsort(self.keys, kind="stable")
-        self.sorted = self.keys[self.order]
+    def _clear(self, expected: int) -> None:
+        """An empty table of four slots a word. Word 0 has no hash of its own; it stands for an empty slot."""
+        self.room = max(WORDS, expected)
+        self.bits = (4 * self.room - 1).bit_length()
+        self.slot, self.known = np.zeros(1 << self.bits, np.int32), 1
+        self.keys, self.starts, self.sizes = (np.zeros(self.room + 1, t) for t in (np.uint64, np.int64, np.int64))
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash in the table, -1 where it has none."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1, np.int64)
-        at = self.slot[(hashes >> np.uint64(64 - self.SLOTS)).astype(np.int64)].astype(np.int64)
-        miss = np.flatnonzero(self.keys[at] != hashes)
-        k = np.minimum(np.searchsorted(self.sorted, hashes[miss]), len(self.keys) - 1)
-        at[miss] = np.where(self.sorted[k] == hashes[miss], self.order[k], -1)
-        return at
-
-    def _ids_of(self, word: str) -> bytes:
+        """The place of each hash in the table, 0 where it has none: slots by its first bits and onwards, up to an empty one."""
+        place = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.slot[place]
+        left = ((self.keys[out] != hashes) & (out > 0)).nonzero()[0]
+        while len(left):
+            place[left] = (place[left] + 1) & (len(self.slot) - 1)
+            out[left] = at = self.slot[place[left]]
+            left = left[(self.keys[at] != hashes[left]) & (at > 0)]
+        return out
+
+    def _ids_of(self, word: str) -> tuple[int, ...]:
         """One of Latin letters alone is a single piece with its space."""
         if word.isascii() and word.isalpha():
-            return _packed([t.id for t in self.memo.model.tokenize(" ".translate(self.memo.letters) + word)])
+            return tuple([t.id for t in self.memo.model.tokenize(self.space + word)])
         return self.memo.value_of(" " + word)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(words) > CHUNKS:
-            self._clear()
+        """Adds words, which are new to the table and for which it has room."""
         ids = [self._ids_of(w) for w in words]
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        self.keys, self.sizes = np.concatenate([self.keys, hashes]), np.concatenate([self.sizes, sizes])
-        self._index()
+        new = np.arange(self.known, self.known + len(words), dtype=np.int32)
+        self.known += len(words)
+        self.keys[new], self.sizes[new] = hashes, [len(x) for x in ids]
+        ends = self.used + np.cumsum(self.sizes[new])
+        self.starts[new] = ends - self.sizes[new]
+        if ends[-1] > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(ends[-1], np.uint32))
+        self.flat[self.used : ends[-1]] = list(itertools.chain.from_iterable(ids))
+        self.used = int(ends[-1])
+        place = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(new):
+            free = self.slot[place] == 0
+            self.slot[place[free]] = new[free]
+            left = self.slot[place] != new
+            new, place = new[left], (place[left] + 1) & (len(self.slot) - 1)
 
     def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin."""
         plain = ["  " not in x and settled(x) and _SPACE_RUN.search(x) is None for x in texts]
-        heads = self.memo.values([x.split(" ", 1)[0] if p else x for x, p in zip(texts, plain, strict=True)], b"".join)
+        heads = self.memo.values([x.split(" ", 1)[0] if p else x for x, p in zip(texts, plain, strict=True)], lambda ids: tuple(itertools.chain.from_iterable(ids)))
         raw = [x.encode() if p else b"" for x, p in zip(texts, plain, strict=True)]
         data = np.frombuffer(b"".join(raw), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
@@ -194,14 +203,16 @@ class SpacedIds:
         end = np.minimum(end, offsets[text + 1])
         hashes = K.span_hashes(data, begin, end)
         at = self._find(hashes)
-        if (at < 0).any():
-            new, first = np.unique(hashes[at < 0], return_index=True)
-            first = np.flatnonzero(at < 0)[first]
-            if len(self.keys) + len(new) > CHUNKS:  # the table starts anew: with all words of these texts
+        if not at.all():
+            miss = np.flatnonzero(at == 0)
+            new, first = np.unique(hashes[miss], return_index=True)
+            first = miss[first]
+            if self.known + len(new) > self.room:  # the table starts anew: with all words of these texts
                 new, first = np.unique(hashes, return_index=True)
+                self._clear(len(new) + 1)
             self._learn(new, [data[begin[i] : end[i]].tobytes().decode() for i in first.tolist()])
             at = self._find(hashes)
-        size, head = self.sizes[at], np.array([len(x) // 4 for x in heads], np.int64)
+        size, head = self.sizes[at], np.array([len(x) for x in heads], np.int64)
         before = np.concatenate([[0], np.cumsum(size)])
         total = head + before[of[1:]] - before[of[:-1]]
         base = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
@@ -210,7 +221,7 @@ class SpacedIds:
         target = (base[:-1] + head - before[of[:-1]])[text] + before[:-1]
         out[np.repeat(target - before[:-1], size) + turn] = self.flat[np.repeat(self.starts[at] - before[:-1], size) + turn]
         for x, b in zip(heads, base[:-1].tolist(), strict=True):
-            out[b : b + len(x) // 4] = np.frombuffer(x, "<u4")
+            out[b : b + len(x)] = x
         return out, base
 
 
