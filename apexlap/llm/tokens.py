@@ -31,8 +31,8 @@ _LEADING_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: The pattern of byte-level tokenizers that name no other.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNKS, PIECES = 300_000, 100_000
-#: Words of a table of arrays, some 60 bytes each.
-WORDS = 1 << 20
+#: Words of a table of arrays, some 50 bytes each.
+WORDS = 1 << 19
 
 
 def tokenizer_path(name: str) -> str:
@@ -149,7 +149,7 @@ class SpacedIds:
         self.room = max(WORDS, expected)
         self.bits = (4 * self.room - 1).bit_length()
         self.slot, self.known = np.zeros(1 << self.bits, np.int32), 1
-        self.keys, self.starts, self.sizes = (np.zeros(self.room + 1, t) for t in (np.uint64, np.int64, np.int64))
+        self.keys, self.starts, self.sizes = (np.zeros(self.room + 1, t) for t in (np.uint64, np.int32, np.int32))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
