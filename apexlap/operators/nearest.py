@@ -6,7 +6,8 @@ the cells around it on all levels at once; the nearest sample that stands for
 one of these bounds its distance, and with it the level whose neighbours hold
 every sample that could be nearer. There the point meets the finest cells that
 have samples, drops those that lie beyond the best one, and only then samples.
-Each is one join on equal keys; nothing is repeated until it fits.
+Each is one join on equal keys; nothing is repeated until it fits. Samples of
+one place, and points of one place, go through it once.
 """
 
 from __future__ import annotations
@@ -65,31 +66,33 @@ def nearest_samples(points: DataFrame, samples: DataFrame, by: tuple[str, ...] =
     are points whose key has no sample; a repeated point is one. Extra columns
     are ignored.
     """
-    by, point = list(by), [*by, "point_id"]
-    s = samples.where(_finite("lat") & _finite("lon")).select(*by, F.col("sample_idx").alias("idx"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    s = s.withColumns({"cx": _grid(_turn(F.col("slon"))), "cy": _grid(F.col("slat") + 90.0)})
+    by, point, spot = list(by), [*by, "point_id"], [*by, "lat", "lon"]
+    q = points.where(_finite("lat") & _finite("lon")).select(*point, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    q = written(q.dropDuplicates(point), "points")
+    # of samples at one place only the first can be the answer, and points at one place have the same answer
+    s = samples.where(_finite("lat") & _finite("lon")).groupBy(*by, F.col("lat").alias("slat"), F.col("lon").alias("slon")).agg(F.min("sample_idx").alias("idx"))
+    s = written(s.withColumns({"cx": _grid(_turn(F.col("slon"))), "cy": _grid(F.col("slat") + 90.0)}), "places")
     box = {"lat_lo": F.min("slat"), "lat_hi": F.max("slat"), "lon_lo": F.min(_turn(F.col("slon"))), "lon_hi": F.max(_turn(F.col("slon")))}
     fine = written(s.groupBy(*by, "cx", "cy").agg(F.min(F.struct("idx", "slat", "slon")).alias("one"), *(v.alias(k) for k, v in box.items())), "cells")
     each = F.explode(F.array(*(F.lit(k) for k in range(TOP + 1)))).alias("level")
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level") * WIDER))
     known = fine.select("*", each).withColumns({"x": at("cx"), "y": at("cy")})
     key = [*by, "level", "x", "y"]
-    q = points.where(_finite("lat") & _finite("lon")).select(*point, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropDuplicates(point)
-    q = q.withColumns({"cx": _grid(_turn(F.col("lon"))), "cy": _grid(F.col("lat") + 90.0)})
+    spots = q.select(*spot).distinct().withColumns({"cx": _grid(_turn(F.col("lon"))), "cy": _grid(F.col("lat") + 90.0)})
     # how near a sample is for certain
-    around = q.select("*", each).select(*point, "lat", "lon", "cx", "cy", F.explode(_cells(F.col("level"))).alias("c")).select(*point, "lat", "lon", "cx", "cy", "c.*")
+    around = spots.select("*", each).select(*spot, "cx", "cy", F.explode(_cells(F.col("level"))).alias("c")).select(*spot, "cx", "cy", "c.*")
     stands = known.groupBy(*key).agg(F.min("one").alias("one"))
-    bound = around.join(stands, key).groupBy(*point).agg(F.min(haversine_m(F.col("lat"), F.col("lon"), F.col("one.slat"), F.col("one.slon"))).alias("within"), *(F.first(c).alias(c) for c in ("lat", "lon", "cx", "cy")))
+    bound = around.join(stands, key).groupBy(*spot, "cx", "cy").agg(F.min(haversine_m(F.col("lat"), F.col("lon"), F.col("one.slat"), F.col("one.slon"))).alias("within"))
     # the first level whose neighbouring cells reach that far in both directions
     reach = F.lit(None).cast("int")
     for k in reversed(range(TOP)):
         size = 360.0 / 2 ** (FINE - WIDER * k)
         north, east = SPHERE_M * math.radians(size), SPHERE_M * F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(size, 90.0))))
         reach = F.when((F.col("within") + SLACK_M <= north) & (F.col("within") + SLACK_M <= east), k).otherwise(reach)
-    asked = bound.withColumn("level", F.coalesce(reach, F.lit(TOP))).select(*point, "lat", "lon", "within", F.explode(_cells(F.col("level"))).alias("c")).select(*point, "lat", "lon", "within", "c.*")
+    asked = bound.withColumn("level", F.coalesce(reach, F.lit(TOP))).select(*spot, "within", F.explode(_cells(F.col("level"))).alias("c")).select(*spot, "within", "c.*")
     metres = haversine_m(F.col("lat"), F.col("lon"), F.col("one.slat"), F.col("one.slon"))
     near = asked.join(known, key).withColumn("gap", _gap_m(F.col("lat"), _turn(F.col("lon")))).where(F.col("gap") <= F.col("within") + SLACK_M)
-    near = near.withColumn("best", F.min(metres).over(Window.partitionBy(*point))).where(F.col("gap") <= F.col("best") + SLACK_M).select(*point, "lat", "lon", "cx", "cy")
+    near = near.withColumn("best", F.min(metres).over(Window.partitionBy(*spot))).where(F.col("gap") <= F.col("best") + SLACK_M).select(*spot, "cx", "cy")
     d = half_up(haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon")), 6)
-    found = near.join(s, [*by, "cx", "cy"]).groupBy(*point).agg(F.min(F.struct(d.alias("d"), "idx")).alias("n"))
-    return found.select(*point, F.col("n.idx").alias("sample_idx"), F.col("n.d").alias("distance_m"))
+    found = near.join(s, [*by, "cx", "cy"]).groupBy(*spot).agg(F.min(F.struct(d.alias("d"), "idx")).alias("n"))
+    return q.join(found, spot).select(*point, F.col("n.idx").alias("sample_idx"), F.col("n.d").alias("distance_m"))
