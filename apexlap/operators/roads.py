@@ -89,10 +89,24 @@ def roads_in_radius(centres: DataFrame, edges: DataFrame, dist: float = 500.0) -
 
 
 def roads_of_sessions(points: DataFrame, edges: DataFrame, centres: DataFrame, dist: float = 500.0) -> DataFrame:
-    """The first source with edges for each session: roads for driving in its box, around its centre, main roads in a wide box."""
-    found = roads_in_box(points, edges)
-    for more in (roads_in_radius(centres, edges, dist), roads_in_box(points, edges, 0.01, MAIN_ROADS)):
-        found = found.unionByName(more.join(found.select("session_id").distinct(), "session_id", "left_anti"))
+    """The first source with edges for each session: roads for driving in its box, around its centre, main roads in a wide box.
+
+    Later sources are searched only for the sessions that have no edge so far.
+    """
+    sources = [
+        lambda p, c: roads_in_box(p, edges),
+        lambda p, c: roads_in_radius(c, edges, dist),
+        lambda p, c: roads_in_box(p, edges, 0.01, MAIN_ROADS),
+    ]
+    found, left = None, None
+    for source in sources:
+        p, c = (df if left is None else df.join(left, "session_id", "left_semi") for df in (points, centres))
+        more = written(source(p, c), "roads")
+        found = more if found is None else found.unionByName(more)
+        rest = points.select("session_id").union(centres.select("session_id")).distinct() if left is None else left
+        left = written(rest.join(more.select("session_id").distinct(), "session_id", "left_anti"), "left")
+        if left.isEmpty():
+            break
     return found
 
 
@@ -124,7 +138,8 @@ def road_errors(points: DataFrame, roads: DataFrame, centres: DataFrame, cell_m:
         s = s.withColumn(v, F.explode(F.array_distinct(F.array(*ends))))
     s = written(s.select("session_id", "level", "x", "y", "ax", "ay", "bx", "by").distinct(), "cells")
     at = ["session_id", "level", "x", "y"]
-    q = p.where("px is not null and py is not null").select(*cell).distinct()
+    places = written(p.where("px is not null and py is not null").select(*cell, "px", "py").distinct(), "places")
+    q = places.select(*cell).distinct()
     around = lambda level: F.array(*(F.struct(level.alias("level"), (F.floor(F.col("cx") / F.pow(F.lit(4.0), level)) + i).alias("x"), (F.floor(F.col("cy") / F.pow(F.lit(4.0), level)) + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     middle = [(F.col(c) + 0.5) * cell_m for c in ("cx", "cy")]
     far = point_segment_m(*middle, *(F.col(c) for c in ("ax", "ay", "bx", "by")))
@@ -141,7 +156,8 @@ def road_errors(points: DataFrame, roads: DataFrame, centres: DataFrame, cell_m:
     least = F.array_min(F.transform("near", lambda r: r["far"]))
     met = met.select(*cell, "near", least.alias("least")).select(*cell, F.filter("near", lambda r: r["far"] <= F.col("least") + across).alias("near"))
     error = F.array_min(F.transform("near", lambda r: point_segment_m(F.col("px"), F.col("py"), r["ax"], r["ay"], r["bx"], r["by"])))
-    return p.join(met, cell, "left").select(*key, error.alias("error_m"))
+    errors = places.join(met, cell).select("session_id", "px", "py", error.alias("error_m"))
+    return p.join(errors, ["session_id", "px", "py"], "left").select(*key, "error_m")
 
 
 def errors_side_by_side(points: DataFrame, errors: DataFrame, times: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from apexlap.operators import nearest
+from apexlap.operators import nearest, roads
 
 
 @contextmanager
@@ -28,3 +28,26 @@ def test_many_points_at_few_places_with_many_samples(spark):
         got = nearest.nearest_samples(points, samples)
         rows = got.groupBy((F.col("point_id") % 4).alias("place"), "sample_idx").count().collect()
     assert sorted((r.place, r.sample_idx, r["count"]) for r in rows) == [(k, k, 20_000) for k in range(4)]
+
+
+def test_many_points_at_few_places_by_many_segments(spark):
+    """1,500,000 points at 3 places, each with 600 segments in its cell: a place is measured once."""
+    points = spark.range(1_500_000).select(F.lit("a").alias("session_id"), F.lit("m").alias("method"), F.col("id").alias("sample_idx"), F.lit("raw").alias("series"), (F.lit(40.0) + F.col("id") % 3 * F.lit(1e-5)).alias("lat"), F.lit(-80.0).alias("lon"))
+    step = lambda j: F.struct((F.lit(-80.0) + (F.col("id") + j) * F.lit(1e-8)).alias("lon"), F.lit(40.0).alias("lat"))
+    edges = spark.range(600).select(F.lit("a").alias("session_id"), F.col("id").alias("edge_id"), F.array(step(0), step(1)).alias("coords"))
+    centres = spark.createDataFrame([("a", 40.0, -80.0)], "session_id string, lat0 double, lon0 double")
+    with seconds_at_most(spark, 60):
+        rows = roads.road_errors(points, edges, centres).groupBy((F.col("sample_idx") % 3).alias("place"), F.round("error_m", 2).alias("error_m")).count().collect()
+    assert sorted((r.place, r.error_m, r["count"]) for r in rows) == [(k, round(k * 1.11474, 2), 500_000) for k in range(3)]
+
+
+def test_roads_are_searched_where_none_is_known(spark, monkeypatch):
+    edge = lambda i, kind, lat: (i, kind, [(-80.0, lat), (-79.9999, lat)])
+    edges = spark.createDataFrame([edge(1, "primary", 40.0), edge(2, "residential", 50.004), edge(3, "primary", 60.009), edge(4, "primary", 41.0)], "edge_id long, highway string, coords array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(s, 0, "m", lat, -80.0, lat, -80.0) for s, lat in (("box", 40.0), ("radius", 50.0), ("wide", 60.0), ("none", 10.0))], "session_id string, sample_idx long, method string, lat_raw double, lon_raw double, lat_smooth double, lon_smooth double")
+    centres = roads.reference_points(points)
+    got = {(r.session_id, r.edge_id) for r in roads.roads_of_sessions(points, edges, centres, 60.0).collect()}
+    assert got == {("box", 1), ("radius", 2), ("wide", 3)}
+    monkeypatch.setattr(roads, "roads_in_radius", None)
+    box = points.where("session_id = 'box'")
+    assert {(r.session_id, r.edge_id) for r in roads.roads_of_sessions(box, edges, roads.reference_points(box)).collect()} == {("box", 1)}
