@@ -18,7 +18,7 @@ HEADERS = {"Fix": ["LatitudeDegrees", "LongitudeDegrees", "SpeedMps", "UnixTimeM
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value", (F.col("user_id") % SESSIONS).alias("session_id"))
-    return e.withColumn("rn", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) - 1)
+    return e.withColumn("rn", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")).cast("long") - 1)
 
 
 def _milliseconds():
@@ -28,7 +28,7 @@ def _milliseconds():
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series: session_id, sample_idx, timestamp_ms, lat, lon, speed_mps."""
-    at = F.col("rn") % len(PATH)
+    at = (F.col("rn") % len(PATH)).cast("int")
     px, py = (F.get(F.array(*(F.lit(p[i]) for p in PATH)), at) for i in (0, 1))
     noise = F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(7)) - 3
     seen = F.col("rn") % 37 != 36

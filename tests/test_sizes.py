@@ -6,6 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from apexlap.operators import nearest, roads
+from apexlap.plans import fixtures
 
 
 @contextmanager
@@ -51,3 +52,11 @@ def test_roads_are_searched_where_none_is_known(spark, monkeypatch):
     monkeypatch.setattr(roads, "roads_in_radius", None)
     box = points.where("session_id = 'box'")
     assert {(r.session_id, r.edge_id) for r in roads.roads_of_sessions(box, edges, roads.reference_points(box)).collect()} == {("box", 1)}
+
+
+def test_times_of_sessions_beyond_two_million_samples(spark):
+    """Places in a session count as longs, so that milliseconds don't overflow."""
+    late = fixtures._numbered(spark, "/root/testdata/sf0.001").withColumn("rn", F.col("rn") + F.lit(2_200_000))
+    rows = late.select("rn", fixtures._milliseconds().alias("ms")).collect()
+    steps = {r.rn: r.rn - (r.rn % 50 == 49) for r in rows}
+    assert rows and all(r.ms == 1700000000000 + steps[r.rn] * 1000 + 13 * (steps[r.rn] % 7) for r in rows)
