@@ -9,6 +9,8 @@ from ..operators.laps import lap_samples
 
 #: The columns of an exported lap, in order.
 LAP_COLUMNS = ["timestamp", "lap_number", "lap_elapsed_s", "lap_distance_m", "lat", "lon", "speed_mph", "long_accel_mps2", "lat_accel_mps2", "imu_accel_x", "imu_accel_y", "imu_accel_z"]
+#: Laps of a session that share a folder of the export.
+LAPS_A_FOLDER = 1000
 
 
 def lap_rows(annotated: DataFrame, laps: DataFrame) -> DataFrame:
@@ -17,13 +19,18 @@ def lap_rows(annotated: DataFrame, laps: DataFrame) -> DataFrame:
 
 
 def export_lap_csv(annotated: DataFrame, laps: DataFrame, path: str, lap_number: int | None = None) -> None:
-    """CSV files by session and lap; an unknown lap is a ValueError."""
+    """CSV files by session and run of LAPS_A_FOLDER laps (`laps_from`: the first), in order of lap and sample; an unknown lap is a ValueError.
+
+    The lap is a column of the files, as a folder for each lap would make as
+    many files as laps.
+    """
     rows = lap_rows(annotated, laps)
     if lap_number is not None:
         rows = rows.where(F.col("lap_number") == lap_number)
         if rows.isEmpty():
             raise ValueError(f"no lap {lap_number}")
-    rows.repartition("session_id", "lap_number").sortWithinPartitions("session_id", "lap_number", "sample_idx").select("session_id", F.col("lap_number").alias("lap"), *LAP_COLUMNS).write.partitionBy("session_id", "lap").csv(path, header=True)
+    rows = rows.withColumn("laps_from", F.col("lap_number") - (F.col("lap_number") - 1) % LAPS_A_FOLDER)
+    rows.repartition("session_id", "laps_from").sortWithinPartitions("session_id", "laps_from", "lap_number", "sample_idx").select("session_id", "laps_from", *LAP_COLUMNS).write.partitionBy("session_id", "laps_from").csv(path, header=True)
 
 
 def session_documents(results: dict[str, DataFrame]) -> DataFrame:

@@ -3,10 +3,12 @@
 import threading
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from apexlap.operators import nearest, roads
 from apexlap.plans import fixtures
+from apexlap.sources import export
 
 
 @contextmanager
@@ -60,3 +62,20 @@ def test_times_of_sessions_beyond_two_million_samples(spark):
     rows = late.select("rn", fixtures._milliseconds().alias("ms")).collect()
     steps = {r.rn: r.rn - (r.rn % 50 == 49) for r in rows}
     assert rows and all(r.ms == 1700000000000 + steps[r.rn] * 1000 + 13 * (steps[r.rn] % 7) for r in rows)
+
+
+def test_exported_laps_share_folders(spark, tmp_path):
+    empty = [F.lit(None).cast("double").alias(c) for c in export.LAP_COLUMNS if c not in ("lap_number", "timestamp", "lap_elapsed_s")]
+    samples = spark.range(2_401).select(F.lit("7").alias("session_id"), F.col("id").alias("sample_idx"), F.lit("t").alias("timestamp"), F.col("id").cast("double").alias("lap_elapsed_s"), *empty)
+    laps = spark.range(1_200).select(F.lit("7").alias("session_id"), (F.col("id") + 1).cast("int").alias("lap_number"), F.lit(False).alias("is_partial"), (F.col("id") * 2).alias("start_sample_idx"), (F.col("id") * 2 + 2).alias("end_sample_idx"))
+    export.export_lap_csv(samples, laps, f"file://{tmp_path}/all")
+    files = sorted((tmp_path / "all").rglob("*.csv"))
+    assert [f.parent.name for f in files] == ["laps_from=1", "laps_from=1001"]
+    with files[1].open() as f:
+        lines = f.read().split()
+    assert lines[0] == ",".join(export.LAP_COLUMNS)
+    assert [(int(x.split(",")[1]), float(x.split(",")[2])) for x in lines[1:]] == [(lap, float(2 * lap - 2 + k)) for lap in range(1001, 1201) for k in range(3)]
+    export.export_lap_csv(samples, laps, f"file://{tmp_path}/one", 1100)
+    assert spark.read.csv(f"file://{tmp_path}/one", header=True).select("lap_number").distinct().collect() == [("1100",)]
+    with pytest.raises(ValueError, match="no lap"):
+        export.export_lap_csv(samples, laps, f"file://{tmp_path}/none", 5000)
