@@ -56,6 +56,35 @@ def track_geojson(telemetry: DataFrame, starts: DataFrame | None = None) -> Data
     return line.select("session_id", F.when(found, _collection(F.concat_ws(",", track, marker))).alias("geojson"), F.when(~found, F.lit("no valid coordinates")).alias("error"))
 
 
+def track_pieces(telemetry: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """session_id, sample_idx, piece: in order of sample_idx, the text of `track_geojson` with one piece for each point, one before and one behind them.
+
+    No row grows with the session. Sessions without positions have no piece.
+    """
+    valid = telemetry.where("lat is not null and lon is not null").select("session_id", F.col("sample_idx").cast("long").alias("sample_idx"), F.array("lon", "lat").alias("p"))
+    ends = valid.groupBy("session_id").agg(F.min("sample_idx").alias("first_idx"), F.max("sample_idx").alias("last_idx"), F.count(F.lit(1)).cast("int").alias("n"), F.min_by("p", "sample_idx").alias("start"))
+    if starts is not None:
+        given = starts.where("start_lat is not null and start_lon is not null").groupBy("session_id").agg(F.first(F.array("start_lon", "start_lat")).alias("given"))
+        ends = ends.join(given, "session_id", "left").withColumn("start", F.coalesce("given", "start"))
+    points = valid.join(ends.select("session_id", "first_idx"), "session_id").select("session_id", "sample_idx", F.concat(F.when(F.col("sample_idx") > F.col("first_idx"), ",").otherwise(""), F.to_json("p")).alias("piece"))
+    # the feature of an empty line, cut where its points belong
+    track = _collection(F.concat_ws(",", _feature("LineString", F.array().cast("array<array<double>>"), F.struct(F.col("n").alias("sampleCount"))), _feature("Point", F.col("start"), F.struct(F.lit("start_finish").alias("marker")))))
+    cut = F.locate('"coordinates":[', track) + len('"coordinates":[') - 1
+    around = ends.select("session_id", F.explode(F.array(F.struct((F.col("first_idx") - 1).alias("sample_idx"), F.substring(track, F.lit(1), cut).alias("piece")), F.struct((F.col("last_idx") + 1).alias("sample_idx"), F.substring(track, cut + 1, F.length(track)).alias("piece")))).alias("x")).select("session_id", "x.*")
+    return points.unionByName(around)
+
+
+def lap_pieces(features: DataFrame) -> DataFrame:
+    """session_id, is_partial, start_sample_idx, piece: the text of `lap_collections` with one piece for each lap, one before and one behind them."""
+    key = ["session_id", "is_partial"]
+    f = features.select(*key, F.col("start_sample_idx").cast("long").alias("start_sample_idx"), "feature")
+    ends = f.groupBy(*key).agg(F.min("start_sample_idx").alias("a"), F.max("start_sample_idx").alias("b"))
+    each = f.join(ends, key).select(*key, "start_sample_idx", F.concat(F.when(F.col("start_sample_idx") > F.col("a"), ",").otherwise(""), "feature").alias("piece"))
+    piece = lambda at, text: F.struct(at.alias("start_sample_idx"), F.lit(text).alias("piece"))
+    around = ends.select(*key, F.explode(F.array(piece(F.col("a") - 1, '{"type":"FeatureCollection","features":['), piece(F.col("b") + 1, "]}"))).alias("x")).select(*key, "x.*")
+    return each.unionByName(around)
+
+
 def _feature(kind: str, coordinates: Column, properties: Column) -> Column:
     """A GeoJSON feature as text."""
     geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))

@@ -7,24 +7,26 @@ from pyspark.sql import DataFrame
 from ..operators.corners import detect_corners
 from ..operators.deltas import lap_delta_traces
 from ..operators.laps import annotate_lap_samples, detect_laps, plausible_laps, start_points
-from ..operators.layers import heatmap_layers, lap_collections, lap_features, track_geojson
+from ..operators.layers import heatmap_layers, lap_collections, lap_features, lap_pieces, track_geojson, track_pieces
 from ..operators.motion import build_telemetry_records, compute_derived_metrics
 from ..sources.staging import written
 
 
-def build_sessions(series: DataFrame, starts: DataFrame | None = None, **smoothing) -> dict[str, DataFrame]:
+def build_sessions(series: DataFrame, starts: DataFrame | None = None, whole: bool = True, **smoothing) -> dict[str, DataFrame]:
     """The eight results of every session: track, telemetry, laps, lap_features, lap_deltas, partial_lap_features, corners, heatmap.
 
     The series, telemetry and laps are written once, as all others read them.
+    Unless whole, the track and the features come in pieces, for sessions of any
+    length.
     """
     series = written(series, "series")
     telemetry = written(build_telemetry_records(compute_derived_metrics(series, **smoothing)), "telemetry")
     laps = written(detect_laps(telemetry, starts), "laps")
     annotated = written(annotate_lap_samples(telemetry, laps), "annotated")
     full = laps.where("not is_partial")
-    features = written(lap_collections(lap_features(telemetry, laps)), "features")
+    features = written((lap_collections if whole else lap_pieces)(lap_features(telemetry, laps)), "features")
     return {
-        "track": track_geojson(telemetry, start_points(telemetry, starts)),
+        "track": (track_geojson if whole else track_pieces)(telemetry, start_points(telemetry, starts)),
         "telemetry": annotated,
         "laps": full,
         "lap_features": features.where("not is_partial").drop("is_partial"),

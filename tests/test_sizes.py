@@ -1,5 +1,6 @@
 """Work that must grow with the input, not with the square of a group or the size of one row."""
 
+import json
 import threading
 from contextlib import contextmanager
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apexlap.operators import nearest, roads
-from apexlap.plans import fixtures
+from apexlap.plans import fixtures, session
 from apexlap.sources import export
 
 
@@ -79,3 +80,22 @@ def test_exported_laps_share_folders(spark, tmp_path):
     assert spark.read.csv(f"file://{tmp_path}/one", header=True).select("lap_number").distinct().collect() == [("1100",)]
     with pytest.raises(ValueError, match="no lap"):
         export.export_lap_csv(samples, laps, f"file://{tmp_path}/none", 5000)
+
+
+def test_documents_in_parts_are_the_whole_ones(spark, tmp_path):
+    series = fixtures.tracks(spark, "/root/testdata/sf0.001").where("session_id in ('1', '2')")
+    starts = spark.createDataFrame([("1", 40.0, -80.0), ("2", 40.0, -80.0)], "file_name string, lat double, lon double")
+    whole = {r.session_id: json.loads(r.document) for r in export.session_documents(session.build_sessions(series, starts)).collect()}
+    parts = session.build_sessions(series, starts, whole=False)
+    rows = export.document_parts(parts, 8).orderBy("session_id", "at").collect()
+    assert max(r.n for r in rows) <= 8 and len(rows) > 60
+    for k, document in whole.items():
+        assert json.loads("".join(r.text for r in rows if r.session_id == k)) == document
+        assert len(document["telemetry"]) > 8 and document["track"]["features"][0]["geometry"]["coordinates"]
+        for name in ("telemetry", "laps", "heatmap"):
+            mine = [r for r in rows if r.session_id == k and r.result == name and r.n]
+            assert [r.first for r in mine] == [sum(x.n for x in mine[:i]) for i in range(len(mine))]
+    export.export_sessions_json(parts, f"file://{tmp_path}/json")
+    for k, document in whole.items():
+        files = sorted((tmp_path / "json" / f"session_id={k}").glob("*.txt"))
+        assert json.loads("".join(f.read_text() for f in files)) == document
